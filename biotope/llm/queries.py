@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import compression, decontaminate, pieces, pii, token_counts, token_output
+from . import compression, decontaminate, pieces, pii, quality_rules, token_counts, token_output
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,11 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.hits(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("items")
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_rules.judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -42,5 +47,5 @@ def op10_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op2_token_output, op3_decontamination, op6_pieces, op8_pii, op9_token_counts, op10_compression)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op2_token_output, op3_decontamination, op4_quality_rules, op6_pieces, op8_pii, op9_token_counts, op10_compression)}
+ORACLES: dict[str, str] = {"op4_quality_rules": quality_rules.SQL}
