@@ -55,11 +55,16 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if n >= 120:
         top = np.maximum(powers[64][: n - 119], powers[64][56 : n - 63])
         pick[: n - 119][top == 0] = ZEROS
-    steps, at, starts = COUNTS[pick].tolist(), 0, []
+    one = np.append(np.arange(n) + COUNTS[pick], n)  # where the next word begins; n stays n
+    two = one[one]
+    four = two[two].tolist()
+    at, every = 0, []
     while at < n:
-        starts.append(at)
-        at += steps[at]
-    start = np.array(starts)
+        every.append(at)
+        at = four[at]
+    every = np.array(every)
+    start = np.stack([every, one[every], two[every], one[two[every]]], 1).ravel()
+    start = start[start < n]
     sel = pick[start]
     words = sel.astype(np.uint64) << np.uint64(60)
     escapes = ids[start[sel == ESCAPE]]
@@ -72,14 +77,18 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return words.astype("<u8"), escapes.astype("<u8")
 
 
+_SHORT = np.array([i.bit_length() for i in range(1 << 16)], np.uint8)
+
+
 def _bit_length(ids: np.ndarray) -> np.ndarray:
+    if ids.max() < 1 << 16:
+        return _SHORT[ids]
     out, rest = np.zeros(len(ids), np.uint8), ids.copy()
-    for shift in (32, 16, 8, 4, 2, 1):
+    for shift in (32, 16):
         big = rest >= (np.uint64(1) << np.uint64(shift))
         out[big] += shift
         rest[big] >>= np.uint64(shift)
-    out[rest > 0] += 1
-    return out
+    return out + _SHORT[rest]
 
 
 def unpack(words: np.ndarray, escapes: np.ndarray) -> np.ndarray:
@@ -175,14 +184,23 @@ def encoder(tokenizer: str):
     pre = pretokens(tokenizer)
     known = _bytes.setdefault(tokenizer, {})
 
+    def learn(new: list[str]) -> None:
+        ids, at = pre.encode_words(new)
+        raw, at = ids.astype("<u4").tobytes(), (4 * at).tolist()
+        known.update(zip(new, [raw[a:b] for a, b in zip(at, at[1:])]))
+
     def encode(items: list[str]) -> list[bytes]:
-        split = [pre.split(t) for t in items]
         if len(known) > CACHE:
             known.clear()
-        if new := list({w for ws in split if ws for w in ws if w not in known}):
-            known.update(zip(new, (np.array(i, "<u4").tobytes() for i in pre.encode(new))))
+        split = [pre.split(t) for t in items]
+        got = [None if ws is None else list(map(known.get, ws)) for ws in split]
+        missed = [k for k, vs in enumerate(got) if vs is not None and None in vs]
+        if missed:
+            learn(list({w for k in missed for w, v in zip(split[k], got[k]) if v is None}))
+            for k in missed:
+                got[k] = map(known.__getitem__, split[k])
         whole = iter(pre.encode([t for t, ws in zip(items, split) if ws is None]))
-        return [np.array(next(whole), "<u4").tobytes() if ws is None else b"".join([known[w] for w in ws]) for ws in split]
+        return [np.array(next(whole), "<u4").tobytes() if vs is None else b"".join(vs) for vs in got]
 
     return encode
 
