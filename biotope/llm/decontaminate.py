@@ -21,47 +21,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import ship, table, texts
+from .words import ALNUM, split_words
 
 WINDOW = 10
 SHARD_WORDS = 1 << 20
 #: Bounds of a broadcast block of the benchmark.
 BLOCK_ROWS, BLOCK_BYTES = 20_000, 16 << 20
 
-#: Bytes of words keep their place, A-Z become a-z, all others become spaces.
-_FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-
-
-def split_words(items) -> tuple[pa.Array, np.ndarray]:
-    """(all words, the number of words of each item). Words: runs of 0-9, a-z after folding A-Z, and bytes above 127."""
-    arr = items.cast(pa.binary()) if isinstance(items, pa.Array) else pa.array(items, pa.binary())
-    arr = pc.fill_null(arr, b"")
-    if len(arr) == 0:
-        return pa.array([], pa.binary()), np.zeros(0, np.int64)
-    offsets = np.frombuffer(arr.buffers()[1], np.int32)[arr.offset : arr.offset + len(arr) + 1]
-    raw = arr.buffers()[2]
-    data = np.frombuffer(raw[int(offsets[0]) : int(offsets[-1])].to_pybytes().translate(_FOLD) if raw else b"", np.uint8)
-    inside = np.concatenate([[False], data != 32, [False]])
-    edge = np.flatnonzero(inside[1:] != inside[:-1])
-    rel = (offsets - offsets[0]).astype(np.int64)
-    if len(rel) > 2 and len(edge):  # a word ends where its item ends
-        cuts = np.unique(rel[1:-1])
-        cuts = cuts[(cuts > 0) & (cuts < len(data))]
-        glued = cuts[(data[cuts - 1] != 32) & (data[cuts] != 32)]
-        edge = np.sort(np.concatenate([edge, glued, glued]))
-    starts, ends = edge[0::2], edge[1::2]
-    counts = np.searchsorted(starts, rel[1:]) - np.searchsorted(starts, rel[:-1])
-    keep = np.zeros(len(data) + 1, bool)
-    keep[:-1] = data != 32
-    packed = data[data != 32]
-    bounds = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int32)
-    return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(packed)]), counts
-
-
 class Block:
     """Items of the benchmark, as numbers of their own vocabulary."""
 
     def __init__(self, ids: list[str], items: list[str], window: int):
-        words, counts = split_words(items)
+        words, counts = split_words(items, ALNUM)
         coded = words.dictionary_encode()
         self.vocabulary, self.ids, self.window = coded.dictionary, np.array(ids, object), window
         self.seq = np.append(coded.indices.to_numpy(zero_copy_only=False).astype(np.int32) + 1, np.int32(0))
@@ -265,7 +236,7 @@ def shards(batches, doc_id: int, text: int, words: int):
     def made():
         rows = pa.Table.from_batches(held).combine_chunks()
         one = rows.column(text).combine_chunks()
-        return rows, Shard(rows.column(doc_id).to_pylist(), *split_words(one.chunk(0) if isinstance(one, pa.ChunkedArray) else one))
+        return rows, Shard(rows.column(doc_id).to_pylist(), *split_words(one.chunk(0) if isinstance(one, pa.ChunkedArray) else one, ALNUM))
 
     for b in batches:
         sizes = pc.fill_null(pc.binary_length(b.column(text)), 0).to_numpy(zero_copy_only=False)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import compression, decontaminate, pieces, pii, quality_rules, token_counts, token_output
+from . import compression, decontaminate, jaccard, pieces, pii, quality_rules, token_counts, token_output
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,10 @@ def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(read(spark, sf_dir, "documents"))
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detect(read(spark, sf_dir, "documents"))
 
@@ -47,5 +51,5 @@ def op10_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op2_token_output, op3_decontamination, op4_quality_rules, op6_pieces, op8_pii, op9_token_counts, op10_compression)}
+QUERIES = {f.__name__: f for f in (op2_token_output, op3_decontamination, op4_quality_rules, op6_pieces, op7_jaccard_join, op8_pii, op9_token_counts, op10_compression)}
 ORACLES: dict[str, str] = {"op4_quality_rules": quality_rules.SQL}
