@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows of an Arrow batch, so that a batch of long texts stays small; set where the session has Spark's default.
+BATCH_ROWS = 1024
 #: Broadcast bound, in rows, of tables with rows of a few dozen bytes. Beyond it the operators shuffle instead.
 BROADCAST_ROWS = 200_000
 
@@ -39,8 +41,10 @@ def drop(df: DataFrame) -> None:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the Python workers once a session, so that they import it wherever they run."""
-    sc = spark.sparkContext
+    """Send this package to the Python workers once a session, so that they import it wherever they run; bound Arrow batches."""
+    sc, rows = spark.sparkContext, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(rows) == "10000":
+        spark.conf.set(rows, BATCH_ROWS)
     if getattr(sc, "_biotope_shipped", False):
         return
     root = Path(__file__).resolve().parents[1]
