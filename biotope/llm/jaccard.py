@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -157,11 +158,11 @@ def bit_sketch(s: np.ndarray) -> bytes:
 
 # -- passes over the documents -------------------------------------------------------------------------------------------
 
-SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("hi", pa.int64()), ("lo", pa.int64()), ("shingle", pa.int64()), ("df", pa.int64())])
-SETS_DDL = "doc_id long, n long, hi long, lo long, shingle long, df long"
+SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("hi", pa.int64()), ("lo", pa.int64()), ("sketch", pa.binary()), ("shingle", pa.int64()), ("df", pa.int64())])
+SETS_DDL = "doc_id long, n long, hi long, lo long, sketch binary, shingle long, df long"
 PACKED = pa.schema([("part", pa.int32()), ("words", pa.binary()), ("owners", pa.binary()), ("los", pa.binary())])
-WHOLE = pa.schema([("doc_id", pa.int64()), ("hi", pa.int64()), ("lo", pa.int64()), ("size", pa.int64()), ("sketch", pa.binary()), ("shingles", pa.binary())])
-WHOLE_DDL = "doc_id long, hi long, lo long, size long, sketch binary, shingles binary"
+WHOLE = pa.schema([("id", pa.int64()), ("hi", pa.int64()), ("lo", pa.int64()), ("shingles", pa.binary())])
+WHOLE_DDL = "id long, hi long, lo long, shingles binary"
 
 
 def _chunks(batches, size: int = 4 << 20):
@@ -181,13 +182,13 @@ def _measure(batches):
         sets = shingle_sets(b.column("text"))
         prints = [fingerprint(s) if len(s) else (0, 0) for s in sets]
         n = len(sets)
-        yield table({"doc_id": b.column("doc_id"), "n": [len(s) for s in sets], "hi": [h for h, _ in prints], "lo": [lo for _, lo in prints], "shingle": [None] * n, "df": [None] * n}, SETS)
+        yield table({"doc_id": b.column("doc_id"), "n": [len(s) for s in sets], "hi": [h for h, _ in prints], "lo": [lo for _, lo in prints], "sketch": [bit_sketch(s) if len(s) else None for s in sets], "shingle": [None] * n, "df": [None] * n}, SETS)
         one = list({p: s for p, s in zip(prints, sets) if len(s)}.values())  # equal sets count once
         if len(one) >= 64:
             value, df = np.unique(np.concatenate(one), return_counts=True)
             value, df = value[df >= max(4, 0.005 * len(one))], df[df >= max(4, 0.005 * len(one))]
             if k := len(value):
-                yield table({"doc_id": [None] * k, "n": [None] * k, "hi": [None] * k, "lo": [None] * k, "shingle": value.view(np.int64), "df": df}, SETS)
+                yield table({"doc_id": [None] * k, "n": [None] * k, "hi": [None] * k, "lo": [None] * k, "sketch": [None] * k, "shingle": value.view(np.int64), "df": df}, SETS)
 
 
 def _pack(parts: int, common):
@@ -274,17 +275,18 @@ def _group(batches):
 
 
 def _whole(wanted=None):
+    """The sets of the documents whose doc_id is wanted (all if None)."""
+
     def run(batches):
-        ids = wanted.value if wanted is not None else None
         for b in _chunks(batches):
-            if ids is not None:
-                doc_id = b.column("doc_id").to_numpy(zero_copy_only=False)
-                here = _in_sorted(np.nan_to_num(doc_id, nan=-1).astype(np.int64), ids) if len(ids) else np.zeros(len(doc_id), bool)
-                b = b.filter(pa.array(here & ~np.asarray(b.column("doc_id").is_null())))
+            if wanted is not None:
+                doc_id = pa.compute.fill_null(b.column("doc_id"), 0).to_numpy(zero_copy_only=False)
+                here = _in_sorted(doc_id, wanted.value) & ~np.asarray(b.column("doc_id").is_null())
+                b = b.filter(pa.array(here))
             if b.num_rows:
                 sets = shingle_sets(b.column("text"))
                 prints = [fingerprint(s) for s in sets]
-                yield table({"doc_id": b.column("doc_id"), "hi": [h for h, _ in prints], "lo": [lo for _, lo in prints], "size": [len(s) for s in sets], "sketch": [bit_sketch(s) for s in sets], "shingles": [s.tobytes() for s in sets]}, WHOLE)
+                yield table({"id": b.column("doc_id"), "hi": [h for h, _ in prints], "lo": [lo for _, lo in prints], "shingles": [s.tobytes() for s in sets]}, WHOLE)
 
     return run
 
@@ -299,6 +301,17 @@ def _verify(batches):
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], schema=LINKS).filter(pa.array(keep))
 
 
+def _bounded(batches):
+    """Of pairs (a, b, na, nb, ka, kb), those within the bounds of size and of the bit sketches' Hamming distance."""
+    for b in sliced(batches, 8192):
+        na, nb = (b.column(c).to_numpy(zero_copy_only=False) for c in ("na", "nb"))
+        ka, kb = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint64).reshape(b.num_rows, -1) for c in ("ka", "kb"))
+        ok = np.minimum(na, nb) * DEN >= np.maximum(na, nb) * NUM
+        ok &= np.bitwise_count(ka ^ kb).sum(1).astype(np.int64) * (NUM + DEN) <= (na + nb) * (DEN - NUM)
+        if ok.any():
+            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], schema=LINKS).filter(pa.array(ok))
+
+
 def _near(batches):
     """From rows (word, id, component, size, sketch) in order of word: the pairs of different components within the bounds of size
     and Hamming distance."""
@@ -310,7 +323,7 @@ def _near(batches):
             upto = np.searchsorted(size, size[i] * DEN // NUM, "right")
             for j in range(i + 1, upto, 4096):
                 k = slice(j, min(upto, j + 4096))
-                hamming = np.bitwise_count(sketch[k] ^ sketch[i]).sum(1)
+                hamming = np.bitwise_count(sketch[k] ^ sketch[i]).sum(1).astype(np.int64)
                 ok = (comp[k] != comp[i]) & (hamming * (NUM + DEN) <= (size[k] + size[i]) * (DEN - NUM))
                 if ok.any():
                     other = ids[k][ok]
@@ -343,7 +356,8 @@ def classes_and_links(docs: DataFrame, partitions: int | None = None) -> tuple[D
     rows = texts(docs)
     measured = cut(rows.mapInArrow(_measure, SETS_DDL), "measured")
     members = measured.where("shingle is null").select("doc_id", "n", "hi", "lo")
-    classes = cut(members.where("n > 0").groupBy("hi", "lo").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"), F.max("n").alias("n")), "classes")
+    members_sketched = measured.where("shingle is null and n > 0")
+    classes = cut(members_sketched.groupBy("hi", "lo").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"), F.max("n").alias("n"), F.first("sketch").alias("sketch")), "classes")
     total, n_sets = classes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     often = measured.where("shingle is not null").groupBy("shingle").agg(F.sum("df").alias("df")).where(F.col("df") >= max(16, COMMON_SHARE * n_sets))
     top = [r[0] for r in often.orderBy(F.desc("df"), "shingle").limit(COMMON_MOST).collect()]
@@ -355,36 +369,40 @@ def classes_and_links(docs: DataFrame, partitions: int | None = None) -> tuple[D
     pairs = grouped.where("word is null").select("x", "y").distinct()
     large = grouped.where("word is not null").select("word", F.col("x").alias("lo"))
 
-    # the whole sets of those in a group of two or more
-    involved = cut(pairs.select(F.col("x").alias("lo")).union(pairs.select(F.col("y").alias("lo"))).union(large.select("lo")).distinct().join(classes, "lo").where("id is not null").select("hi", "lo", "id"), "involved")
-    if (few := [r[0] for r in involved.select("id").limit(BROADCAST_IDS + 1).toLocalIterator()] if involved.count() <= BROADCAST_IDS else None) is not None:
-        wanted = spark.sparkContext.broadcast(np.unique(np.array(few, np.int64)))
-        some = rows.mapInArrow(_whole(wanted), WHOLE_DDL)
-    else:
-        some = rows.join(involved.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(_whole(), WHOLE_DDL)
-    found = some.withColumnRenamed("doc_id", "id").join(involved, ["hi", "lo", "id"], "left_semi")
-    sets = cut(found.dropDuplicates(["hi", "lo"]).select("lo", "id", "size", "sketch", "shingles"), "sets")
-
-    def verified(p: DataFrame, key: str) -> DataFrame:
-        """p: x, y. Links among the pairs, by the sets' key."""
-        sx = sets.select(F.col(key).alias("x"), F.col("id").alias("ix"), F.col("shingles").alias("sx"))
-        sy = sets.select(F.col(key).alias("y"), F.col("id").alias("iy"), F.col("shingles").alias("sy"))
-        both = p.join(sx, "x").join(sy, "y").select(F.least("ix", "iy").alias("a"), F.greatest("ix", "iy").alias("b"), "sx", "sy")
-        return both.mapInArrow(_verify, "a long, b long")
-
-    links = cut(verified(pairs, "lo"), "links")
+    known = classes.where("id is not null").select("lo", "id", "n", "sketch")
+    kx, ky = (known.select(F.col("lo").alias(k), F.col("id").alias(f"i{k}"), F.col("n").alias(f"n{k}"), F.col("sketch").alias(f"k{k}")) for k in "xy")
+    both = pairs.join(kx, "x").join(ky, "y").select(F.col("ix").alias("a"), F.col("iy").alias("b"), F.col("nx").alias("na"), F.col("ny").alias("nb"), F.col("kx").alias("ka"), F.col("ky").alias("kb"))
+    links = _verified(rows, classes, cut(both.mapInArrow(_bounded, "a long, b long"), "candidates"))
     if large.limit(1).count():
         label = components(links)
-        at = large.join(sets.select("lo", "id"), "lo").join(label, "id", "left").select("word", "id", F.coalesce("component", "id").alias("component"))
+        at = large.join(known, "lo").join(label, "id", "left").select("word", "id", F.coalesce("component", "id").alias("component"), F.col("n").alias("size"), "sketch")
         mixed = at.groupBy("word").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("word")
-        rest = cut(at.join(mixed, "word", "left_semi"), "rest")
-        wide = rest.join(sets.select("id", "size", "sketch"), "id")
-        near = wide.repartition("word").sortWithinPartitions("word").mapInArrow(_near, "a long, b long").distinct()
-        links = cut(links.union(verified(near.select(F.col("a").alias("x"), F.col("b").alias("y")), "id")), "links")
+        near = at.join(mixed, "word", "left_semi").repartition("word").sortWithinPartitions("word").mapInArrow(_near, "a long, b long")
+        links = links.union(_verified(rows, classes, cut(near.distinct(), "near")))
     drop(grouped)
     return members, classes, links
 
 
+def _verified(rows: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Of pairs (a, b: ids of classes; a written table), those whose sets are linked. Only the sets of the pairs' classes are made."""
+    spark = rows.sparkSession
+    ids = cut(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct(), "ids")
+    if ids.count() <= BROADCAST_IDS:
+        wanted = np.sort(np.fromiter((r[0] for r in ids.toLocalIterator()), np.int64))
+        some = rows.mapInArrow(_whole(spark.sparkContext.broadcast(wanted)), WHOLE_DDL)
+    else:
+        some = rows.join(ids.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").mapInArrow(_whole(), WHOLE_DDL)
+    sets = cut(some, "sets")
+    # a doc_id may stand for several texts; the class tells which of them is meant
+    of = classes.select("id", "hi", "lo")
+    p = pairs.join(of.select(F.col("id").alias("a"), F.col("hi").alias("ha"), F.col("lo").alias("la")), "a").join(of.select(F.col("id").alias("b"), F.col("hi").alias("hb"), F.col("lo").alias("lb")), "b")
+    sb = sets.select(F.col("id").alias("b"), F.col("hi").alias("hb"), F.col("lo").alias("lb"), F.col("shingles").alias("sy"))
+    sa = sets.select(F.col("id").alias("a"), F.col("hi").alias("ha"), F.col("lo").alias("la"), F.col("shingles").alias("sx"))
+    found = cut(p.join(sb, ["b", "hb", "lb"]).join(sa, ["a", "ha", "la"]).select("a", "b", "sx", "sy").mapInArrow(_verify, "a long, b long").distinct(), "links")
+    drop(sets)
+    return found
+
+
 def join(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, class_id (smallest doc_id with the same set), component_id (smallest doc_id reachable by links).
 
