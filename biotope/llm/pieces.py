@@ -20,8 +20,9 @@ from .common import ship, sliced, table, texts
 
 MARK = "▁"
 _WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
+_NONE = float("-inf")
 #: Words kept by a worker; a full cache is emptied, which costs time only.
-CACHE = 500_000
+CACHE = 900_000
 
 
 class Pieces:
@@ -45,9 +46,32 @@ class Pieces:
         self.known: dict[str, tuple[int, ...]] = {}
 
     def agenda(self, word: str) -> list[int]:
-        """Ids of one word, by best-scored merges."""
-        whole = self.id.get(word)
-        symbols, score = list(word), self.score
+        """Ids of one word, by best-scored merges: the agenda is a list of a short word's pairs, a heap of a long one's."""
+        symbols = self._short(list(word)) if len(word) <= 48 else self._long(list(word))
+        out = []
+        for s in symbols:
+            i = self.id.get(s)
+            out.extend([i] if i is not None else [self.byte[x] for x in s.encode()])
+        return out
+
+    def _short(self, symbols: list[str]) -> list[str]:
+        score = self.score.get
+        pairs = [score(a + b, _NONE) for a, b in zip(symbols, symbols[1:])]
+        while pairs:
+            best = max(pairs)
+            if best == _NONE:
+                break
+            i = pairs.index(best)  # the leftmost
+            symbols[i] += symbols.pop(i + 1)
+            del pairs[i]
+            if i:
+                pairs[i - 1] = score(symbols[i - 1] + symbols[i], _NONE)
+            if i < len(pairs):
+                pairs[i] = score(symbols[i] + symbols[i + 1], _NONE)
+        return symbols
+
+    def _long(self, symbols: list[str | None]) -> list[str]:
+        score = self.score
         n = len(symbols)
         left, right = list(range(-1, n - 1)), list(range(1, n + 1))
         heap = []
@@ -68,14 +92,7 @@ class Pieces:
                     heapq.heappush(heap, (-s, a, after, made + symbols[after]))
             if (before := left[a]) >= 0 and (s := score.get(symbols[before] + made)) is not None:
                 heapq.heappush(heap, (-s, before, a, symbols[before] + made))
-            if whole is not None and made == word:
-                return [whole]
-        out = []
-        for s in symbols:
-            if s is not None:
-                i = self.id.get(s)
-                out.extend([i] if i is not None else [self.byte[x] for x in s.encode()])
-        return out
+        return [s for s in symbols if s is not None]
 
     def words(self, text: str) -> list[str]:
         return _WORD.findall(MARK + text.replace(" ", MARK)) if text else []
