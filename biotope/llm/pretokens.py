@@ -45,8 +45,7 @@ class Pretokens:
         self.latin = re.compile(LATIN[name]) if name in LATIN else None
         self.folds = name == "word_bpe_49k.json"
         ids = range(self.tokenizer.get_vocab_size())
-        mark = {"byte_bpe_50k.json": lambda t: t.startswith("Ġ"), "word_bpe_49k.json": lambda t: t.endswith("</w>")}.get(name)
-        self.edge = np.array([mark(self.tokenizer.id_to_token(i) or "") for i in ids], bool) if mark else None
+        self.edge = np.array([(self.tokenizer.id_to_token(i) or "").startswith("Ġ") for i in ids], bool) if name == "byte_bpe_50k.json" else None
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     def split(self, text: str) -> list[str] | None:
@@ -58,29 +57,26 @@ class Pretokens:
             return None
         return self.pattern.findall(unicodedata.normalize("NFC", text).lower() if self.folds else text)
 
-    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of many pre-tokens in a row, and where each one's begin (and the last one's end).
+    def encode_words(self, words: list[str]) -> list[bytes]:
+        """The ids of each of many pre-tokens, as little-endian uint32 bytes.
 
         Plain words go to the library many at a time, as one text in which they are its pre-tokens; a mark in the vocabulary tells
-        where each begins (a leading space) or ends (the end-of-word suffix). Others go one by one.
+        where each begins (a leading space). Others go one by one.
         """
-        plain = [i for i, w in enumerate(words) if (w.isalpha() if self.folds else w[:1] == " " and w[1:].isalpha())] if self.edge is not None else []
-        parts, sizes = [None] * len(words), np.zeros(len(words), np.int64)
-        glue = " " if self.folds else ""
+        plain = [i for i, w in enumerate(words) if w[:1] == " " and w[1:].isalpha()] if self.edge is not None else []
+        out: list = [None] * len(words)
         runs = [plain[k : k + 512] for k in range(0, len(plain), 512)]
-        for run, ids in zip(runs, self.encode([glue.join([words[i] for i in run]) for run in runs])):
+        for run, ids in zip(runs, self.encode(["".join([words[i] for i in run]) for run in runs])):
             ids = np.array(ids, "<u4")
-            cut = np.flatnonzero(self.edge[ids]) + self.folds
-            if len(cut) == len(run):  # else some word is not one pre-token
-                cut = np.append(cut, len(ids)) if not self.folds else np.append(0, cut)
-                sizes[run] = np.diff(cut)
-                for i, a, b in zip(run, cut[:-1].tolist(), cut[1:].tolist()):
-                    parts[i] = ids[a:b]
-        rest = [i for i, p in enumerate(parts) if p is None]
+            at = (4 * np.flatnonzero(self.edge[ids])).tolist()
+            if len(at) == len(run):  # else some word is not one pre-token
+                raw = ids.tobytes()
+                for i, a, b in zip(run, at, [*at[1:], len(raw)]):
+                    out[i] = raw[a:b]
+        rest = [i for i, v in enumerate(out) if v is None]
         for i, ids in zip(rest, self.encode([words[i] for i in rest])):
-            parts[i] = np.array(ids, "<u4")
-            sizes[i] = len(ids)
-        return (np.concatenate(parts) if parts else np.zeros(0, "<u4")), np.append(0, np.cumsum(sizes))
+            out[i] = np.array(ids, "<u4").tobytes()
+        return out
 
     def encode(self, items: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(items, add_special_tokens=False)]

@@ -18,6 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import bytesplit
 from .common import cut, shared_dir, ship, sliced, table, texts
 from .pretokens import CACHE, pretokens
 
@@ -47,8 +48,8 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         powers[span] = nxt
     for s in range(12, -1, -1):
         c = int(COUNTS[s])
-        if c > n:
-            break
+        if c > n or (width <= _WIDTHS[s]).sum() < c:
+            break  # nor do more ids fit
         p = 1 << (c.bit_length() - 1)
         top = np.maximum(powers[p][: n - c + 1], powers[p][c - p : n - p + 1])
         pick[: n - c + 1][top <= _WIDTHS[s]] = s
@@ -176,31 +177,61 @@ class Reader:
             have = have[n:]
 
 
-_bytes: dict[str, dict[str, bytes]] = {}
+_bytes: dict[str, dict[bytes, bytes]] = {}
 
 
 def encoder(tokenizer: str):
-    """texts -> the ids of each as little-endian uint32 bytes."""
+    """An Arrow array of texts -> the ids of each (uint32 arrays).
+
+    Texts of characters below bytesplit.LIMIT without special strings are split together by their bytes, and their distinct pre-tokens
+    looked up among those that the library has encoded; others are encoded one by one.
+    """
     pre = pretokens(tokenizer)
+    fast = tokenizer.rsplit("/", 1)[-1] == "byte_bpe_50k.json"
     known = _bytes.setdefault(tokenizer, {})
-
-    def learn(new: list[str]) -> None:
-        ids, at = pre.encode_words(new)
-        raw, at = ids.astype("<u4").tobytes(), (4 * at).tolist()
-        known.update(zip(new, [raw[a:b] for a, b in zip(at, at[1:])]))
-
-    def encode(items: list[str]) -> list[bytes]:
-        if len(known) > CACHE:
-            known.clear()
-        split = [pre.split(t) for t in items]
-        got = [None if ws is None else list(map(known.get, ws)) for ws in split]
-        missed = [k for k, vs in enumerate(got) if vs is not None and None in vs]
-        if missed:
-            learn(list({w for k in missed for w, v in zip(split[k], got[k]) if v is None}))
-            for k in missed:
-                got[k] = map(known.__getitem__, split[k])
-        whole = iter(pre.encode([t for t, ws in zip(items, split) if ws is None]))
-        return [np.array(next(whole), "<u4").tobytes() if vs is None else b"".join(vs) for vs in got]
+    special = [t.encode() for t in pre.special]
+
+    def look_up(words: list[bytes]) -> list[bytes]:
+        got = list(map(known.get, words))
+        if None in got:
+            if len(known) > CACHE:
+                known.clear()
+                got = [None] * len(words)
+            new = [w for w, v in zip(words, got) if v is None]
+            known.update(zip(new, pre.encode_words([w.decode() for w in new])))
+            got = list(map(known.__getitem__, words))
+        return got
+
+    def encode(items: pa.Array) -> list[np.ndarray]:
+        items = items.cast(pa.binary())
+        offsets = np.frombuffer(items.buffers()[1], np.int32)[items.offset : items.offset + len(items) + 1].astype(np.int64)
+        data = np.frombuffer(items.buffers()[2], np.uint8)[offsets[0] : offsets[-1]] if offsets[-1] > offsets[0] else np.zeros(0, np.uint8)
+        offsets = offsets - offsets[0]
+        sizes = np.diff(offsets)
+        slow = np.full(len(items), not fast)
+        slow[np.searchsorted(offsets, np.flatnonzero(data >= 0xC8), "right") - 1] = True
+        raw = data.tobytes()
+        if any(s in raw for s in special):
+            slow |= [any(s in raw[a:b] for s in special) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+        quick = ~slow & (sizes > 0)
+        out: list = [np.zeros(0, np.uint32)] * len(items)
+        for k in np.flatnonzero(slow & (sizes > 0)).tolist():
+            text = raw[offsets[k] : offsets[k + 1]].decode()
+            split = pre.split(text)
+            out[k] = np.array(pre.encode([text])[0], np.uint32) if split is None else np.frombuffer(b"".join(look_up([w.encode() for w in split])), "<u4")
+        if quick.any():
+            if slow.any():
+                data = data[np.repeat(quick, sizes)]
+            own = sizes[quick]
+            begin = np.cumsum(own) - own
+            at = bytesplit.bounds(data, begin)
+            codes, distinct = bytesplit.words(data, at)
+            values = look_up(distinct)
+            ids, end = bytesplit.gather(np.frombuffer(b"".join(values), "<u4"), np.array([len(v) for v in values]) >> 2, codes)
+            last = end[np.append(np.searchsorted(at, begin[1:]), len(at)) - 1]
+            for k, a, b in zip(np.flatnonzero(quick).tolist(), [0, *last[:-1].tolist()], last.tolist()):
+                out[k] = ids[a:b]
+        return out
 
     return encode
 
@@ -226,7 +257,7 @@ def write_ids(docs: DataFrame, tokenizer: str, folder: str | None = None, end_id
     def write(batches):
         from pyarrow import fs
 
-        batches = sliced(batches)
+        batches = sliced(batches, 1024)
         first = next(batches, None)
         if first is None:
             return
@@ -236,12 +267,12 @@ def write_ids(docs: DataFrame, tokenizer: str, folder: str | None = None, end_id
         part = task.partitionId()
         final, temporary = f"part-{part:06d}.s8b", f"{base}/.attempt-{part:06d}-{task.taskAttemptId()}"
         encode, n_docs, n_ids = encoder(tokenizer), 0, 0
-        end = np.array([end_id], "<u4").tobytes()
+        end = np.array([end_id], np.uint32)
         with store.open_output_stream(temporary) as stream:
             out = Writer(stream)
             while first is not None:
-                for doc_id, raw in zip(first.column(0).to_pylist(), encode(first.column(1).to_pylist())):
-                    ids = np.frombuffer(raw + end, "<u4")
+                for doc_id, ids in zip(first.column(0).to_pylist(), encode(first.column(1))):
+                    ids = np.append(ids, end)
                     out.add(doc_id, ids)
                     n_docs, n_ids = n_docs + 1, n_ids + len(ids)
                 first = next(batches, None)
