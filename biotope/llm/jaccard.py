@@ -152,8 +152,29 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def bit_sketch(s: np.ndarray) -> bytes:
-    """BITS parity bits: bit i is the parity of the shingles that choose it."""
-    return np.packbits(np.bincount((mix(s) % _U(BITS)).astype(np.int64), minlength=BITS) & 1).astype(np.uint8).tobytes()
+    """Parity bits, BITS or the power of two from 2 * len(s) up: bit i is the parity of the shingles that choose it."""
+    bits = max(BITS, 1 << (2 * len(s) - 1).bit_length())
+    return np.packbits(np.bincount((mix(s) & _U(bits - 1)).astype(np.int64), minlength=bits) & 1, bitorder="little").tobytes()
+
+
+def fold(sketch: np.ndarray, words: int) -> np.ndarray:
+    """Rows of 64-bit words of sketches, folded to fewer words: the parities of a sketch of so few bits."""
+    while sketch.shape[1] > words:
+        half = sketch.shape[1] // 2
+        sketch = sketch[:, :half] ^ sketch[:, half:]
+    return sketch
+
+
+def hamming_bounded(a: list[bytes], b: list[bytes], na: np.ndarray, nb: np.ndarray) -> np.ndarray:
+    """Whether the size and the Hamming distance of the sketches allow a link, pair by pair."""
+    ok = np.minimum(na, nb) * DEN >= np.maximum(na, nb) * NUM
+    la, lb = np.array([len(x) for x in a]), np.array([len(x) for x in b])
+    for x, y in np.unique(np.stack([la[ok], lb[ok]], 1), axis=0):
+        k = np.flatnonzero(ok & (la == x) & (lb == y))
+        words = min(x, y) // 8
+        one, two = (fold(np.frombuffer(b"".join([side[i] for i in k]), np.uint64).reshape(len(k), -1), words) for side in (a, b))
+        ok[k] = np.bitwise_count(one ^ two).sum(1).astype(np.int64) * (NUM + DEN) <= (na[k] + nb[k]) * (DEN - NUM)
+    return ok
 
 
 # -- passes over the documents -------------------------------------------------------------------------------------------
@@ -204,7 +225,8 @@ def _pack(parts: int, common):
             for p in np.unique(part).tolist():
                 mine = order[edges[p] : edges[p + 1]]
                 used, local = np.unique(owner[mine], return_inverse=True)
-                yield table({"part": [p], "words": [words[mine].tobytes()], "owners": [local.astype(np.uint32).tobytes()], "los": [who[used].tobytes()]}, PACKED)
+                high = words[mine].view(np.uint8).reshape(-1, 8)[:, 2:]  # 48 bits; the part tells some of the rest
+                yield table({"part": [p], "words": [high.tobytes()], "owners": [local.astype(np.uint16).tobytes()], "los": [who[used].tobytes()]}, PACKED)
 
         for b in _chunks(batches):
             for s in shingle_sets(b.column("text")):
@@ -216,7 +238,7 @@ def _pack(parts: int, common):
                 owners.append(np.full(len(w), len(los), np.uint32))
                 los.append(f[1])
                 n += len(w)
-                if n >= HELD_WORDS:
+                if n >= HELD_WORDS or len(los) == 1 << 16:
                     yield from flush()
                     held, owners, los, n = [], [], [], 0
         if n:
@@ -259,7 +281,7 @@ def _group(batches):
             group = owners[at : at + k]
             if (same := xxhash.xxh3_128_digest(group.tobytes())) not in seen:  # equal groups once
                 seen.add(same)
-                yield table({"word": np.full(k, words[at].view(np.int64)), "x": group, "y": pa.nulls(k, pa.int64())}, PAIRS)
+                yield table({"word": np.full(k, (words[at] | _U(now & 0xFFFF)).view(np.int64)), "x": group, "y": pa.nulls(k, pa.int64())}, PAIRS)
 
     words, owners, now = [], [], None
     for b in batches:
@@ -268,8 +290,9 @@ def _group(batches):
                 yield from made(np.concatenate(words), np.concatenate(owners))
                 words, owners = [], []
             now = part
-            words.append(np.frombuffer(w, np.uint64))
-            owners.append(np.frombuffer(los, np.int64)[np.frombuffer(o, np.uint32)])
+            high = np.frombuffer(w, np.uint8).reshape(-1, 6)
+            words.append(np.concatenate([np.zeros((len(high), 2), np.uint8), high], 1).view(np.uint64).ravel())
+            owners.append(np.frombuffer(los, np.int64)[np.frombuffer(o, np.uint16)])
     if words:
         yield from made(np.concatenate(words), np.concatenate(owners))
 
@@ -303,11 +326,9 @@ def _verify(batches):
 
 def _bounded(batches):
     """Of pairs (a, b, na, nb, ka, kb), those within the bounds of size and of the bit sketches' Hamming distance."""
-    for b in sliced(batches, 8192):
+    for b in sliced(batches, 4096):
         na, nb = (b.column(c).to_numpy(zero_copy_only=False) for c in ("na", "nb"))
-        ka, kb = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint64).reshape(b.num_rows, -1) for c in ("ka", "kb"))
-        ok = np.minimum(na, nb) * DEN >= np.maximum(na, nb) * NUM
-        ok &= np.bitwise_count(ka ^ kb).sum(1).astype(np.int64) * (NUM + DEN) <= (na + nb) * (DEN - NUM)
+        ok = hamming_bounded(b.column("ka").to_pylist(), b.column("kb").to_pylist(), na, nb)
         if ok.any():
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], schema=LINKS).filter(pa.array(ok))
 
@@ -318,7 +339,9 @@ def _near(batches):
 
     def pairs(ids, comp, size, sketch):
         order = np.argsort(size, kind="stable")
-        ids, comp, size, sketch = ids[order], comp[order], size[order], sketch[order]
+        ids, comp, size = ids[order], comp[order], size[order]
+        words = min(map(len, sketch)) // 8  # sizes of a group are within a small factor
+        sketch = np.concatenate([fold(np.frombuffer(sketch[i], np.uint64).reshape(1, -1), words) for i in order])
         for i in range(len(ids)):
             upto = np.searchsorted(size, size[i] * DEN // NUM, "right")
             for j in range(i + 1, upto, 4096):
@@ -333,14 +356,14 @@ def _near(batches):
     for b in batches:
         word = b.column("word").to_numpy(zero_copy_only=False)
         cols = [b.column(c).to_numpy(zero_copy_only=False) for c in ("id", "component", "size")]
-        sketch = np.frombuffer(b"".join(b.column("sketch").to_pylist()), np.uint64).reshape(b.num_rows, -1)
+        cols.append(np.array(b.column("sketch").to_pylist(), object))
         edge = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
         for a, z in zip(edge.tolist(), [*edge[1:].tolist(), len(word)]):
             if word[a] != now and held:
                 yield from pairs(*(np.concatenate(x) for x in zip(*held)))
                 held = []
             now = word[a]
-            held.append([*(c[a:z] for c in cols), sketch[a:z]])
+            held.append([c[a:z] for c in cols])
     if held:
         yield from pairs(*(np.concatenate(x) for x in zip(*held)))
 
@@ -425,3 +448,22 @@ def join(docs: DataFrame) -> DataFrame:
         F.when(empty, F.col("doc_id")).otherwise(own).alias("class_id"),
         F.when(empty, F.col("doc_id")).otherwise(component).alias("component_id"),
     )
+
+
+def one_each(docs: DataFrame) -> DataFrame:
+    """One document of each group of linked ones, the one of the smallest doc_id; all columns. Documents with an empty set stay.
+
+    Rows are told apart by doc_id: rows that repeat a doc_id stay or go together, and a null doc_id stays.
+    """
+    gone = cut(join(docs).where("component_id <> doc_id").select("doc_id").distinct(), "gone")
+    if gone.count() > BROADCAST_IDS:
+        return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    ids = docs.sparkSession.sparkContext.broadcast(np.sort(np.fromiter((r[0] for r in gone.toLocalIterator()), np.int64)))
+    at = docs.columns.index("doc_id")
+
+    def run(batches):
+        for b in sliced(batches, 1024):
+            doc_id = pa.compute.fill_null(b.column(at).cast(pa.int64()), 0).to_numpy(zero_copy_only=False)
+            yield b.filter(pa.array(~_in_sorted(doc_id, ids.value) | np.asarray(b.column(at).is_null())))
+
+    return docs.mapInArrow(run, docs.schema)
