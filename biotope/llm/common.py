@@ -57,9 +57,9 @@ def ship(spark: SparkSession) -> None:
     sc._biotope_shipped = True
 
 
-def texts(docs: DataFrame, *columns: str) -> DataFrame:
-    """doc_id, the text with null as empty, and further columns by name; other columns are left out, so none can clash."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *columns)
+def texts(docs: DataFrame) -> DataFrame:
+    """doc_id and the text, with null as empty; other columns are left out, so none can clash."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
 def table(columns: dict, schema: pa.Schema) -> pa.RecordBatch:

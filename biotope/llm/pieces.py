@@ -15,6 +15,7 @@ from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import ship, sliced, table, texts
 
@@ -140,8 +141,8 @@ def encode(docs: DataFrame, model: str, keep: tuple[str, ...] = ()) -> DataFrame
     doc_id stays null. Texts of any length are encoded whole. Columns not named are not read, so their names can't clash.
     """
     ship(docs.sparkSession)
-    rows = texts(docs, *keep)
-    fields = [f for f in rows.schema.fields if f.name in keep]
+    row = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *(F.col(c).alias(f"kept_{c}") for c in keep), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    fields = row.schema.fields[1:-1]
 
     def run(batches):
         vocabulary = pieces(model)
@@ -151,7 +152,7 @@ def encode(docs: DataFrame, model: str, keep: tuple[str, ...] = ()) -> DataFrame
             yield pa.RecordBatch.from_arrays([*made, *(b.column(f.name) for f in fields)], ["doc_id", "ids", "decoded", *(f.name for f in fields)])
 
     extra = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in fields)
-    return rows.mapInArrow(run, f"doc_id long, ids array<int>, decoded string{extra}")
+    return row.mapInArrow(run, f"doc_id long, ids array<int>, decoded string{extra}").withColumnsRenamed({f"kept_{c}": c for c in keep})
 
 
 DIGEST = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])

@@ -52,10 +52,17 @@ def signals(docs: DataFrame, stratum: str = "lang") -> DataFrame:
 
     A row for every row; null and empty texts have counts of 0 and fail the base rules; a null stratum, or none among the columns, is "".
     """
+    return _signals(docs, stratum).drop("row")
+
+
+def _signals(docs: DataFrame, stratum: str, whole: bool = False) -> DataFrame:
+    """signals(), with the whole row in the column row if asked for."""
     lang = F.coalesce(F.col(stratum).cast("string"), F.lit("")) if stratum in docs.columns else F.lit("")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    one = docs.select(F.col("doc_id").cast("long").alias("doc_id"), lang.alias("stratum"), text.alias("text"))
+    row = F.struct(*(docs[c] for c in docs.columns)) if whole else F.lit(0)
+    one = docs.select(F.col("doc_id").cast("long").alias("doc_id"), lang.alias("stratum"), text.alias("text"), row.alias("row"))
     split = one.select(
+        "row",
         "doc_id",
         "stratum",
         F.regexp_extract_all("text", F.lit(_WORD), F.lit(0)).alias("words"),
@@ -64,6 +71,7 @@ def signals(docs: DataFrame, stratum: str = "lang") -> DataFrame:
         (F.length("text") - F.length(F.replace("text", F.lit("!"), F.lit("")))).cast("long").alias("n_exclaims"),
     )
     counted = split.select(
+        "row",
         "doc_id",
         "stratum",
         F.size("words").cast("long").alias("n_words"),
@@ -135,13 +143,24 @@ def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float
     The texts are read once; what follows works on the written counts.
     """
     found = cut(signals(docs, stratum), "signals")
-    chosen = cut(certified(found, labels, risk, error, cutoffs), "cutoffs")
+    return _judged(found, certified(found, labels, risk, error, cutoffs), cutoffs)
+
+
+def keep(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = RISK, error: float = ERROR, cutoffs: dict = CUTOFFS) -> DataFrame:
+    """The rows of docs that judge() keeps, with all columns. Texts are read twice: to choose the cutoffs, and with their rows; no text
+    is shuffled."""
+    chosen = certified(signals(docs, stratum), labels, risk, error, cutoffs)
+    return _judged(_signals(docs, stratum, whole=True), chosen, cutoffs).where("kept").select("row.*")
+
+
+def _judged(found: DataFrame, chosen: DataFrame, cutoffs: dict) -> DataFrame:
+    chosen = cut(chosen, "cutoffs")
     few = chosen.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     joined = found.join(F.broadcast(chosen) if few else chosen, "stratum", "left")
-    above = [F.coalesce(value > F.col(f"cut_{rule}"), F.lit(False)) for rule, value in rule_values().items() if rule in cutoffs]
     bad = F.col("base_failed")
-    for x in above:
-        bad = bad | x
+    for rule, value in rule_values().items():
+        if rule in cutoffs:
+            bad = bad | F.coalesce(value > F.col(f"cut_{rule}"), F.lit(False))
     return joined.withColumn("kept", ~bad)
 
 
