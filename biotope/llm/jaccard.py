@@ -400,7 +400,9 @@ def classes_and_links(docs: DataFrame, partitions: int | None = None) -> tuple[D
         label = components(links)
         at = large.join(known, "lo").join(label, "id", "left").select("word", "id", F.coalesce("component", "id").alias("component"), F.col("n").alias("size"), "sketch")
         mixed = at.groupBy("word").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("word")
-        near = at.join(mixed, "word", "left_semi").repartition("word").sortWithinPartitions("word").mapInArrow(_near, "a long, b long")
+        # written first: right after the join, a repartition on its key would be left out, and a skewed word's rows dealt to several tasks
+        rest = cut(at.join(mixed, "word", "left_semi"), "rest")
+        near = rest.repartition("word").sortWithinPartitions("word").mapInArrow(_near, "a long, b long")
         links = links.union(_verified(rows, classes, cut(near.distinct(), "near")))
     drop(grouped)
     return members, classes, links
