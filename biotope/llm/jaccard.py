@@ -42,6 +42,7 @@ HELD_WORDS = 1_500_000
 COMMON_SHARE, COMMON_MOST = 0.002, 100_000
 #: Ids that are broadcast at most; beyond it the texts are joined.
 BROADCAST_IDS = 2_000_000
+BROADCAST_BYTES = 48 << 20
 BITS = 1024
 
 _U = np.uint64
@@ -333,39 +334,53 @@ def _bounded(batches):
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], schema=LINKS).filter(pa.array(ok))
 
 
-def _near(batches):
+def _near(nearest: bool):
     """From rows (word, id, component, size, sketch) in order of word: the pairs of different components within the bounds of size
-    and Hamming distance."""
+    and Hamming distance (nearest: for each set, the one of the least distance among those not smaller)."""
 
     def pairs(ids, comp, size, sketch):
         order = np.argsort(size, kind="stable")
         ids, comp, size = ids[order], comp[order], size[order]
         words = min(map(len, sketch)) // 8  # sizes of a group are within a small factor
         sketch = np.concatenate([fold(np.frombuffer(sketch[i], np.uint64).reshape(1, -1), words) for i in order])
+        found = []
         for i in range(len(ids)):
+            best = None
             upto = np.searchsorted(size, size[i] * DEN // NUM, "right")
             for j in range(i + 1, upto, 4096):
                 k = slice(j, min(upto, j + 4096))
                 hamming = np.bitwise_count(sketch[k] ^ sketch[i]).sum(1).astype(np.int64)
                 ok = (comp[k] != comp[i]) & (hamming * (NUM + DEN) <= (size[k] + size[i]) * (DEN - NUM))
                 if ok.any():
-                    other = ids[k][ok]
-                    yield table({"a": np.minimum(other, ids[i]), "b": np.maximum(other, ids[i])}, LINKS)
+                    other = np.flatnonzero(ok)
+                    if not nearest:
+                        found.append(np.stack([np.full(len(other), ids[i]), ids[k][other]]))
+                    elif best is None or hamming[other].min() < best[0]:
+                        best = (hamming[other].min(), ids[k][other[hamming[other].argmin()]])
+            if best is not None:
+                found.append(np.array([[ids[i]], [best[1]]], np.int64))
+            if found and (sum(f.shape[1] for f in found) > 1 << 16 or i == len(ids) - 1):
+                pair = np.concatenate(found, 1)
+                yield table({"a": pair.min(0), "b": pair.max(0)}, LINKS)
+                found = []
 
-    held, now = [], None
-    for b in batches:
-        word = b.column("word").to_numpy(zero_copy_only=False)
-        cols = [b.column(c).to_numpy(zero_copy_only=False) for c in ("id", "component", "size")]
-        cols.append(np.array(b.column("sketch").to_pylist(), object))
-        edge = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
-        for a, z in zip(edge.tolist(), [*edge[1:].tolist(), len(word)]):
-            if word[a] != now and held:
-                yield from pairs(*(np.concatenate(x) for x in zip(*held)))
-                held = []
-            now = word[a]
-            held.append([c[a:z] for c in cols])
-    if held:
-        yield from pairs(*(np.concatenate(x) for x in zip(*held)))
+    def run(batches):
+        held, now = [], None
+        for b in batches:
+            word = b.column("word").to_numpy(zero_copy_only=False)
+            cols = [b.column(c).to_numpy(zero_copy_only=False) for c in ("id", "component", "size")]
+            cols.append(np.array(b.column("sketch").to_pylist(), object))
+            edge = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
+            for a, z in zip(edge.tolist(), [*edge[1:].tolist(), len(word)]):
+                if word[a] != now and held:
+                    yield from pairs(*(np.concatenate(x) for x in zip(*held)))
+                    held = []
+                now = word[a]
+                held.append([c[a:z] for c in cols])
+        if held:
+            yield from pairs(*(np.concatenate(x) for x in zip(*held)))
+
+    return run
 
 
 # -- the join ---------------------------------------------------------------------------------------------------------------
@@ -397,17 +412,31 @@ def classes_and_links(docs: DataFrame, partitions: int | None = None) -> tuple[D
     both = pairs.join(kx, "x").join(ky, "y").select(F.col("ix").alias("a"), F.col("iy").alias("b"), F.col("nx").alias("na"), F.col("ny").alias("nb"), F.col("kx").alias("ka"), F.col("ky").alias("kb"))
     links = _verified(rows, classes, cut(both.mapInArrow(_bounded, "a long, b long"), "candidates"))
     if large.limit(1).count():
-        label = components(links)
-        at = large.join(known, "lo").join(label, "id", "left").select("word", "id", F.coalesce("component", "id").alias("component"), F.col("n").alias("size"), "sketch")
-        mixed = at.groupBy("word").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("word")
-        # written first: right after the join, a repartition on its key would be left out, and a skewed word's rows dealt to several tasks
-        rest = cut(at.join(mixed, "word", "left_semi"), "rest")
-        near = rest.repartition("word").sortWithinPartitions("word").mapInArrow(_near, "a long, b long")
-        links = links.union(_verified(rows, classes, cut(near.distinct(), "near")))
+        # first only the nearest of another component for each set: what that joins needs no further comparison
+        for nearest in (True, False):
+            near = cut(_residual(large, known, components(links), nearest).distinct(), "near")
+            if near.limit(1).count():
+                links = links.union(_verified(rows, classes, near))
     drop(grouped)
     return members, classes, links
 
 
+def _residual(large: DataFrame, known: DataFrame, label: DataFrame, nearest: bool) -> DataFrame:
+    """Pairs (a, b) of different components in a large group whose sizes and bit sketches allow a link (nearest: for each set one of the
+    least Hamming distance only)."""
+    at = large.join(known.select("lo", "id", F.col("n").alias("size")), "lo").join(label, "id", "left").select("word", "id", F.coalesce("component", "id").alias("component"), "size")
+    mixed = at.groupBy("word").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("word")
+    # written first: right after the join, a repartition on its key would be left out, and a skewed word's rows dealt to several tasks
+    rest = cut(at.join(mixed, "word", "left_semi"), "rest")
+    sketches = cut(known.select("id", "sketch").join(rest.select("id").distinct(), "id", "left_semi"), "sketches")
+    size = sketches.agg(F.coalesce(F.sum(F.length("sketch") + 32), F.lit(0))).first()[0]
+    if size <= BROADCAST_BYTES:  # after the shuffle, so that it carries no sketches
+        wide = rest.repartition("word").sortWithinPartitions("word").join(F.broadcast(sketches), "id").select("word", "id", "component", "size", "sketch")
+    else:
+        wide = cut(rest.join(sketches, "id"), "wide").select("word", "id", "component", "size", "sketch").repartition("word").sortWithinPartitions("word")
+    return wide.mapInArrow(_near(nearest), "a long, b long")
+
+
 def _verified(rows: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
     """Of pairs (a, b: ids of classes; a written table), those whose sets are linked. Only the sets of the pairs' classes are made."""
     spark = rows.sparkSession
