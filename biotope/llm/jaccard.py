@@ -431,7 +431,7 @@ def _residual(large: DataFrame, known: DataFrame, label: DataFrame, nearest: boo
     sketches = cut(known.select("id", "sketch").join(rest.select("id").distinct(), "id", "left_semi"), "sketches")
     size = sketches.agg(F.coalesce(F.sum(F.length("sketch") + 32), F.lit(0))).first()[0]
     if size <= BROADCAST_BYTES:  # after the shuffle, so that it carries no sketches
-        wide = rest.repartition("word").sortWithinPartitions("word").join(F.broadcast(sketches), "id").select("word", "id", "component", "size", "sketch")
+        wide = rest.repartition("word").join(F.broadcast(sketches), "id").select("word", "id", "component", "size", "sketch").sortWithinPartitions("word")  # a sort before a join is left out
     else:
         wide = cut(rest.join(sketches, "id"), "wide").select("word", "id", "component", "size", "sketch").repartition("word").sortWithinPartitions("word")
     return wide.mapInArrow(_near(nearest), "a long, b long")
