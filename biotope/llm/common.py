@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
+import sys
 import tempfile
 import uuid
 import zipfile
@@ -12,8 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of an Arrow batch, so that a batch of long texts stays small; set where the session has Spark's default.
-BATCH_ROWS = 1024
+#: Rows and bytes of an Arrow batch, so that a batch of long texts or sets stays small; set where the session has Spark's defaults.
+BATCH_ROWS, BATCH_BYTES = 1024, 8 << 20
 #: Broadcast bound, in rows, of tables with rows of a few dozen bytes. Beyond it the operators shuffle instead.
 BROADCAST_ROWS = 200_000
 
@@ -42,9 +45,10 @@ def drop(df: DataFrame) -> None:
 
 def ship(spark: SparkSession) -> None:
     """Send this package to the Python workers once a session, so that they import it wherever they run; bound Arrow batches."""
-    sc, rows = spark.sparkContext, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(rows) == "10000":
-        spark.conf.set(rows, BATCH_ROWS)
+    sc, batch = spark.sparkContext, "spark.sql.execution.arrow.max{}PerBatch"
+    for name, default, ours in (("Records", 10_000, BATCH_ROWS), ("Bytes", (1 << 63) - 1, BATCH_BYTES)):
+        if spark.conf.get(batch.format(name), None) in (None, str(default), f"{default}b"):
+            spark.conf.set(batch.format(name), ours)
     if getattr(sc, "_biotope_shipped", False):
         return
     root = Path(__file__).resolve().parents[1]
@@ -62,6 +66,14 @@ def texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
+def tidy() -> None:
+    """Give freed memory back, at the end of a pass that held much: workers are used again, and would keep it."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        with contextlib.suppress(OSError, AttributeError):  # a C library without malloc_trim
+            ctypes.CDLL(None).malloc_trim(0)
+
+
 def table(columns: dict, schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
 

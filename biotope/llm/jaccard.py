@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, drop, ship, sliced, table, texts
+from .common import cut, drop, ship, sliced, table, texts, tidy
 from .components import components
 from .words import SPACED, split_words
 
@@ -35,9 +35,9 @@ _RATIO = 5 / 3
 #: Groups of up to so many give all their pairs at once.
 SMALL = 8
 #: Words that one partition of the join holds, about.
-PART_WORDS = 2_000_000
+PART_WORDS = 1_000_000
 #: Words that a task holds before it hands them on.
-HELD_WORDS = 1_500_000
+HELD_WORDS = 1_000_000
 #: Common shingles that are put last: in so large a share of the documents, and so many at most (it is only an order).
 COMMON_SHARE, COMMON_MOST = 0.002, 100_000
 #: Ids that are broadcast at most; beyond it the texts are joined.
@@ -187,7 +187,7 @@ WHOLE = pa.schema([("id", pa.int64()), ("hi", pa.int64()), ("lo", pa.int64()), (
 WHOLE_DDL = "id long, hi long, lo long, shingles binary"
 
 
-def _chunks(batches, size: int = 4 << 20):
+def _chunks(batches, size: int = 2 << 20):
     """Batches of up to 1,024 rows and about `size` bytes of text (one row at least)."""
     for b in sliced(batches, 1024):
         lengths = np.array([len(x) for x in b.column("text").to_pylist()])
@@ -244,6 +244,8 @@ def _pack(parts: int, common):
                     held, owners, los, n = [], [], [], 0
         if n:
             yield from flush()
+        del held, owners
+        tidy()
 
     return run
 
@@ -296,6 +298,8 @@ def _group(batches):
             owners.append(np.frombuffer(los, np.int64)[np.frombuffer(o, np.uint16)])
     if words:
         yield from made(np.concatenate(words), np.concatenate(owners))
+    del words, owners
+    tidy()
 
 
 def _whole(wanted=None):
@@ -319,10 +323,11 @@ LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
 def _verify(batches):
-    for b in sliced(batches, 512):
+    for b in sliced(batches, 128):
         keep = [linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(b.column("sx").to_pylist(), b.column("sy").to_pylist())]
         if any(keep):
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], schema=LINKS).filter(pa.array(keep))
+    tidy()
 
 
 def _bounded(batches):
