@@ -52,7 +52,7 @@ def signals(docs: DataFrame, stratum: str = "lang") -> DataFrame:
 
     A row for every row; null and empty texts have counts of 0 and fail the base rules; a null stratum, or none among the columns, is "".
     """
-    return _signals(docs, stratum).drop("row")
+    return _signals(docs, stratum).drop("row", "number")
 
 
 def _signals(docs: DataFrame, stratum: str, whole: bool = False) -> DataFrame:
@@ -81,6 +81,7 @@ def _signals(docs: DataFrame, stratum: str, whole: bool = False) -> DataFrame:
         repeat_words(F.col("words")).cast("long").alias("n_repeat_words"),
         F.size("lines").cast("long").alias("n_lines"),
         "n_exclaims",
+        F.monotonically_increasing_id().alias("number"),
     )
     return counted.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
 
@@ -149,8 +150,10 @@ def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float
 def keep(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = RISK, error: float = ERROR, cutoffs: dict = CUTOFFS) -> DataFrame:
     """The rows of docs that judge() keeps, with all columns. Texts are read twice: to choose the cutoffs, and with their rows; no text
     is shuffled."""
-    chosen = certified(signals(docs, stratum), labels, risk, error, cutoffs)
-    return _judged(_signals(docs, stratum, whole=True), chosen, cutoffs).where("kept").select("row.*")
+    chosen = certified(cut(signals(docs, stratum), "signals"), labels, risk, error, cutoffs)
+    # the row's number, which is not deterministic to the optimiser, holds the filter above the counts; below them it would have a
+    # copy of their expressions for each use
+    return _judged(_signals(docs, stratum, whole=True), chosen, cutoffs).where("kept and number >= 0").select("row.*")
 
 
 def _judged(found: DataFrame, chosen: DataFrame, cutoffs: dict) -> DataFrame:
