@@ -10,17 +10,17 @@ def densify(cells: DataFrame) -> DataFrame:
     """ix, iy, value for every place between the least and largest index; missing cells are null rows."""
     box = cells.agg(F.min("ix").alias("a"), F.max("ix").alias("b"), F.min("iy").alias("c"), F.max("iy").alias("d"))
     xs = box.select(F.explode(F.sequence("a", "b")).alias("ix"), "c", "d")
-    return xs.select("ix", F.explode(F.sequence("c", "d")).alias("iy")).join(cells.select("ix", "iy", "value"), ["ix", "iy"], "left")
+    return xs.select("ix", F.explode(F.sequence("c", "d")).alias("iy")).join(cells.select("ix", "iy", "value", F.lit(True).alias("own")), ["ix", "iy"], "left")
 
 
 def box_filter(cells: DataFrame, r: int = 1) -> DataFrame:
     """ix, iy, value, blur, near: the mean and number of the values within r steps each way. Two window passes, over rows and columns,
-    instead of (2 r + 1) ** 2 neighbours a cell; cells of the lattice that are not rows just don't count."""
+    instead of (2 r + 1) ** 2 neighbours a cell. Missing cells of the lattice are filled in for the passes: they carry sums."""
     row = Window.partitionBy("iy").orderBy("ix").rangeBetween(-r, r)
     col = Window.partitionBy("ix").orderBy("iy").rangeBetween(-r, r)
-    one = cells.withColumn("s1", F.sum("value").over(row)).withColumn("n1", F.count("value").over(row))
+    one = densify(cells).withColumn("s1", F.sum("value").over(row)).withColumn("n1", F.count("value").over(row))
     two = one.withColumn("s2", F.sum("s1").over(col)).withColumn("near", F.sum("n1").over(col))
-    return two.select("ix", "iy", "value", F.when(F.col("near") > 0, F.col("s2") / F.col("near")).alias("blur"), "near")
+    return two.where("own").select("ix", "iy", "value", F.when(F.col("near") > 0, F.col("s2") / F.col("near")).alias("blur"), "near")
 
 
 def smooth_and_sharpen(cells: DataFrame, r: int = 1, amount: float = 0.6) -> DataFrame:
@@ -32,7 +32,7 @@ def smooth_and_sharpen(cells: DataFrame, r: int = 1, amount: float = 0.6) -> Dat
 
 def fill_holes(cells: DataFrame, least: int = 5, passes: int = 1, r: int = 1) -> DataFrame:
     """Missing cells with at least `least` values around them get their mean; `passes` times."""
-    dense = densify(cells)
+    dense = densify(cells).drop("own")
     for _ in range(passes):
         dense = box_filter(dense, r).select("ix", "iy", F.coalesce("value", F.when(F.col("near") >= least, F.col("blur"))).alias("value"))
     return dense

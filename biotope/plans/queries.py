@@ -308,3 +308,298 @@ def redundancy_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT row_id, round(CASE WHEN terraclimate_ppt_2019_mean IS NULL THEN terraclimate_ppt_2020_mean WHEN terraclimate_ppt_2020_mean IS NULL THEN terraclimate_ppt_2019_mean ELSE (terraclimate_ppt_2019_mean + terraclimate_ppt_2020_mean) / 2 END, 6) AS terraclimate_ppt_mean FROM occ""")
 def multi_year_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(ingest.fold_years(V.occ(spark, sf_dir, row_id=True)).select("row_id", "terraclimate_ppt_mean"))
+
+
+# -- suitability ---------------------------------------------------------------------------------------------------------
+
+_TRAP = "CASE WHEN x IS NULL THEN NULL WHEN mx <= mn THEN CASE WHEN abs(x - mn) <= 1e-8 + 1e-5 * abs(mn) THEN 1.0 ELSE 0.0 END WHEN x < mn OR x > mx THEN 0.0 WHEN x >= q25 AND x <= q75 THEN 1.0 WHEN x < q25 THEN (x - mn) / (q25 - mn) ELSE (mx - x) / (mx - q75) END"
+_SCORES = f"""{_WEIGHTS},
+env AS (SELECT grp, p."column", mn, q25, q75, mx, CASE WHEN blended_weight > 0 THEN blended_weight ELSE 0.8 END AS w0 FROM prof p LEFT JOIN wt USING ("column") WHERE n_valid >= 1),
+model AS (SELECT *, w0 / sum(w0) OVER (PARTITION BY grp) AS w FROM env),
+x AS (SELECT id, glim_litho AS cat, 'dem_elev' AS "column", dem_elev AS x FROM grid UNION ALL SELECT id, glim_litho, 'soilgrids_clay', soilgrids_clay FROM grid UNION ALL SELECT id, glim_litho, 'twi_value', twi_value FROM grid),
+sh AS (SELECT grp, glim_litho AS cat, count(*) / sum(count(*)) OVER (PARTITION BY grp) AS f FROM occ GROUP BY grp, glim_litho),
+s0 AS (SELECT grp, id, cat, sum(w) FILTER (x IS NOT NULL) AS has, sum(w * ln(greatest(0.02 + 0.98 * pow({_TRAP}, 2), 1e-12))) AS logs,
+  sum(w / (1 + greatest(mn - x, x - mx, 0) / greatest(q75 - q25, 0.1 * (mx - mn), 1e-12))) AS rel FROM model JOIN x USING ("column") GROUP BY grp, id, cat),
+s1 AS (SELECT s0.grp, id, exp(logs / has) AS num, rel / has AS reliability, 0.02 + 0.98 * pow(coalesce(f, 0), 2) AS kat FROM s0 LEFT JOIN sh USING (grp, cat)),
+s2 AS (SELECT grp, id, exp(0.85 * ln(greatest(num, 1e-12)) + 0.15 * ln(greatest(kat, 1e-12))) AS core, reliability, 0.85 + 0.15 * pow(reliability, 0.35) AS factor FROM s1),
+sc AS (SELECT *, greatest(0, least(1, core * factor)) AS adjusted FROM s2)"""
+
+
+def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = V.occ(spark, sf_dir)
+    v = profile.long(o, FEATURES, "grp")
+    envelopes = suitability.models(profile.numeric(v, ["grp", "column"]), profile.feature_weights(v))
+    shares = profile.categories(o, ["glim_litho"], "grp").select("grp", "value", F.col("fraction_of_non_null").alias("f"))
+    return suitability.score(V.grid(spark, sf_dir), envelopes, shares, "glim_litho")
+
+
+@query(f"""{_SCORES} SELECT grp, id, round(core, 6) AS core, round(reliability, 6) AS reliability, round(factor, 6) AS factor, round(adjusted, 6) AS adjusted FROM sc""")
+def suitability_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(_scores(spark, sf_dir).select("grp", "id", "core", "reliability", "factor", "adjusted"))
+
+
+@query(f"""{_SCORES} SELECT grp, count(adjusted) AS n_cells, round(avg(core), 6) AS mean_core, round(avg(adjusted), 6) AS mean_adjusted, round(max(adjusted), 6) AS max_adjusted, count(*) FILTER (adjusted >= 0.5) AS n_suitable, round(count(*) FILTER (adjusted >= 0.5) / count(adjusted), 6) AS fraction_suitable FROM sc GROUP BY grp""")
+def suitability_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(suitability.summary(_scores(spark, sf_dir)))
+
+
+@query(f"""{_SCORES}, h AS (SELECT grp, CAST(least(floor(round(adjusted, 9) * 64), 63) AS INTEGER) AS bin, count(*) AS n FROM sc GROUP BY ALL) SELECT grp, bin, n, round(sum(n) OVER (PARTITION BY grp ORDER BY bin) / sum(n) OVER (PARTITION BY grp), 6) AS cdf FROM h""")
+def suitability_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(suitability.histogram(_scores(spark, sf_dir).withColumn("adjusted", F.round("adjusted", 9)), bins=64))
+
+
+_JOINT = """v AS (SELECT {k} id, max(adjusted) AS hi, min(adjusted) AS lo, arg_min(grp, (-round(adjusted, 9), grp)) AS top_group, count(*) FILTER (adjusted >= 0.5) AS richness, avg(reliability) AS rel, count(*) AS n, list_sort(list(adjusted)) AS s FROM {t} GROUP BY {k} id),
+j AS (SELECT *, CAST(greatest(1, ceil(n * 0.25)) AS INTEGER) AS kk FROM v),
+jj AS (SELECT *, 0.7 * lo + 0.3 * list_sum(list_transform(range(1, kk + 1), lambda i: s[i] * pow(i, -1.5))) / list_sum(list_transform(range(1, kk + 1), lambda i: pow(i, -1.5))) AS joint FROM j)"""
+
+
+@query(f"""{_SCORES}, {_JOINT.format(k='', t='sc')} SELECT id, round(hi, 6) AS overall_adjusted, round(lo, 6) AS overall_min, richness, round(rel, 6) AS reliability_mean, round(joint, 6) AS joint FROM jj""")
+def suitability_overall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(suitability.overall(_scores(spark, sf_dir)).drop("top_group"))
+
+
+@query(f"""{_SCORES}, mem AS (SELECT DISTINCT grp, substr(grp, 1, 7) AS rank_value FROM occ), many AS (SELECT rank_value FROM mem GROUP BY 1 HAVING count(DISTINCT grp) > 1), sr AS (SELECT sc.*, rank_value FROM sc JOIN mem USING (grp) JOIN many USING (rank_value)),
+{_JOINT.format(k='rank_value,', t='sr')} SELECT rank_value, id, round(lo, 6) AS min_adjusted, round(joint, 6) AS joint_adjusted, round(rel, 6) AS reliability_mean FROM jj""")
+def suitability_by_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    members = V.occ(spark, sf_dir).select("grp", F.substring("grp", 1, 7).alias("rank_value")).distinct()
+    return _rounded(suitability.by_rank(_scores(spark, sf_dir), members))
+
+
+# -- surfaces --------------------------------------------------------------------------------------------------------------
+
+_CELLS = "cells AS (SELECT ix, iy, CASE WHEN id % 11 = 0 THEN NULL ELSE dem_elev / 60.0 END AS value FROM grid)"
+_BLUR = f"""{_CELLS}, blur AS (SELECT a.ix, a.iy, any_value(a.value) AS value, avg(b.value) AS blur, count(b.value) AS near FROM cells a JOIN cells b ON abs(a.ix - b.ix) <= 1 AND abs(a.iy - b.iy) <= 1 GROUP BY a.ix, a.iy)"""
+
+
+def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.grid(spark, sf_dir).select("ix", "iy", F.when(F.col("id") % 11 != 0, F.col("dem_elev") / 60.0).alias("value"))
+
+
+@query(f"{_BLUR} SELECT ix, iy, round(value, 6) AS value, round(blur, 6) AS blur, near FROM blur")
+def box_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(surface.box_filter(_cells(spark, sf_dir)))
+
+
+@query(f"{_BLUR} SELECT ix, iy, round(value, 6) AS value, round(CASE WHEN value IS NOT NULL THEN blur END, 6) AS value_smooth, round(CASE WHEN value IS NOT NULL THEN greatest(0, least(1, value + 0.6 * (value - blur))) END, 6) AS value_sharpen FROM blur")
+def smooth_and_sharpen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(surface.smooth_and_sharpen(_cells(spark, sf_dir)))
+
+
+@query(f"{_BLUR} SELECT ix, iy, round(coalesce(value, CASE WHEN near >= 5 THEN blur END), 6) AS value FROM blur")
+def fill_holes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dense = surface.fill_holes(_cells(spark, sf_dir))
+    return _rounded(dense.join(_cells(spark, sf_dir).select("ix", "iy"), ["ix", "iy"], "left_semi"))
+
+
+@query(f"{_CELLS} SELECT CAST(floor(ix / 4) AS BIGINT) AS bx, CAST(floor(iy / 4) AS BIGINT) AS by, round(avg(value), 6) AS value, count(value) AS n FROM cells GROUP BY ALL")
+def coarsen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(surface.coarsen(_cells(spark, sf_dir), 4))
+
+
+@query("""v AS (SELECT DISTINCT round(lon, 6) AS v FROM grid), n AS (SELECT v, lag(v) OVER (ORDER BY v) AS p, lead(v) OVER (ORDER BY v) AS q FROM v)
+SELECT v, v - coalesce((v - p) / 2, (q - v) / 2) AS low, v + coalesce((q - v) / 2, (v - p) / 2) AS high, (SELECT median(q - v) FROM n) AS step FROM n""")
+def axis_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surface.axis(V.grid(spark, sf_dir), "lon")
+
+
+_NEAR = """near AS (SELECT o.row_id, arg_min(g.id, (pow(o.lon - g.lon, 2) + pow(o.lat - g.lat, 2), g.id)) AS cell FROM occ o JOIN grid g ON abs(o.lon - g.lon) <= 0.275 AND abs(o.lat - g.lat) <= 0.275
+ AND pow(o.lon - g.lon, 2) + pow(o.lat - g.lat, 2) <= 0.275 * 0.275 GROUP BY o.row_id), mapped AS (SELECT o.*, cell FROM occ o LEFT JOIN near USING (row_id))"""
+
+
+def _mapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surface.nearest_cell(V.occ(spark, sf_dir, row_id=True), V.grid(spark, sf_dir), 0.275)
+
+
+@query(f"{_NEAR} SELECT id, count(cell) AS n FROM grid LEFT JOIN mapped ON cell = id GROUP BY id")
+def heatmap_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surface.cell_counts(_mapped(spark, sf_dir), V.grid(spark, sf_dir))
+
+
+@query(f"{_NEAR} SELECT grp, count(*) AS n_selected, count(cell) AS n_mapped, count(*) - count(cell) AS n_unmapped, round(count(cell) / count(*), 6) AS fraction_mapped FROM mapped GROUP BY grp")
+def heatmap_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(surface.mapping_summary(_mapped(spark, sf_dir)))
+
+
+# -- rasters and space -------------------------------------------------------------------------------------------------------
+
+
+def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.grid(spark, sf_dir).where("id < 2000").select("id", F.col("lon"), F.col("lat"), F.col("iy").alias("r"), F.col("ix").alias("c"))
+
+
+def _fallback(radius: int, circle: bool) -> str:
+    rows = ", ".join(f"({k + 1}, {dr}, {dc})" for k, (dr, dc) in enumerate(raster.neighbours(radius, circle)))
+    return f"""o AS (SELECT * FROM (VALUES (0, 0, 0), {rows}) v(k, dr, dc)), pt AS (SELECT id, iy AS r, ix AS c FROM grid WHERE id < 2000),
+    hit AS (SELECT id, min((k, value)) AS b FROM pt, o, raster z WHERE z.r = pt.r + dr AND z.c = pt.c + dc AND value IS NOT NULL GROUP BY id)
+    SELECT id, CAST(b[1] AS INTEGER) AS found, b[2] AS value FROM pt LEFT JOIN hit USING (id)"""
+
+
+@query(_fallback(1, False))
+def sample_square(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return raster.sample(_points(spark, sf_dir), V.raster(spark, sf_dir), 1).select("id", "found", "value")
+
+
+@query(_fallback(2, True))
+def sample_circle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return raster.sample(_points(spark, sf_dir), V.raster(spark, sf_dir), 2, round_window=True).select("id", "found", "value")
+
+
+@query("p AS (SELECT id, CAST(floor((52.5 - lat) / 0.3) AS BIGINT) AS r, CAST(floor((lon + 120) / 0.4) AS BIGINT) AS c FROM grid) SELECT id, p.r, p.c, value FROM p LEFT JOIN raster z ON z.r = p.r AND z.c = p.c")
+def pixel_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = raster.to_pixel(V.grid(spark, sf_dir).select("id", "lon", "lat"), -120.0, 52.5, 0.4, 0.3)
+    return raster.sample(p, V.raster(spark, sf_dir)).select("id", "r", "c", "value")
+
+
+@query("SELECT row_id, CASE " + " ".join(f"WHEN lon BETWEEN {a} AND {c} AND lat BETWEEN {b} AND {d} THEN '{n}'" for n, a, b, c, d in raster.CONTINENTS) + " END AS continent, 'x' || CAST(floor(lon / 5) * 5 AS BIGINT) || '_y' || CAST(floor(lat / 5) * 5 AS BIGINT) AS tile_key FROM occ")
+def continent_and_tile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return raster.tile_key(raster.first_box(V.occ(spark, sf_dir, row_id=True))).select("row_id", "continent", "tile_key")
+
+
+_TILES = [(i, (i * 7) % 30, (i * 11) % 40, (i * 7) % 30 + 12, (i * 11) % 40 + 9) for i in range(1, 25)]
+
+
+@query(f"t AS (SELECT * FROM (VALUES {', '.join(map(str, _TILES))}) v(tile, r0, c0, r1, c1)) SELECT p.id, CAST(min(tile) AS BIGINT) AS tile FROM (SELECT id, iy AS r, ix AS c FROM grid WHERE id < 2000) p LEFT JOIN t ON p.r >= r0 AND p.r < r1 AND p.c >= c0 AND p.c < c1 GROUP BY p.id")
+def tile_of_block(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tiles = spark.createDataFrame(_TILES, "tile long, r0 long, c0 long, r1 long, c1 long")
+    return raster.tile_of_block(_points(spark, sf_dir), tiles, 8).select("id", "tile")
+
+
+@query("SELECT CAST(floor(r / 5) AS BIGINT) AS tr, CAST(floor(c / 5) AS BIGINT) AS tc, count(*) AS n, round(count(value) / count(*), 6) AS ratio FROM raster GROUP BY ALL HAVING count(value) / count(*) >= 0.8")
+def valid_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(raster.valid_ratio(V.raster(spark, sf_dir), 5, 0.8))
+
+
+_M = ["dem_elev", "soilgrids_clay", "twi_value", "terraclimate_ppt_2019_mean", "terraclimate_ppt_2020_mean"]
+
+
+@query(f"SELECT row_id, round(list_avg(l), 4) AS m_mean, round(list_sum(l), 4) AS m_sum, round(list_min(l), 4) AS m_min, round(list_max(l), 4) AS m_max FROM (SELECT row_id, list_filter([{', '.join(_M)}], lambda x: x IS NOT NULL) AS l FROM occ)")
+def month_aggregates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return raster.months(V.occ(spark, sf_dir, row_id=True), _M).select("row_id", *(F.round(c, 4).alias(c) for c in ("m_mean", "m_sum", "m_min", "m_max")))
+
+
+@query("SELECT id, round(cos(radians(dem_elev * 6)), 6) AS northness, round(sin(radians(dem_elev * 6)), 6) AS eastness, round(ln((greatest(terraclimate_ppt_mean, 0) + 1) / greatest(tan(radians(twi_value)), 1e-6)), 6) AS twi FROM grid")
+def terrain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = V.grid(spark, sf_dir)
+    return g.select("id", r6(X.northness(F.col("dem_elev") * 6)).alias("northness"), r6(X.eastness(F.col("dem_elev") * 6)).alias("eastness"), r6(X.wetness_index(F.col("twi_value"), F.col("terraclimate_ppt_mean"))).alias("twi"))
+
+
+_RING = [(0.3, 0.2), (9.7, 1.1), (7.9, 8.3), (4.2, 4.9), (1.1, 9.4)]
+_EDGES = ", ".join(f"({a[0]}, {a[1]}, {b[0]}, {b[1]})" for a, b in zip(_RING, [*_RING[1:], _RING[0]]))
+
+
+@query(f"""p AS (SELECT i AS ix, j AS iy, 0.25 + 0.5 * i AS x, 0.25 + 0.5 * j AS y FROM range(20) a(i), range(20) b(j)), e AS (SELECT * FROM (VALUES {_EDGES}) v(ax, ay, cx, cy))
+SELECT ix, iy, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y FROM p, e GROUP BY ix, iy, x, y HAVING count(*) FILTER ((ay > y) <> (cy > y) AND x < (cx - ax) * (y - ay) / (cy - ay) + ax) % 2 = 1""")
+def lattice_in_polygon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return space.inside(space.lattice(spark, 0.0, 0.0, 10.0, 10.0, 0.5), _RING)
+
+
+@query("""pos AS (SELECT DISTINCT CAST(floor(lon / 2) AS BIGINT) AS bx, CAST(floor(lat / 2) AS BIGINT) AS by FROM grid WHERE id % 400 = 0)
+SELECT id FROM grid g WHERE NOT EXISTS (SELECT 1 FROM pos WHERE abs(pos.bx - floor(g.lon / 2)) <= 1 AND abs(pos.by - floor(g.lat / 2)) <= 1)""")
+def background_outside_buffer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = V.grid(spark, sf_dir)
+    return space.outside_buffer(g.select("id", "lon", "lat"), g.where("id % 400 = 0"), 2.0, 1).select("id")
+
+
+# -- models ------------------------------------------------------------------------------------------------------------------
+
+_SCORED = "scored AS (SELECT row_id, CAST(ord = 'A' AS BIGINT) AS y, CASE ord WHEN 'A' THEN (row_id * 37 % 100 + 20) / 121.0 ELSE (row_id * 53 % 100) / 121.0 END AS p FROM occ)"
+
+
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = V.occ(spark, sf_dir, row_id=True)
+    p = F.when(F.col("ord") == "A", (F.col("row_id") * 37 % 100 + 20) / 121.0).otherwise((F.col("row_id") * 53 % 100) / 121.0)
+    return o.select("row_id", (F.col("ord") == "A").cast("long").alias("y"), p.alias("p"))
+
+
+@query(f"""{_SCORED}, a AS (SELECT sum(y) AS pos, sum(1 - y) AS neg, avg(-y * ln(greatest(p, 1e-15)) - (1 - y) * ln(1 - p)) AS logloss, avg(pow(p - y, 2)) AS brier, sum(CASE WHEN p >= 0.5 THEN y ELSE 0 END) AS tp, sum(CASE WHEN p >= 0.5 THEN 1 - y ELSE 0 END) AS fp FROM scored),
+per AS (SELECT p AS s, sum(y) AS p1, sum(1 - y) AS p0 FROM scored GROUP BY 1), run AS (SELECT *, sum(p1) OVER (ORDER BY s DESC) AS tpr, sum(p0) OVER (ORDER BY s DESC) AS fpr FROM per),
+b AS (SELECT sum((tpr - p1 / 2) * p0) AS auc, sum(p1 * tpr / (tpr + fpr)) AS ap FROM run)
+SELECT round(auc / (pos * neg), 6) AS roc_auc, round(ap / pos, 6) AS pr_auc, round(logloss, 6) AS logloss, round(brier, 6) AS brier, round((tp + neg - fp) / (pos + neg), 6) AS accuracy, round((tp / pos + (neg - fp) / neg) / 2, 6) AS balanced_accuracy, round(tp / (tp + fp), 6) AS "precision", round(tp / pos, 6) AS recall, round(2 * tp / (2 * tp + fp + pos - tp), 6) AS f1 FROM a, b""")
+def binary_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(ml.binary_metrics(_scored(spark, sf_dir)))
+
+
+@query(f"""{_SCORED}, t AS (SELECT round(0.05 + 0.025 * i, 3) AS t FROM range(37) r(i)), f AS (SELECT t, sum(CASE WHEN p >= t THEN y ELSE 0 END) AS tp, sum(CASE WHEN p >= t THEN 1 - y ELSE 0 END) AS fp, sum(CASE WHEN p < t THEN y ELSE 0 END) AS fn FROM scored, t GROUP BY t)
+SELECT CAST(arg_max(t, (2 * tp / (2 * tp + fp + fn), -t)) AS DOUBLE) AS t, round(max(2 * tp / (2 * tp + fp + fn)), 6) AS f1 FROM f""")
+def best_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ml.best_threshold(_scored(spark, sf_dir)).select("t", r6("f1").alias("f1"))
+
+
+@query("SELECT ord AS label, count(*) AS n, round((SELECT count(*) FROM occ) / (3.0 * count(*)), 6) AS weight FROM occ GROUP BY ord")
+def class_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(ml.class_weights(V.occ(spark, sf_dir), "ord"))
+
+
+@query("""c AS (SELECT ord AS label, CASE WHEN class = 'F' THEN 'A' ELSE 'N' END AS predicted, count(*) AS n FROM occ GROUP BY ALL), r AS (SELECT label, sum(n) AS support, sum(CASE WHEN label = predicted THEN n ELSE 0 END) AS tp FROM c GROUP BY 1), q AS (SELECT predicted AS label, sum(n) AS called FROM c GROUP BY 1),
+m AS (SELECT label, CAST(support AS BIGINT) AS support, coalesce(tp / called, 0) AS p, tp / support AS r FROM r LEFT JOIN q USING (label))
+SELECT label, support, round(p, 6) AS "precision", round(r, 6) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 6) AS f1 FROM m""")
+def multiclass_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(ml.multiclass_metrics(V.occ(spark, sf_dir).select(F.col("ord").alias("label"), F.when(F.col("class") == "F", "A").otherwise("N").alias("predicted"))))
+
+
+@query("SELECT unnest(['dem_elev', 'soilgrids_clay', 'twi_value']) AS \"column\", round(unnest([var_pop(dem_elev), var_pop(soilgrids_clay), var_pop(twi_value)]), 6) AS variance, true AS kept FROM occ")
+def variance_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(ml.variances(V.occ(spark, sf_dir), FEATURES))
+
+
+@query("""r AS (SELECT corr(terraclimate_ppt_2019_mean, terraclimate_ppt_2020_mean) AS a, corr(terraclimate_ppt_2019_mean, dem_elev) AS b, corr(terraclimate_ppt_2020_mean, dem_elev) AS c FROM occ)
+SELECT 'terraclimate_ppt_2019_mean' AS one, 'terraclimate_ppt_2020_mean' AS two, round(a, 6) AS r, abs(a) > 0.98 AS dropped FROM r UNION ALL SELECT 'terraclimate_ppt_2019_mean', 'dem_elev', round(b, 6), abs(b) > 0.98 FROM r UNION ALL SELECT 'terraclimate_ppt_2020_mean', 'dem_elev', round(c, 6), abs(c) > 0.98 FROM r""")
+def correlation_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(ml.correlations(V.occ(spark, sf_dir), ["terraclimate_ppt_2019_mean", "terraclimate_ppt_2020_mean", "dem_elev"]))
+
+
+@query("""c AS (SELECT ord, count(*) AS n FROM occ GROUP BY 1), q AS (SELECT ord, greatest(1, floor(500 * n / sum(n) OVER ())) AS quota FROM c), r AS (SELECT row_id, ord, row_number() OVER (PARTITION BY ord ORDER BY md5(row_id || '|42'), row_id) AS rk FROM occ)
+SELECT row_id, r.ord FROM r JOIN q USING (ord) WHERE rk <= quota AND rk <= 500""")
+def stratified_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ml.capped(V.occ(spark, sf_dir, row_id=True).select("row_id", "ord"), "ord", "row_id", 500).select("row_id", "ord")
+
+
+@query("SELECT row_id, species FROM (SELECT *, row_number() OVER (PARTITION BY species, round(lon, 0), round(lat, 0) ORDER BY row_id) AS k FROM occ) WHERE k = 1")
+def one_per_place(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ml.one_per_place(V.occ(spark, sf_dir, row_id=True).select("species", "lon", "lat", "row_id"), ["species"], "row_id", digits=0).select("row_id", "species")
+
+
+@query("""b AS (SELECT CAST(floor(lon / 30) AS BIGINT) AS bx, CAST(floor(lat / 30) AS BIGINT) AS b_y, count(*) AS n FROM occ GROUP BY ALL), p AS (SELECT *, row_number() OVER (ORDER BY n DESC, bx, b_y) - 1 AS k FROM b)
+SELECT CAST(CASE WHEN floor(k / 5) % 2 = 0 THEN k % 5 ELSE 4 - k % 5 END AS INTEGER) AS fold, CAST(sum(n) AS BIGINT) AS n, count(*) AS blocks FROM p GROUP BY 1""")
+def spatial_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = ml.folds(V.occ(spark, sf_dir).select("lon", "lat"), 30.0)
+    return f.select("fold", *space.block(30.0)).groupBy("fold").agg(F.count("*").alias("n"), F.countDistinct("bx", "by").alias("blocks"))
+
+
+_SHARES = "sh0 AS (SELECT row_id % 200 AS id, grp, count(*) AS n FROM occ GROUP BY 1, 2), sh AS (SELECT id, grp, n / sum(n) OVER (PARTITION BY id) AS share FROM sh0)"
+
+
+@query(f"""{_SHARES}, r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY share DESC, grp) AS k FROM sh)
+SELECT id, any_value(grp) FILTER (k = 1) AS top_group, round(max(share), 6) AS top_share, any_value(grp) FILTER (k = 2) AS second_group, round(max(share) - max(share) FILTER (k = 2), 6) AS gap, count(*) FILTER (share >= 0.05) AS n_above, round(1 / sum(share * share), 6) AS effective_richness FROM r GROUP BY id""")
+def community_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    n = V.occ(spark, sf_dir, row_id=True).groupBy((F.col("row_id") % 200).alias("id"), "grp").agg(F.count("*").alias("n"))
+    shares = n.select("id", "grp", (F.col("n") / F.sum("n").over(Window.partitionBy("id"))).alias("share"))
+    return _rounded(ml.community(shares, 0.05))
+
+
+_CONS = "{c} AS (SELECT quantile_cont({f}, 0.1) AS a, quantile_cont({f}, 0.25) AS b, quantile_cont({f}, 0.5) AS m, quantile_cont({f}, 0.75) AS d, quantile_cont({f}, 0.9) AS e, stddev_pop({f}) AS s FROM occ WHERE ord = 'A')"
+
+
+def _cons_sql() -> str:
+    parts = []
+    for c, f in (("qa", "dem_elev"), ("qb", "twi_value")):
+        sp = f"greatest({c}.e - {c}.a, {c}.d - {c}.b, {c}.s, 1e-6)"
+        parts.append((f"1 / (1 + pow(abs(g.{f} - {c}.m) / greatest(1.5 * ({c}.d - {c}.b), 0.35 * {sp}, 1e-6), 1.6))", f"least(greatest({c}.a - 0.15 * {sp} - g.{f}, g.{f} - {c}.e - 0.15 * {sp}, 0) / {sp}, 6)"))
+    return f"""{_CONS.format(c='qa', f='dem_elev')}, {_CONS.format(c='qb', f='twi_value')}, k AS (SELECT id, g.soilgrids_clay / 12.0 AS raw, ({parts[0][0]} + {parts[1][0]}) / 2 AS center, exp(-1.75 * ({parts[0][1]} + {parts[1][1]}) / 2) AS novelty FROM grid g, qa, qb)
+    SELECT id, round(raw, 6) AS raw, round(center, 6) AS center, round(novelty, 6) AS novelty, round(pow(raw, 1.1) * (0.4 + 0.6 * pow(center, 1.25)) * (0.08 + 0.92 * novelty), 6) AS adjusted FROM k"""
+
+
+@query(_cons_sql())
+def conservative_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = V.grid(spark, sf_dir).withColumn("p", F.col("soilgrids_clay") / 12.0)
+    return _rounded(ml.conservative(cells, V.occ(spark, sf_dir).where("ord = 'A'"), ["dem_elev", "twi_value"]))
+
+
+@query()
+def presence_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A forest's presence scores on the lattice; rows only, as its numbers are the library's own."""
+    rows = V.occ(spark, sf_dir).select((F.col("ord") == "A").cast("double").alias("y"), *FEATURES)
+    cells = V.grid(spark, sf_dir).select("id", *FEATURES)
+    return ml.predict(ml.fit_presence(rows, FEATURES), cells).select("id", r6("p").alias("p"))
