@@ -472,9 +472,10 @@ def valid_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
 _M = ["dem_elev", "soilgrids_clay", "twi_value", "terraclimate_ppt_2019_mean", "terraclimate_ppt_2020_mean"]
 
 
-@query(f"SELECT row_id, round(list_avg(l), 4) AS m_mean, round(list_sum(l), 4) AS m_sum, round(list_min(l), 4) AS m_min, round(list_max(l), 4) AS m_max FROM (SELECT row_id, list_filter([{', '.join(_M)}], lambda x: x IS NOT NULL) AS l FROM occ)")
+@query(f"SELECT row_id, round(list_avg(l) + 1e-9, 6) AS m_mean, round(list_sum(l) + 1e-9, 6) AS m_sum, round(list_min(l), 6) AS m_min, round(list_max(l), 6) AS m_max FROM (SELECT row_id, list_filter([{', '.join(_M)}], lambda x: x IS NOT NULL) AS l FROM occ)")
 def month_aggregates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return raster.months(V.occ(spark, sf_dir, row_id=True), _M).select("row_id", *(F.round(c, 4).alias(c) for c in ("m_mean", "m_sum", "m_min", "m_max")))
+    m = raster.months(V.occ(spark, sf_dir, row_id=True), _M)
+    return m.select("row_id", r6(F.col("m_mean") + 1e-9).alias("m_mean"), r6(F.col("m_sum") + 1e-9).alias("m_sum"), r6("m_min").alias("m_min"), r6("m_max").alias("m_max"))  # away from ties
 
 
 @query("SELECT id, round(cos(radians(dem_elev * 6)), 6) AS northness, round(sin(radians(dem_elev * 6)), 6) AS eastness, round(ln((greatest(terraclimate_ppt_mean, 0) + 1) / greatest(tan(radians(twi_value)), 1e-6)), 6) AS twi FROM grid")
@@ -603,3 +604,32 @@ def presence_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = V.occ(spark, sf_dir).select((F.col("ord") == "A").cast("double").alias("y"), *FEATURES)
     cells = V.grid(spark, sf_dir).select("id", *FEATURES)
     return ml.predict(ml.fit_presence(rows, FEATURES), cells).select("id", r6("p").alias("p"))
+
+
+# -- append, export, sets ----------------------------------------------------------------------------------------------------
+
+_APPEND = """old AS (SELECT row_number() OVER (ORDER BY row_id) AS id, row_id, species FROM occ WHERE ord = 'A'),
+new AS (SELECT (SELECT max(id) FROM old) + row_number() OVER (ORDER BY row_id) AS id, row_id, species FROM occ WHERE ord <> 'A' AND species || grp NOT IN (SELECT species || grp FROM occ WHERE ord = 'A'))"""
+
+
+@query(f"{_APPEND} SELECT id, row_id, species FROM old UNION ALL SELECT id, row_id, species FROM new")
+def append_species(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from biotope.streaming.append import appended
+
+    o = V.occ(spark, sf_dir, row_id=True).select("row_id", "ord", F.concat("species", "grp").alias("key"), "species")
+    old = ingest.with_row_ids(o.where("ord = 'A'").drop("ord").withColumnRenamed("row_id", "source_row"), ["source_row"], start=1).withColumnRenamed("row_id", "id")
+    new = o.where("ord <> 'A'").drop("ord").withColumnRenamed("row_id", "source_row")
+    return appended(old, new, "key", ["source_row"]).select("id", F.col("source_row").alias("row_id"), "species")
+
+
+@query("SELECT kingdom, phylum, species, kingdom || '/' || phylum || '/' || regexp_replace(species, '[\\\\/:*?\"<>|]+', '_', 'g') AS folder, count(*) AS n FROM occ WHERE kingdom = 'ASIA' GROUP BY ALL")
+def export_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = V.occ(spark, sf_dir).where("kingdom = 'ASIA'").groupBy("kingdom", "phylum", "species").agg(F.count("*").alias("n"))
+    return o.withColumn("folder", F.concat_ws("/", *(X.path_part(F.col(c)) for c in ("kingdom", "phylum", "species"))))
+
+
+@query("SELECT DISTINCT species FROM occ WHERE ord = 'A' AND species IN (SELECT species FROM occ WHERE ord = 'N') AND species NOT IN (SELECT species FROM occ WHERE ord = 'R' AND genus = 'Brand#11' AND species IS NOT NULL)")
+def set_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = V.occ(spark, sf_dir)
+    both = o.where("ord = 'A'").select("species").intersect(o.where("ord = 'N'").select("species"))
+    return both.exceptAll(o.where("ord = 'R' and genus = 'Brand#11'").select("species").distinct())
