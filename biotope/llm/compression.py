@@ -1,8 +1,8 @@
 """Compression classifier: how much better the dictionary of good texts shortens a text than the dictionary of bad ones.
 
 Two zstandard dictionaries are built from labelled texts, one from each class. The feature of a text is
-(bytes with the bad dictionary - bytes with the good one) / bytes of the text; a logistic curve fitted on other labelled texts
-turns it into a calibrated score.
+(bytes with the bad dictionary - bytes with the good one) / (bytes of the text + SHORT); a logistic curve fitted on other labelled
+texts, with the classes' shares among all labelled rows that may be used, turns it into a calibrated score.
 """
 
 from __future__ import annotations
@@ -18,7 +18,9 @@ from pyspark.sql import functions as F
 from .common import ship, sliced, table, texts
 
 #: The bounded sample that the model is fitted on: at most so many labelled rows of each class, of texts of at most so many characters.
-SAMPLE_ROWS, SAMPLE_CHARS = 1500, 20_000
+SAMPLE_ROWS, SAMPLE_CHARS = 3000, 20_000
+#: Bytes added to a text's length, so that a difference of a few bytes says little about a short text.
+SHORT = 300
 DICTIONARY_BYTES, LEVEL = 1 << 16, 3
 
 
@@ -49,7 +51,7 @@ class Model:
 def difference(text: str, good, bad) -> float:
     """The normalised compressed-size difference; 0 for the empty text."""
     raw = text.encode()
-    return (len(bad.compress(raw)) - len(good.compress(raw))) / len(raw) if raw else 0.0
+    return (len(bad.compress(raw)) - len(good.compress(raw))) / (len(raw) + SHORT) if raw else 0.0
 
 
 def dictionary(samples: list[bytes]) -> bytes:
@@ -60,14 +62,14 @@ def dictionary(samples: list[bytes]) -> bytes:
         return b"\n".join(samples)[-DICTIONARY_BYTES:] or b"no labelled text "
 
 
-def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope (not below 0) and offset by Newton's steps, with a weak prior on the slope and each class given the same weight."""
+def logistic(x: np.ndarray, y: np.ndarray, shares: tuple[float, float]) -> tuple[float, float]:
+    """Slope (not below 0) and offset by Newton's steps, with a weak prior on the slope and the classes weighted to their shares."""
     if len(set(y.tolist())) < 2:
         return 0.0, 0.0 if not len(y) else math.copysign(1.0, y[0] - 0.5)
     scale = x.std() or 1.0
     a = np.stack([x / scale, np.ones_like(x)], 1)
-    w = np.where(y == 1, 0.5 / (y == 1).sum(), 0.5 / (y == 0).sum())
-    b, prior = np.zeros(2), np.diag([1e-3, 1e-6])
+    w = np.where(y == 1, shares[1] / (y == 1).sum(), shares[0] / (y == 0).sum()) / sum(shares)
+    b, prior = np.zeros(2), np.diag([1e-4, 1e-6])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a @ b, -30, 30)))
         b += np.linalg.solve((a * (w * p * (1 - p))[:, None]).T @ a + prior, a.T @ (w * (y - p)) - prior @ b)
@@ -83,6 +85,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, chars: int
     allowed = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality").where("doc_id is not null and quality in (0, 1)").where(fold(F.col("doc_id")) != 1)
     short = docs.where(F.length("text") <= chars).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     order = F.xxhash64("doc_id")
+    n = {r[0]: r[1] for r in allowed.groupBy("quality").count().collect()}
     few = [allowed.where(F.col("quality") == q).groupBy("doc_id").agg(F.max("quality").alias("quality")).orderBy(order, "doc_id").limit(rows) for q in (0, 1)]
     chosen = F.broadcast(few[0].unionByName(few[1]))  # 2 * rows rows at most
     got = sorted(short.join(chosen, "doc_id").select(order.alias("o"), "doc_id", "text", "quality").limit(4 * rows).collect())
@@ -92,7 +95,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, chars: int
     built = Model(*(dictionary([t.encode() for t in samples[q][::2] if t]) for q in (1, 0)), 0.0, 0.0)
     good, bad = built.compressors()
     rest = [(difference(t, good, bad), q) for q in (0, 1) for t in samples[q][1::2]]
-    built.slope, built.offset = logistic(np.array([x for x, _ in rest], float), np.array([q for _, q in rest], float))
+    built.slope, built.offset = logistic(np.array([x for x, _ in rest], float), np.array([q for _, q in rest], float), (n.get(0, 0), n.get(1, 0)))
     return built
 
 
