@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, drop, ship, sliced, table, texts, tidy
+from .common import cut, drop, most_frequent, ship, sliced, table, texts, tidy
 from .components import components
 from .words import SPACED, split_words
 
@@ -182,7 +182,7 @@ def hamming_bounded(a: list[bytes], b: list[bytes], na: np.ndarray, nb: np.ndarr
 
 SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("hi", pa.int64()), ("lo", pa.int64()), ("sketch", pa.binary()), ("shingle", pa.int64()), ("df", pa.int64())])
 SETS_DDL = "doc_id long, n long, hi long, lo long, sketch binary, shingle long, df long"
-PACKED = pa.schema([("part", pa.int32()), ("words", pa.binary()), ("owners", pa.binary()), ("los", pa.binary())])
+PACKED = pa.schema([("part", pa.int32()), ("words", pa.binary()), ("owners", pa.binary()), ("los", pa.binary()), ("sizes", pa.binary())])
 WHOLE = pa.schema([("id", pa.int64()), ("hi", pa.int64()), ("lo", pa.int64()), ("shingles", pa.binary())])
 WHOLE_DDL = "id long, hi long, lo long, shingles binary"
 
@@ -215,11 +215,11 @@ def _measure(batches):
 
 def _pack(parts: int, common):
     def run(batches):
-        last, held, owners, los, n = common.value, [], [], [], 0
+        last, held, owners, los, sizes, n = common.value, [], [], [], [], 0
         seen: set[tuple[int, int]] = set()
 
         def flush():
-            words, owner, who = np.concatenate(held), np.concatenate(owners), np.array(los, np.int64)
+            words, owner, who, size = np.concatenate(held), np.concatenate(owners), np.array(los, np.int64), np.array(sizes, np.uint32)
             part = (words % _U(parts)).astype(np.int64)
             order = np.argsort(part, kind="stable")
             edges = np.searchsorted(part[order], np.arange(parts + 1))
@@ -227,7 +227,7 @@ def _pack(parts: int, common):
                 mine = order[edges[p] : edges[p + 1]]
                 used, local = np.unique(owner[mine], return_inverse=True)
                 high = words[mine].view(np.uint8).reshape(-1, 8)[:, 2:]  # 48 bits; the part tells some of the rest
-                yield table({"part": [p], "words": [high.tobytes()], "owners": [local.astype(np.uint16).tobytes()], "los": [who[used].tobytes()]}, PACKED)
+                yield table({"part": [p], "words": [high.tobytes()], "owners": [local.astype(np.uint16).tobytes()], "los": [who[used].tobytes()], "sizes": [size[used].tobytes()]}, PACKED)
 
         for b in _chunks(batches):
             for s in shingle_sets(b.column("text")):
@@ -238,10 +238,11 @@ def _pack(parts: int, common):
                 held.append(w)
                 owners.append(np.full(len(w), len(los), np.uint32))
                 los.append(f[1])
+                sizes.append(len(s))
                 n += len(w)
                 if n >= HELD_WORDS or len(los) == 1 << 16:
                     yield from flush()
-                    held, owners, los, n = [], [], [], 0
+                    held, owners, los, sizes, n = [], [], [], [], 0
         if n:
             yield from flush()
         del held, owners
@@ -254,14 +255,14 @@ PAIRS = pa.schema([("word", pa.int64()), ("x", pa.int64()), ("y", pa.int64())])
 
 
 def _group(batches):
-    """From packed words in order of part: pairs (word null) of small groups and of larger groups' smallest with each other one, and the
-    larger groups themselves (word, x; y null)."""
+    """From packed words in order of part: pairs (word null) of small groups and of larger groups' smallest with each other one, if their
+    sizes allow a link, and the larger groups themselves (word, x; y null)."""
 
-    def made(words, owners):
+    def made(words, owners, sizes):
         order = np.lexsort((owners, words))
-        words, owners = words[order], owners[order]
+        words, owners, sizes = words[order], owners[order], sizes[order]
         new = np.append(True, (words[1:] != words[:-1]) | (owners[1:] != owners[:-1]))
-        words, owners = words[new], owners[new]  # a set that several tasks have seen
+        words, owners, sizes = words[new], owners[new], sizes[new].astype(np.int64)  # a set that several tasks have seen
         start = np.flatnonzero(np.append(True, words[1:] != words[:-1]))
         size = np.diff(np.append(start, len(words)))
         xs, ys = [], []
@@ -269,11 +270,14 @@ def _group(batches):
             at = start[size == k]
             for i in range(k):
                 for j in range(i + 1, k):
-                    xs.append(owners[at + i])
-                    ys.append(owners[at + j])
+                    near = np.minimum(sizes[at + i], sizes[at + j]) * DEN >= np.maximum(sizes[at + i], sizes[at + j]) * NUM
+                    xs.append(owners[at + i][near])
+                    ys.append(owners[at + j][near])
         for at, k in zip(start[size > SMALL].tolist(), size[size > SMALL].tolist()):
-            xs.append(np.full(k - 1, owners[at]))
-            ys.append(owners[at + 1 : at + k])
+            rest = slice(at + 1, at + k)
+            near = np.minimum(sizes[at], sizes[rest]) * DEN >= np.maximum(sizes[at], sizes[rest]) * NUM
+            ys.append(owners[rest][near])
+            xs.append(np.full(len(ys[-1]), owners[at]))
         if xs and sum(map(len, xs)):
             pair = np.unique(np.stack([np.concatenate(xs), np.concatenate(ys)], 1), axis=0)
             for k in range(0, len(pair), 1 << 16):
@@ -286,19 +290,20 @@ def _group(batches):
                 seen.add(same)
                 yield table({"word": np.full(k, (words[at] | _U(now & 0xFFFF)).view(np.int64)), "x": group, "y": pa.nulls(k, pa.int64())}, PAIRS)
 
-    words, owners, now = [], [], None
+    words, owners, sizes, now = [], [], [], None
     for b in batches:
-        for part, w, o, los in zip(*(b.column(c).to_pylist() for c in ("part", "words", "owners", "los"))):
+        for part, w, o, los, own in zip(*(b.column(c).to_pylist() for c in ("part", "words", "owners", "los", "sizes"))):
             if part != now and words:
-                yield from made(np.concatenate(words), np.concatenate(owners))
-                words, owners = [], []
+                yield from made(np.concatenate(words), np.concatenate(owners), np.concatenate(sizes))
+                words, owners, sizes = [], [], []
             now = part
             high = np.frombuffer(w, np.uint8).reshape(-1, 6)
             words.append(np.concatenate([np.zeros((len(high), 2), np.uint8), high], 1).view(np.uint64).ravel())
             owners.append(np.frombuffer(los, np.int64)[np.frombuffer(o, np.uint16)])
+            sizes.append(np.frombuffer(own, np.uint32)[np.frombuffer(o, np.uint16)])
     if words:
-        yield from made(np.concatenate(words), np.concatenate(owners))
-    del words, owners
+        yield from made(np.concatenate(words), np.concatenate(owners), np.concatenate(sizes))
+    del words, owners, sizes
     tidy()
 
 
@@ -403,11 +408,11 @@ def classes_and_links(docs: DataFrame, partitions: int | None = None) -> tuple[D
     classes = cut(members_sketched.groupBy("hi", "lo").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"), F.max("n").alias("n"), F.first("sketch").alias("sketch")), "classes")
     total, n_sets = classes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     often = measured.where("shingle is not null").groupBy("shingle").agg(F.sum("df").alias("df")).where(F.col("df") >= max(16, COMMON_SHARE * n_sets))
-    top = [r[0] for r in often.orderBy(F.desc("df"), "shingle").limit(COMMON_MOST).collect()]
+    top = [r[0] for r in most_frequent(often, "df", COMMON_MOST).collect()]
     common = spark.sparkContext.broadcast(np.sort(np.array(top, np.int64).view(np.uint64)))
 
     parts = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PART_WORDS))
-    packed = rows.mapInArrow(_pack(parts, common), "part int, words binary, owners binary, los binary")
+    packed = rows.mapInArrow(_pack(parts, common), "part int, words binary, owners binary, los binary, sizes binary")
     grouped = cut(packed.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_group, "word long, x long, y long"), "grouped")
     pairs = grouped.where("word is null").select("x", "y").distinct()
     large = grouped.where("word is not null").select("word", F.col("x").alias("lo"))

@@ -1,7 +1,7 @@
 """Token counts without ids: pieces are counted once for each distinct pre-token of the corpus, joined to the documents' own
 pre-token frequencies and summed.
 
-The most frequent pre-tokens (HEAD of them, none longer than HEAD_CHARS: a bounded table) reach the documents by broadcast, where
+The most frequent pre-tokens (HEAD of them at most, none longer than HEAD_CHARS: a bounded table) reach the documents by broadcast, where
 they are summed at once; only the rest, which has no frequent key by its definition, is dealt out and joined.
 """
 
@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, ship, sliced, table, texts
+from .common import cut, most_frequent, ship, sliced, table, texts
 from .pretokens import pretokens
 
 HEAD, HEAD_CHARS = 150_000, 64
@@ -65,7 +65,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 2048, head: int =
     """
     spark = docs.sparkSession
     vocab = vocabulary(docs, tokenizer)
-    top = vocab.where(F.length("pretoken") <= HEAD_CHARS).orderBy(F.desc("freq"), "pretoken").limit(head).select("pretoken", "n")
+    top = most_frequent(vocab.where(F.length("pretoken") <= HEAD_CHARS), "freq", head).select("pretoken", "n")
     known = spark.sparkContext.broadcast({r[0]: r[1] for r in top.collect()})
 
     def each(batches):
