@@ -148,3 +148,52 @@ def predict(model, rows: DataFrame) -> DataFrame:
     from pyspark.ml.functions import vector_to_array
 
     return model.transform(rows).withColumn("p", F.get(vector_to_array("probability"), F.lit(1)))
+
+
+def buffered_train(rows: DataFrame, fold: int, size: float, buffer: int) -> DataFrame:
+    """The rows of other folds that lie in no block within `buffer` blocks of the fold's."""
+    from biotope.operators.space import outside_buffer
+
+    return outside_buffer(rows.where(F.col("fold") != fold), rows.where(F.col("fold") == fold), size, buffer)
+
+
+def background(candidates: DataFrame, target: int, mode: str, local: Column, share: float = 0.7, key: str = "id") -> DataFrame:
+    """`target` rows in hash order. regional: from the local ones if they are at least half of it, else from all; global: from all; mixed: the
+    share from the local ones, then from the others, then whatever is left."""
+    ranked = candidates.withColumn("_local", F.coalesce(local, F.lit(False)))
+    if mode == "regional":
+        many = ranked.where("_local").limit(-(-target // 2)).count() >= target / 2
+        ranked = ranked.where("_local") if many else ranked
+        return ranked.orderBy(hash_order(key), key).limit(target).drop("_local")
+    if mode == "global":
+        return ranked.orderBy(hash_order(key), key).limit(target).drop("_local")
+    near, far = (ranked.where(c).orderBy(hash_order(key), key).limit(n).withColumn("_rk", F.lit(k)) for k, (c, n) in enumerate((("_local", round(target * share)), ("not _local", target))))
+    rest = ranked.join(near.select(key).union(far.select(key)), key, "left_anti").orderBy(hash_order(key), key).limit(target).withColumn("_rk", F.lit(2))
+    return near.unionByName(far).unionByName(rest).orderBy("_rk", hash_order(key), key).limit(target).drop("_local", "_rk")
+
+
+def out_of_fold(rows: DataFrame, features: list[str], trees: int = 20) -> DataFrame:
+    """rows with p from a forest fitted on the other folds; folds whose training rows have one class are left out."""
+    out = None
+    for (f,) in sorted(rows.select("fold").distinct().collect()):  # of k folds
+        train = rows.where(F.col("fold") != f)
+        if train.select("y").distinct().count() > 1:
+            part = predict(fit_presence(train, features, trees), rows.where(F.col("fold") == f)).select(*rows.columns, "p")
+            out = part if out is None else out.unionByName(part)
+    return out
+
+
+def permutation_importance(model, rows: DataFrame, features: list[str], repeats: int = 5, key: str = "id") -> list[tuple[str, float]]:
+    """Each feature's mean loss of average precision when its values are dealt anew: by hash, from the row at the same rank."""
+    base = binary_metrics(predict(model, rows)).first().pr_auc
+    out = []
+    for c in features:
+        lost = 0.0
+        for seed in range(repeats):
+            own = rows.withColumn("_i", F.row_number().over(Window.partitionBy(F.pmod(F.xxhash64(key), F.lit(64))).orderBy(key)))
+            own = own.withColumn("_b", F.pmod(F.xxhash64(key), F.lit(64)))
+            other = own.select("_b", F.row_number().over(Window.partitionBy("_b").orderBy(hash_order(key, seed=seed))).alias("_i"), F.col(c).alias("_v"))
+            dealt = own.join(other, ["_b", "_i"]).withColumn(c, F.col("_v")).drop("_b", "_i", "_v")
+            lost += (base - binary_metrics(predict(model, dealt)).first().pr_auc) / repeats
+        out.append((c, lost))
+    return sorted(out, key=lambda x: -x[1])
