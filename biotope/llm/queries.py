@@ -39,7 +39,7 @@ def list_entries(pages: DataFrame) -> DataFrame:
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read(spark, sf_dir, "pages")
-    return url_filter.evaluate(captures(pages), list_entries(pages)).select("page_id", "fetched_at", F.array_join("lists", ",").alias("lists"), "rule", "blocked")
+    return url_filter.evaluate(captures(pages), list_entries(pages)).select("page_id", F.date_format("fetched_at", "yyyy-MM-dd").alias("fetched_on"), F.array_join("lists", ",").alias("lists"), "rule", "blocked")
 
 
 OP1_SQL = r"""
@@ -68,7 +68,7 @@ WITH p AS (
          arg_min(own.key, (-length(own.key), own.key)) AS rule
   FROM own JOIN spans s ON own.key = s.key AND s.a <= d AND d < s.b GROUP BY ALL
 )
-SELECT page_id, p.fetched_at, coalesce(lists, '') AS lists, rule, rule IS NOT NULL AS blocked FROM p LEFT JOIN hit USING (page_id)
+SELECT page_id, strftime(p.fetched_at, '%Y-%m-%d') AS fetched_on, coalesce(lists, '') AS lists, rule, rule IS NOT NULL AS blocked FROM p LEFT JOIN hit USING (page_id)
 """
 
 
