@@ -127,7 +127,13 @@ _ADDRESS = re.compile(
     re.I,
 )
 _AT_OR_DOT = re.compile(rf"(?P<at>{_AT}|[ \t]+{_AT_WORD}[ \t]+)|(?P<dot>{_DOT})", re.I)
+_DOT_HINT = re.compile(r"[-_ \t(\[{<](?:dot|punto|punkt|point)[-_ \t)\]}>]|[(\[{<][ \t]*\.", re.I)
 _ADDRESS_HINT = re.compile(rf"@|[(\[{{<][ \t]*{_AT_WORD}|[ \t]{_AT_WORD}[ \t]+{_HOST}(?:{_DOT})", re.I)
+#: The same with dashes or underscores in place of spaces; numbers with disguised dots; "plus" before a number.
+_HYPHENED = re.compile(r"(?<=[A-Za-z0-9.%+])[-_](?:at|arroba)[-_][A-Za-z0-9]++(?:[-_](?:dot|punto|punkt|point)[-_][A-Za-z0-9]++)++", re.I)
+_HYPHENED_PART = re.compile(r"(?P<at>[-_](?:at|arroba)[-_])|(?P<dot>[-_](?:dot|punto|punkt|point)[-_])", re.I)
+_DOTTED = re.compile(rf"(?<![0-9.])[0-9]{{1,3}}(?:(?:\.|{_DOT})[0-9]{{1,3}}){{3}}(?![0-9])", re.I)
+_PLUS = re.compile(r"(?<!\w)plus[ \t]+(?=[0-9](?:[ ().-]{0,3}[0-9]){8,14}(?![0-9]))", re.I)
 _NAME = "|".join(sorted(DIGITS, key=len, reverse=True))
 _GAP = r"[ \t]*[-,]?[ \t]*"
 #: A run of digits' names and digits, with gaps, dots, dashes and brackets between them; optionally "plus" before. Never steps back.
@@ -171,13 +177,30 @@ def disguises(text: str) -> list[tuple[int, int, str]]:
     if _ADDRESS_HINT.search(text):
         for m in _ADDRESS.finditer(text):
             edits += [(m.start() + t.start(), m.start() + t.end(), "@" if t["at"] else ".") for t in _AT_OR_DOT.finditer(m[0])]
+    if _DOT_HINT.search(text):
+        for m in _HYPHENED.finditer(text):
+            edits += _free(edits, [(m.start() + t.start(), m.start() + t.end(), "@" if t["at"] else ".") for t in _HYPHENED_PART.finditer(m[0])])
+        for m in _DOTTED.finditer(text):
+            edits += _free(edits, [(m.start() + t.start(), m.start() + t.end(), ".") for t in _AT_OR_DOT.finditer(m[0]) if t["dot"]])
+    edits += _free(edits, [(m.start(), m.end(), "+") for m in _PLUS.finditer(text)])
     if _SPELLED_HINT.search(text):
-        taken = [(a, b) for a, b, _ in edits]
-        for m in _SPELLED.finditer(text):
-            edits += [e for e in _spelled(m) if not any(a < e[1] and e[0] < b for a, b in taken)]
+        spelled = [e for m in _SPELLED.finditer(text) for e in _spelled(m)]
+        edits += _free(edits, spelled)
     return sorted(edits)
 
 
+def _free(edits: list, more: list) -> list:
+    """Those of more that meet none of the edits. Both are few: they are of found disguises only."""
+    taken = sorted((a, b) for a, b, _ in edits)
+    starts = [a for a, _ in taken]
+    out = []
+    for e in more:
+        k = bisect.bisect_left(starts, e[1])
+        if not k or taken[k - 1][1] <= e[0]:
+            out.append(e)
+    return out
+
+
 def disguised(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) of identifiers that only the rewritten text shows, as spans of the source."""
     first_edits = characters(text) if not text.isascii() else []

@@ -81,7 +81,8 @@ def test_plain_identifiers():
         ("mail me: alice (at) mail (dot) example (dot) com now", "email", (9, 48)), ("bob[at]x.example.org ok", "email", (0, 20)), ("carol at mail dot example dot com", "email", (0, 33)),
         ("dаve@exаmple.com", "email", (0, 16)), ("erin＠example．com", "email", (0, 16)), ("x@​example.com", "email", (0, 14)),
         ("call plus one five five five two three four five six seven eight", "phone", (5, 64)), ("card four one one one one one one one one one one one one one one one", "card", (5, 69)), ("１９２.１６８.１.１", "ip", (0, 11)),
-        ("one nine two dot one six eight dot one dot one", "ip", (0, 46)),
+        ("one nine two dot one six eight dot one dot one", "ip", (0, 46)), ("at 192 dot 168 dot 1 dot 1.", "ip", (3, 26)), ("x 10[.]0[.]0[.]7 y", "ip", (2, 16)), ("ask jane-doe-at-mail-dot-org now", "email", (4, 28)),
+        ("JOE AT MAIL DOT COM", "email", (0, 19)), ("plus 49 151 555 1234", "phone", (0, 20)), ("k_at_mail_dot_example_dot_com", "email", (0, 29)),
     ],
 )
 def test_disguises(text, kind, span):
@@ -90,7 +91,7 @@ def test_disguises(text, kind, span):
     assert pii.masked(text, every) == text[: span[0]] + f"[{kind}]" + text[span[1] :]
 
 
-@pytest.mark.parametrize("text", ["meet at the house. dot", "un un un un un un un un un un un un un", "at home at ten at night", "one two three and four"])
+@pytest.mark.parametrize("text", ["meet at the house. dot", "un un un un un un un un un un un un un", "at home at ten at night", "one two three and four", "the dot-at-rest", "plus 5 points", "a-at-b"])
 def test_plain_prose_has_none(text):
     assert pii.spans(text) == ([], [])
 
@@ -143,9 +144,12 @@ def test_tool_calls(spark):
     got = {(r.conv_id, r.call_id): r for r in tool_calls.link(msgs, schemas).collect()}
     assert len(got) == 7
     x, y = got[1, "x"], got[1, "y"]
-    assert (x.status, x.valid, x.level, y.level) == ("linked", True, 2, 1) and x.record == '{"arguments":{"a":2,"b":["é"]},"id":"x","name":"f","result":"ok"}'
+    assert (x.status, x.valid, x.after_turn, x.level, y.after_turn, y.level) == ("linked", True, 2, 1, 2, 0) and x.record == '{"arguments":{"a":2,"b":["é"]},"id":"x","name":"f","result":"ok"}'
     assert got[2, "x"].status == "no_result" and got[2, "x"].errors == ["$.c: unknown", "$.a: minimum"] and got[2, "z"].status == "no_call"
     assert got[2, "q"].status == "early_result" and got[2, "q"].errors == ["unknown tool"] and got[2, "q"].record is None
     assert got[3, "p"].level is None and got[3, "q"].level is None
     assert tool_calls.link(msgs.limit(0), schemas).count() == 0
+    back = spark.createDataFrame([(1, t, "a", call(f"c{t}", '{"a":1}', f'["c{t + 1}"]' if t < 6 else "[]")) for t in range(7)] + [(1, 9, "a", call("d", '{"a":1}', '["c0"]'))], "conv_id long, turn long, role string, text string")
+    order = sorted((r.after_turn, r.level, r.turn, r.call_id) for r in tool_calls.link(back, schemas).collect())
+    assert [o[3] for o in order] == ["c6", "c5", "c4", "c3", "c2", "c1", "c0", "d"]
     assert tool_calls.canonical({"b": 1.0, "a": [True, None, " \n"]}) == '{"a":[true,null," \\n"],"b":1}'
