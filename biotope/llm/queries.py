@@ -108,7 +108,7 @@ def call_messages(conversations: DataFrame) -> DataFrame:
 
 def op5_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     linked = tool_calls.link(call_messages(read(spark, sf_dir, "conversations")), SCHEMAS)
-    return linked.select("conv_id", "call_id", "turn", "name", "level", "status", "valid", F.array_join("errors", ";").alias("errors"), F.sha2("record", 256).alias("record_sha256"))
+    return linked.select("conv_id", "call_id", "turn", "name", "after_turn", "level", "status", "valid", F.array_join("errors", ";").alias("errors"), F.sha2("record", 256).alias("record_sha256"))
 
 
 def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:

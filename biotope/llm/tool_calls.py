@@ -2,8 +2,8 @@
 
 Messages are (conv_id, turn, role, text). A call message's text is {"tool_calls": [{"id", "name", "arguments", "after": [ids]}]}, a result
 message's {"tool_call_id", "content"}. Calls and results are rows of their own and meet in a hash join on (conv_id, id), so no
-conversation is gathered in a task. A call comes after those that it names; where turns already agree with that, they are the
-order (level 0); only conversations in which a call names a later one are layered, by rounds of joins.
+conversation is gathered in a task. A call comes after those that it names; turns are the order, and only calls that name a later one are
+moved behind it, by rounds of joins over the moved calls.
 """
 
 from __future__ import annotations
@@ -106,45 +106,45 @@ def parse(messages: DataFrame, schemas: dict[str, dict]) -> DataFrame:
     return rows.mapInArrow(run, PARSED_DDL)
 
 
-def layers(calls: DataFrame) -> DataFrame:
-    """conv_id, call_id, level of the calls of conversations where a call names one that isn't earlier: 1 for calls without open
-    ones before them, then one more than the highest of those it names; null for calls on or behind a cycle."""
-    place = F.struct("turn", "place")
-    edges = calls.select("conv_id", "call_id", place.alias("at"), F.explode("after").alias("before"))
-    known = calls.select("conv_id", F.col("call_id").alias("before"), place.alias("before_at"))
-    edges = cut(edges.join(known, ["conv_id", "before"]), "edges")
-    odd = cut(edges.where("before_at >= at").select("conv_id").distinct(), "odd")
-    if not odd.limit(1).count():
-        return odd.select("conv_id", F.lit("").alias("call_id"), F.lit(0).alias("level")).where("false")
-    edges = cut(edges.join(odd, "conv_id", "left_semi").select("conv_id", "call_id", "before"), "edges")
-    open_ = cut(calls.join(odd, "conv_id", "left_semi").select("conv_id", "call_id"), "open")
-    done, level = [], 0
-    while True:
-        level += 1
-        waiting = edges.join(open_.withColumnRenamed("call_id", "before"), ["conv_id", "before"], "left_semi").select("conv_id", "call_id").distinct()
-        free = cut(open_.join(waiting, ["conv_id", "call_id"], "left_anti"), "free")
-        if not free.limit(1).count():
-            break
-        done.append(free.withColumn("level", F.lit(level)))
-        rest = cut(open_.join(free, ["conv_id", "call_id"], "left_anti"), "open")
-        drop(open_)
-        open_ = rest
-        if len(done) >= 16:  # keep the plan short
-            whole = done[0]
-            for d in done[1:]:
-                whole = whole.unionByName(d)
-            done = [cut(whole, "levels")]
-    out = open_.withColumn("level", F.lit(None).cast("int"))  # on or behind a cycle
-    for d in done:
-        out = out.unionByName(d)
-    return out
+def places(calls: DataFrame) -> DataFrame:
+    """conv_id, call_id, at (turn, place, level) of the calls that cannot stay at their own turn, as one that they name is later or is moved
+    behind them; at is null for calls on a cycle and those that a cycle moves.
+
+    A call's place is the largest of its own (turn, place, 0) and, for each call that it names, that one's place with a level more. Only
+    moved calls are looked at again, so the rounds are as many as calls in a row each name a later one. On a cycle levels rise
+    without end: one above the number of the conversation's moved calls gives a cycle away.
+    """
+    own = F.struct("turn", "place", F.lit(0).alias("level"))
+    edges = calls.select("conv_id", "call_id", own.alias("own"), F.explode("after").alias("before"))
+    edges = cut(edges.join(calls.select("conv_id", F.col("call_id").alias("before"), own.alias("at")), ["conv_id", "before"]), "edges")
+
+    def behind(rows: DataFrame) -> DataFrame:
+        next_ = F.struct(F.col("at.turn").alias("turn"), F.col("at.place").alias("place"), (F.col("at.level") + 1).alias("level"))
+        return rows.where(next_ > F.col("own")).groupBy("conv_id", "call_id").agg(F.max(next_).alias("at"))
+
+    moved = fresh = cut(behind(edges), "moved")
+    edges = edges.drop("at")
+    while fresh.limit(1).count():
+        pushed = behind(edges.join(fresh.select("conv_id", F.col("call_id").alias("before"), "at").where("at is not null"), ["conv_id", "before"]))
+        before = moved.select("conv_id", "call_id", F.col("at").alias("old"), F.lit(True).alias("known"))
+        n = moved.groupBy("conv_id").agg(F.count("*").alias("n"))
+        new = pushed.join(before, ["conv_id", "call_id"], "left").where("known is null or at > old").join(n, "conv_id", "left")
+        fresh = cut(new.select("conv_id", "call_id", F.when(F.col("at.level") <= F.col("n") + 1, F.col("at")).alias("at")), "fresh")
+        moved = cut(moved.join(fresh, ["conv_id", "call_id"], "left_anti").unionByName(fresh), "moved")
+    lost = fresh = moved.where("at is null").select("conv_id", "call_id")
+    while fresh.limit(1).count():  # moved calls that name one without a place
+        named = edges.join(fresh.withColumnRenamed("call_id", "before"), ["conv_id", "before"], "left_semi").select("conv_id", "call_id").distinct()
+        fresh = cut(named.join(moved, ["conv_id", "call_id"], "left_semi").join(lost, ["conv_id", "call_id"], "left_anti"), "fresh")
+        lost = cut(lost.union(fresh), "lost")
+    gone = lost.select("conv_id", "call_id", F.lit(True).alias("gone"))
+    return moved.join(gone, ["conv_id", "call_id"], "left").select("conv_id", "call_id", F.when(F.col("gone").isNull(), F.col("at")).alias("at"))
 
 
 def link(messages: DataFrame, schemas: dict[str, dict]) -> DataFrame:
     """A row a call, and a row a result without a call:
 
-    conv_id, call_id, turn, place, name, level and position columns (order by level, turn, place; level is 0 where turns are the order and null on or
-    behind a cycle), status (linked, no_result, no_call, early_result: the result's turn isn't after the call's), valid, errors,
+    conv_id, call_id, turn, place, name, after_turn, level (in the order of after_turn, level, turn, place a call follows those that it
+    names; both are the turn and 0 unless a call had to move, and null where a cycle leaves no order), status (linked, no_result, no_call, early_result: the result's turn isn't after the call's), valid, errors,
     record (canonical JSON of id, name, arguments, result; null unless linked and valid).
 
     Of calls with the same id in a conversation the first (turn, place, then by text) counts, and likewise of results; conversations are told apart
@@ -154,8 +154,8 @@ def link(messages: DataFrame, schemas: dict[str, dict]) -> DataFrame:
     calls = parsed.where("kind = 'call'").groupBy("conv_id", "call_id").agg(F.min(F.struct("turn", "place", "name", "after", "arguments", "errors")).alias("c")).select("conv_id", "call_id", "c.*")
     results = parsed.where("kind = 'result'").groupBy("conv_id", "call_id").agg(F.min(F.struct("turn", "content")).alias("r")).select("conv_id", "call_id", "r")
     calls = cut(calls, "calls")
-    layered = layers(calls).select("conv_id", "call_id", "level", F.lit(True).alias("layered"))
-    both = calls.join(results, ["conv_id", "call_id"], "full_outer").join(layered, ["conv_id", "call_id"], "left")
+    moved = places(calls).select("conv_id", "call_id", "at", F.lit(True).alias("moved"))
+    both = calls.join(results, ["conv_id", "call_id"], "full_outer").join(moved, ["conv_id", "call_id"], "left")
     has_call, has_result = F.col("errors").isNotNull(), F.col("r").isNotNull()
     status = F.when(~has_call, "no_call").when(~has_result, "no_result").when(F.col("r.turn") <= F.col("turn"), "early_result").otherwise("linked")
     row = both.select(
@@ -164,7 +164,8 @@ def link(messages: DataFrame, schemas: dict[str, dict]) -> DataFrame:
         F.coalesce("turn", "r.turn").alias("turn"),
         F.coalesce("place", F.lit(0)).cast("long").alias("place"),
         "name",
-        F.when(F.col("layered"), F.col("level")).otherwise(F.lit(0)).alias("level"),
+        F.when(F.col("moved"), F.col("at.turn")).otherwise(F.coalesce("turn", "r.turn")).alias("after_turn"),
+        F.when(F.col("moved"), F.col("at.level")).otherwise(F.lit(0)).alias("level"),
         status.alias("status"),
         (has_call & (F.size("errors") == 0)).alias("valid"),
         F.coalesce("errors", F.array().cast("array<string>")).alias("errors"),
@@ -174,8 +175,8 @@ def link(messages: DataFrame, schemas: dict[str, dict]) -> DataFrame:
     return _records(row)
 
 
-LINKED = pa.schema([("conv_id", pa.int64()), ("call_id", pa.string()), ("turn", pa.int64()), ("place", pa.int64()), ("name", pa.string()), ("level", pa.int32()), ("status", pa.string()), ("valid", pa.bool_()), ("errors", pa.list_(pa.string())), ("record", pa.string())])
-LINKED_DDL = "conv_id long, call_id string, turn long, place long, name string, level int, status string, valid boolean, errors array<string>, record string"
+LINKED = pa.schema([("conv_id", pa.int64()), ("call_id", pa.string()), ("turn", pa.int64()), ("place", pa.int64()), ("name", pa.string()), ("after_turn", pa.int64()), ("level", pa.int32()), ("status", pa.string()), ("valid", pa.bool_()), ("errors", pa.list_(pa.string())), ("record", pa.string())])
+LINKED_DDL = "conv_id long, call_id string, turn long, place long, name string, after_turn long, level int, status string, valid boolean, errors array<string>, record string"
 
 
 def _records(rows: DataFrame) -> DataFrame:
