@@ -95,7 +95,7 @@ def proximity(a: Column, b: Column, span: Column) -> Column:
 
 def close(a: Column, b: Column) -> Column:
     """Equal but for rounding."""
-    return F.abs(a - b) <= F.greatest(F.lit(1e-8) + F.lit(1e-5) * F.abs(b), F.lit(0.0))
+    return F.abs(a - b) <= F.lit(1e-8) + F.lit(1e-5) * F.abs(b)
 
 
 def trapezoid(x: Column, lo: Column, q25: Column, q75: Column, hi: Column) -> Column:

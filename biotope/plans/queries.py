@@ -77,9 +77,13 @@ def cooccur_adjacency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _RANKS = ", ".join(taxonomy.RANKS)
+def _level(k: int) -> str:
+    path, parent = (" || '/' || ".join(taxonomy.RANKS[:n]) or "''" for n in (k, k - 1))
+    return f"SELECT {k} AS rank_id, {path} AS path, {parent} AS parent_path, {taxonomy.RANKS[k - 1]} AS name, count(*) AS obs_count FROM named GROUP BY {', '.join(taxonomy.RANKS[:k])}"
+
+
 _TREE = f"""named AS (SELECT {", ".join(f"CASE WHEN trim(coalesce({r}, '')) = '' THEN '(missing)' ELSE trim({r}) END AS {r}" for r in taxonomy.RANKS)} FROM occ),
-tree AS ({" UNION ALL ".join([f"SELECT {k} AS rank_id, {' || ' + repr('/') + ' || ' if False else ''}{(' || ' + chr(39) + '/' + chr(39) + ' || ').join(taxonomy.RANKS[:k])} AS path, {(' || ' + chr(39) + '/' + chr(39) + ' || ').join(taxonomy.RANKS[: k - 1]) or chr(39) * 2} AS parent_path, {taxonomy.RANKS[k - 1]} AS name, count(*) AS obs_count FROM named GROUP BY {', '.join(taxonomy.RANKS[:k])}" for k in range(1, 8)])}
-  UNION ALL SELECT 0, '', NULL, 'root', count(*) FROM named)"""
+tree AS ({" UNION ALL ".join(map(_level, range(1, 8)))} UNION ALL SELECT 0, '', NULL, 'root', count(*) FROM named)"""
 
 
 @query(f"{_TREE} SELECT * FROM tree")
