@@ -43,25 +43,27 @@ def score(cells: DataFrame, envelopes: DataFrame, shares: DataFrame, category: s
     Every cell meets every group: the models, a row a group and feature, are gathered to one row a group and broadcast; features are then
     summed within the row, so nothing is shuffled.
     """
-    names = [r[0] for r in envelopes.select("column").distinct().collect()]  # of the schema
-    names = sorted(n for n in names if n in cells.columns)
-    side = F.create_map(*(F.lit(v) for n in names for v in (n, stress_side(n))))
-    packed = envelopes.where(F.col("column").isin(names)).groupBy("grp").agg(F.array_sort(F.collect_list(F.struct("column", "min", "q25", "q75", "max", "w"))).alias("m"))
+    names = sorted(r[0] for r in envelopes.select("column").distinct().collect() if r[0] in cells.columns)  # of the schema
+    model = (F.max(F.when(F.col("column") == n, F.struct("min", "q25", "q75", "max", "w"))).alias(f"m_{n}") for n in names)
+    packed = envelopes.where(F.col("column").isin(names)).groupBy("grp").agg(*model)
     packed = packed.join(shares.groupBy("grp").agg(F.map_from_entries(F.collect_list(F.struct("value", "f"))).alias("shares")), "grp", "left")
-    feature = F.create_map(*(v for n in names for v in (F.lit(n), F.col(n).cast("double"))))
-    full = cells.select("id", feature.alias("x"), F.col(category).alias("cat")).crossJoin(F.broadcast(packed))
+    full = cells.select("id", *(F.col(n).cast("double").alias(n) for n in names), F.col(category).alias("cat")).crossJoin(F.broadcast(packed))
 
-    def total(f) -> Column:
-        return F.aggregate("m", F.lit(0.0), lambda s, m: s + F.coalesce(f(m, F.col("x")[m["column"]]), F.lit(0.0)))
+    def total(f, of: list[str] = names) -> Column:
+        out = F.lit(0.0)
+        for n in of:
+            out = out + F.coalesce(f(n, F.col(f"m_{n}"), F.col(n)), F.lit(0.0))
+        return out
 
     def env(m: Column) -> tuple:
         return m["min"], m["q25"], m["q75"], m["max"]
 
-    has = total(lambda m, x: F.when(x.isNotNull(), m["w"]))
-    logs = total(lambda m, x: m["w"] * F.log(F.greatest(sharpened(trapezoid(x, *env(m)), SHARP, FLOOR), F.lit(1e-12))))
-    rel = total(lambda m, x: m["w"] * reliability(x, *env(m)))
-    hurt = total(lambda m, x: m["w"] * stress(x, *env(m), side[m["column"]]))
-    hurt_w = total(lambda m, x: F.when(x.isNotNull() & side[m["column"]].isNotNull(), m["w"]))
+    sided = [n for n in names if stress_side(n)]
+    has = total(lambda n, m, x: F.when(x.isNotNull(), m["w"]))
+    logs = total(lambda n, m, x: m["w"] * F.log(F.greatest(sharpened(trapezoid(x, *env(m)), SHARP, FLOOR), F.lit(1e-12))))
+    rel = total(lambda n, m, x: m["w"] * reliability(x, *env(m)))
+    hurt = total(lambda n, m, x: m["w"] * stress(x, *env(m), F.lit(stress_side(n))), sided)
+    hurt_w = total(lambda n, m, x: F.when(x.isNotNull(), m["w"]), sided)
     one = full.select("grp", "id", has.alias("has"), logs.alias("logs"), rel.alias("rel"), hurt.alias("hurt"), hurt_w.alias("hurt_w"), F.coalesce(F.col("shares")[F.col("cat")], F.lit(0.0)).alias("f"), F.col("cat").isNotNull().alias("has_cat"))
     numeric = F.when(F.col("has") > 0, F.exp(F.try_divide("logs", "has")))
     cat = sharpened(F.col("f"), SHARP, FLOOR)
