@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, drop, most_frequent, ship, sliced, table, texts, tidy
+from .common import BROADCAST_ROWS, cut, drop, most_frequent, ship, sliced, table, texts, tidy
 from .components import components
 from .words import SPACED, split_words
 
@@ -422,22 +422,32 @@ def classes_and_links(docs: DataFrame, partitions: int | None = None) -> tuple[D
     both = pairs.join(kx, "x").join(ky, "y").select(F.col("ix").alias("a"), F.col("iy").alias("b"), F.col("nx").alias("na"), F.col("ny").alias("nb"), F.col("kx").alias("ka"), F.col("ky").alias("kb"))
     links = _verified(rows, classes, cut(both.mapInArrow(_bounded, "a long, b long"), "candidates"))
     if large.limit(1).count():
-        # first only the nearest of another component for each set: what that joins needs no further comparison
+        # first only the nearest of another component for each set: what that joins needs no further comparison. Components only
+        # grow, so the second round looks at the groups that were mixed in the first
+        mixed = large.join(known.select("lo", "id", F.col("n").alias("size")), "lo").select("word", "id", "size")
         for nearest in (True, False):
-            near = cut(_residual(large, known, components(links), nearest).distinct(), "near")
+            mixed = _mixed(mixed, components(links))
+            near = cut(_residual(mixed, known, nearest).distinct(), "near")
             if near.limit(1).count():
                 links = links.union(_verified(rows, classes, near))
+            mixed = mixed.drop("component")
     drop(grouped)
     return members, classes, links
 
 
-def _residual(large: DataFrame, known: DataFrame, label: DataFrame, nearest: bool) -> DataFrame:
-    """Pairs (a, b) of different components in a large group whose sizes and bit sketches allow a link (nearest: for each set one of the
-    least Hamming distance only)."""
-    at = large.join(known.select("lo", "id", F.col("n").alias("size")), "lo").join(label, "id", "left").select("word", "id", F.coalesce("component", "id").alias("component"), "size")
-    mixed = at.groupBy("word").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("word")
-    # written first: right after the join, a repartition on its key would be left out, and a skewed word's rows dealt to several tasks
-    rest = cut(at.join(mixed, "word", "left_semi"), "rest")
+def _mixed(groups: DataFrame, label: DataFrame) -> DataFrame:
+    """groups (word, id, size) with components, of words whose sets are in several; written."""
+    few = label.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    at = groups.join(F.broadcast(label) if few else label, "id", "left").select("word", "id", F.coalesce("component", "id").alias("component"), "size")
+    at = cut(at, "groups")
+    several = at.groupBy("word").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("word")
+    return cut(at.join(several, "word", "left_semi"), "mixed")
+
+
+def _residual(rest: DataFrame, known: DataFrame, nearest: bool) -> DataFrame:
+    """Pairs (a, b) of different components in a mixed group (word, id, component, size; a written table, since right after a join a
+    repartition on its key would be left out, and a skewed word's rows dealt to several tasks) whose sizes and bit sketches allow a link
+    (nearest: for each set one of the least Hamming distance only)."""
     sketches = cut(known.select("id", "sketch").join(rest.select("id").distinct(), "id", "left_semi"), "sketches")
     size = sketches.agg(F.coalesce(F.sum(F.length("sketch") + 32), F.lit(0))).first()[0]
     if size <= BROADCAST_BYTES:  # after the shuffle, so that it carries no sketches
