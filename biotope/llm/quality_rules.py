@@ -121,7 +121,7 @@ def certified(found: DataFrame, labels: DataFrame, risk: float = RISK, error: fl
         return F.lit(len(cs)) - F.size(F.filter(F.array(*map(F.lit, cs)), lambda c: value > c))
 
     first = [F.struct(F.lit(rule).alias("rule"), place(values[rule], cs).alias("at")) for rule, cs in cutoffs.items()]
-    counts = held.select("stratum", F.explode(F.array(*first)).alias("f")).groupBy("stratum", "f.rule", "f.at").agg(F.count("*").alias("n"))
+    counts = cut(held.select("stratum", F.explode(F.array(*first)).alias("f")).groupBy("stratum", "f.rule", "f.at").agg(F.count("*").alias("n")), "counts")
     grid = F.explode(F.array(*(F.struct(F.lit(rule).alias("rule"), F.lit(k).alias("at"), F.lit(float(c)).alias("cutoff")) for rule, cs in cutoffs.items() for k, c in enumerate(cs))))
     strata = counts.groupBy("stratum").agg((F.sum("n") / len(cutoffs)).cast("long").alias("total"))
     tests = strata.select("stratum", "total", grid.alias("g")).select("stratum", "total", "g.*").join(counts, ["stratum", "rule", "at"], "left")
@@ -129,9 +129,8 @@ def certified(found: DataFrame, labels: DataFrame, risk: float = RISK, error: fl
     a = risk / len(cutoffs)
     # a stricter cutoff rejects what a more lenient one does: x counts the documents rejected at this place or before it
     tests = tests.withColumn("x", F.sum(F.coalesce("n", F.lit(0))).over(sequence).cast("long"))
-    n_strata = strata.agg(F.count("*").alias("n_strata"))
-    tests = tests.crossJoin(F.broadcast(n_strata))  # one row
-    passed = binomial_tail(F.col("x"), F.col("total"), a) <= F.lit(error) / (F.col("n_strata") * len(cutoffs))
+    n_strata = max(1, strata.count())
+    passed = binomial_tail(F.col("x"), F.col("total"), a) <= F.lit(error / (n_strata * len(cutoffs)))
     tests = tests.withColumn("passed", F.min(passed.cast("int")).over(sequence) == 1)
     return tests.where("passed").groupBy("stratum").agg(*(F.min(F.when(F.col("rule") == rule, F.col("cutoff"))).alias(f"cut_{rule}") for rule in cutoffs))
 
