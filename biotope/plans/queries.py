@@ -120,9 +120,9 @@ def rows_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.project(ingest.page(V.occ(spark, sf_dir, row_id=True), 100, 50), ["ROW_ID", "species ", "lon", "LAT", "unknown"])
 
 
-@query("SELECT row_id, grp, unc FROM occ WHERE row_id IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 97 = 0)")
+@query("SELECT row_id, grp, unc FROM occ WHERE row_id IN (SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT')")
 def rows_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = V.table(spark, sf_dir, "orders").where("o_orderkey % 97 = 0").select(F.col("o_orderkey").alias("row_id"))
+    ids = V.table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("row_id"))
     return ingest.rows_by_id(V.occ(spark, sf_dir, row_id=True), ids).select("row_id", "grp", "unc")
 
 
@@ -168,20 +168,20 @@ def lookup_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.grid(spark, sf_dir).select("id", "glim_litho").join(F.broadcast(names), "glim_litho", "left").select("id", "glim_litho", "litho_name")
 
 
-@query("SELECT DISTINCT species FROM occ WHERE ord = 'A' AND species NOT IN (SELECT species FROM occ WHERE row_id % 7 = 0 AND species IS NOT NULL)")
+@query("SELECT DISTINCT species || grp || phylum AS species FROM occ WHERE ord = 'A' AND species || grp || phylum NOT IN (SELECT species || grp || phylum FROM occ WHERE class = 'O')")
 def new_species(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = V.occ(spark, sf_dir, row_id=True)
-    return o.where("ord = 'A'").select("species").distinct().join(o.where("row_id % 7 = 0").select("species").distinct(), "species", "left_anti")
+    o = V.occ(spark, sf_dir).select("ord", "class", F.concat("species", "grp", "phylum").alias("species"))
+    return o.where("ord = 'A'").select("species").distinct().join(o.where("class = 'O'").select("species").distinct(), "species", "left_anti")
 
 
-_BASE_ML = "b AS (SELECT id, lon, lat, dem_elev / 60.0 AS base FROM grid), m AS (SELECT id, lon, lat, CASE WHEN id % 9 = 0 THEN NULL ELSE soilgrids_clay / 12.0 END AS ml FROM grid WHERE id % 2 = 0)"
+_BASE_ML = "b AS (SELECT id, lon, lat, dem_elev / 60.0 AS base FROM grid), m AS (SELECT id, lon, lat, CASE WHEN soilgrids_clay = 0 THEN NULL ELSE soilgrids_clay / 12.0 END AS ml FROM grid WHERE glim_litho <> 'R')"
 
 
 @query(f"""{_BASE_ML} SELECT id, round(base * (0.35 + 0.65 * pow(ml, 0.5)), 6) AS gate, round(0.7 * base + 0.3 * ml, 6) AS mix, round(sqrt(base * greatest(ml, CASE WHEN ml IS NULL THEN NULL ELSE 0.35 END)), 6) AS geo FROM b JOIN m USING (id, lon, lat)""")
 def blend_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = V.grid(spark, sf_dir)
     base = g.select("id", "lon", "lat", (F.col("dem_elev") / 60.0).alias("base"))
-    model = g.where("id % 2 = 0").select("id", "lon", "lat", F.when(F.col("id") % 9 != 0, F.col("soilgrids_clay") / 12.0).alias("ml"))
+    model = g.where("glim_litho <> 'R'").select("id", "lon", "lat", F.when(F.col("soilgrids_clay") != 0, F.col("soilgrids_clay") / 12.0).alias("ml"))
     b, m = F.col("base"), F.col("ml")
     known = m.isNotNull()
     return base.join(model, ["id", "lon", "lat"]).select("id", r6(F.when(known, X.gate(b, m))).alias("gate"), r6(X.mix(b, m)).alias("mix"), r6(F.when(known, X.geometric(b, m))).alias("geo"))
@@ -428,12 +428,12 @@ def heatmap_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.grid(spark, sf_dir).where("id < 2000").select("id", F.col("lon"), F.col("lat"), F.col("iy").alias("r"), F.col("ix").alias("c"))
+    return V.grid(spark, sf_dir).select("id", F.col("lon"), F.col("lat"), F.col("iy").alias("r"), F.col("ix").alias("c"))
 
 
 def _fallback(radius: int, circle: bool) -> str:
     rows = ", ".join(f"({k + 1}, {dr}, {dc})" for k, (dr, dc) in enumerate(raster.neighbours(radius, circle)))
-    return f"""o AS (SELECT * FROM (VALUES (0, 0, 0), {rows}) v(k, dr, dc)), pt AS (SELECT id, iy AS r, ix AS c FROM grid WHERE id < 2000),
+    return f"""o AS (SELECT * FROM (VALUES (0, 0, 0), {rows}) v(k, dr, dc)), pt AS (SELECT id, iy AS r, ix AS c FROM grid),
     hit AS (SELECT id, min((k, value)) AS b FROM pt, o, raster z WHERE z.r = pt.r + dr AND z.c = pt.c + dc AND value IS NOT NULL GROUP BY id)
     SELECT id, CAST(b[1] AS INTEGER) AS found, b[2] AS value FROM pt LEFT JOIN hit USING (id)"""
 
@@ -462,7 +462,7 @@ def continent_and_tile(spark: SparkSession, sf_dir: str) -> DataFrame:
 _TILES = [(i, (i * 7) % 30, (i * 11) % 40, (i * 7) % 30 + 12, (i * 11) % 40 + 9) for i in range(1, 25)]
 
 
-@query(f"t AS (SELECT * FROM (VALUES {', '.join(map(str, _TILES))}) v(tile, r0, c0, r1, c1)) SELECT p.id, CAST(min(tile) AS BIGINT) AS tile FROM (SELECT id, iy AS r, ix AS c FROM grid WHERE id < 2000) p LEFT JOIN t ON p.r >= r0 AND p.r < r1 AND p.c >= c0 AND p.c < c1 GROUP BY p.id")
+@query(f"t AS (SELECT * FROM (VALUES {', '.join(map(str, _TILES))}) v(tile, r0, c0, r1, c1)) SELECT p.id, CAST(min(tile) AS BIGINT) AS tile FROM (SELECT id, iy AS r, ix AS c FROM grid) p LEFT JOIN t ON p.r >= r0 AND p.r < r1 AND p.c >= c0 AND p.c < c1 GROUP BY p.id")
 def tile_of_block(spark: SparkSession, sf_dir: str) -> DataFrame:
     tiles = spark.createDataFrame(_TILES, "tile long, r0 long, c0 long, r1 long, c1 long")
     return raster.tile_of_block(_points(spark, sf_dir), tiles, 8).select("id", "tile")
@@ -498,11 +498,11 @@ def lattice_in_polygon(spark: SparkSession, sf_dir: str) -> DataFrame:
     return space.inside(space.lattice(spark, 0.0, 0.0, 10.0, 10.0, 0.5), _RING)
 
 
-@query("""pos AS (SELECT DISTINCT CAST(floor(lon / 2) AS BIGINT) AS bx, CAST(floor(lat / 2) AS BIGINT) AS by FROM grid WHERE id % 400 = 0)
+@query("""pos AS (SELECT DISTINCT CAST(floor(lon / 2) AS BIGINT) AS bx, CAST(floor(lat / 2) AS BIGINT) AS by FROM grid WHERE dem_elev = 0 AND soilgrids_clay = 0)
 SELECT id FROM grid g WHERE NOT EXISTS (SELECT 1 FROM pos WHERE abs(pos.bx - floor(g.lon / 2)) <= 1 AND abs(pos.by - floor(g.lat / 2)) <= 1)""")
 def background_outside_buffer(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = V.grid(spark, sf_dir)
-    return space.outside_buffer(g.select("id", "lon", "lat"), g.where("id % 400 = 0"), 2.0, 1).select("id")
+    return space.outside_buffer(g.select("id", "lon", "lat"), g.where("dem_elev = 0 and soilgrids_clay = 0"), 2.0, 1).select("id")
 
 
 # -- models ------------------------------------------------------------------------------------------------------------------
