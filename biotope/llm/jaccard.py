@@ -187,10 +187,10 @@ WHOLE = pa.schema([("id", pa.int64()), ("hi", pa.int64()), ("lo", pa.int64()), (
 WHOLE_DDL = "id long, hi long, lo long, shingles binary"
 
 
-def _chunks(batches, size: int = 2 << 20):
+def _chunks(batches, size: int = 1 << 20):
     """Batches of up to 1,024 rows and about `size` bytes of text (one row at least)."""
     for b in sliced(batches, 1024):
-        lengths = np.array([len(x) for x in b.column("text").to_pylist()])
+        lengths = pa.compute.binary_length(b.column("text")).to_numpy(zero_copy_only=False)
         at = 0
         while at < b.num_rows:
             upto = at + max(1, int(np.searchsorted(np.cumsum(lengths[at:]), size)))
@@ -211,6 +211,7 @@ def _measure(batches):
             value, df = value[df >= max(4, 0.005 * len(one))], df[df >= max(4, 0.005 * len(one))]
             if k := len(value):
                 yield table({"doc_id": [None] * k, "n": [None] * k, "hi": [None] * k, "lo": [None] * k, "sketch": [None] * k, "shingle": value.view(np.int64), "df": df}, SETS)
+        tidy()
 
 
 def _pack(parts: int, common):
