@@ -218,9 +218,9 @@ def disguised(text: str) -> list[tuple[int, int, int]]:
 
 
 def spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
-    """(plain ones, all of them), in order. A disguised one that meets a plain one of its kind is left out: plain ones stay."""
+    """(plain ones, all of them), in order. Plain ones stay; a disguised one is left out only where it lies within a plain one of its kind."""
     plain = find(text)
-    added = [s for s in disguised(text) if not any(p[1] == s[1] and p[0] < s[2] and s[0] < p[2] for p in plain)]
+    added = [s for s in disguised(text) if not any(p[1] == s[1] and p[0] <= s[0] and s[2] <= p[2] for p in plain)]
     return plain, sorted({*plain, *added})
 
 

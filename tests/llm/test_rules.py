@@ -91,6 +91,21 @@ def test_disguises(text, kind, span):
     assert pii.masked(text, every) == text[: span[0]] + f"[{kind}]" + text[span[1] :]
 
 
+@pytest.mark.parametrize(
+    ("text", "kind", "whole", "plain_span"),
+    [
+        ("dаve@example.com", "email", (0, 16), (2, 16)), ("dave@example.cоm", "email", (0, 16), (0, 14)), ("to a.b@mail.example (dot) com now", "email", (3, 29), (3, 19)), ("dave@mail.exam\u200bple.com", "email", (0, 22), (0, 14)),
+        ("+49 30 123456７８ ok", "phone", (0, 15), (0, 13)), ("at 10.0.0.1２.", "ip", (3, 12), (3, 11)), ("ａ.b@x.org", "email", (0, 9), (1, 9)),
+    ],
+)
+def test_disguises_around_plain_matches(text, kind, whole, plain_span):
+    """A plain match within a disguised identifier stays, and doesn't hide the whole one."""
+    k = pii.KINDS.index(kind)
+    plain, every = pii.spans(text)
+    assert plain == brute_pii(text) == [(plain_span[0], k, plain_span[1])] and set(every) == {*plain, (whole[0], k, whole[1])}
+    assert pii.masked(text, every) == text[: whole[0]] + f"[{kind}]" + text[whole[1] :]
+
+
 @pytest.mark.parametrize("text", ["meet at the house. dot", "un un un un un un un un un un un un un", "at home at ten at night", "one two three and four", "the dot-at-rest", "plus 5 points", "a-at-b"])
 def test_plain_prose_has_none(text):
     assert pii.spans(text) == ([], [])
