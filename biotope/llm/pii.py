@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import bisect
 import hashlib
+import itertools
 import re
 import unicodedata
 
@@ -139,25 +140,27 @@ _GAP = r"[ \t]*[-,]?[ \t]*"
 #: A run of digits' names and digits, with gaps, dots, dashes and brackets between them; optionally "plus" before. Never steps back.
 _DIGIT = rf"(?:(?:(?:double|triple)[ \t]+)?(?:{_NAME})(?!\w)|[0-9]++)"
 _SPELLED = re.compile(rf"(?<!\w)(?:(?:plus[ \t]+|\+[ \t]*))?{_DIGIT}(?:(?:[ \t]+(?:dot|point|punto|punkt|dash|hyphen)[ \t]+|[ \t]*[.()]+[ \t]*|{_GAP}){_DIGIT})++", re.I)
-_SPELLED_HINT = re.compile(rf"(?<!\w)(?:{_NAME})[ \t]*[-,]?[ \t]*(?:(?:double|triple|dot|point)[ \t]+)?(?:{_NAME})(?!\w)", re.I)
+_BETWEEN = rf"(?:[ \t]+(?:dot|point|punto|punkt|dash|hyphen)[ \t]+|[ \t]*[.()]+[ \t]*|{_GAP})(?:(?:double|triple)[ \t]+)?"
+_SPELLED_HINT = re.compile(rf"(?<!\w)(?:{_NAME})(?!\w){_BETWEEN}(?:[0-9]|(?:{_NAME})(?!\w))|[0-9]{_BETWEEN}(?:{_NAME})(?!\w)", re.I)
+_STOP = re.compile(r"\.[ \t]+")
 _TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|[^\w]", re.I)
 
 
-def _spelled(m: re.Match) -> list[tuple[int, int, str]]:
-    """Edits of a run of spelled digits: names become digits, gaps between two digits go, dots and dashes are kept."""
-    words = [(m.start() + t.start(), m.start() + t.end(), t[0].lower()) for t in _TOKEN.finditer(m[0])]
-    if sum(w in DIGITS for _, _, w in words) < 3:
-        return []
-    edits, times, gap = [], 1, None
-    for a, b, w in words:
+def _names(run: str) -> int:
+    return sum(t[0].lower() in DIGITS for t in _TOKEN.finditer(run))
+
+
+def _spelled(run: str, at: int) -> list[tuple[int, int, str]]:
+    """Edits of a run of spelled digits and digits that begins at `at`: names become digits, blanks and commas go, dots and dashes are kept."""
+    edits, times = [], 1
+    for t in _TOKEN.finditer(run):
+        a, b, w = at + t.start(), at + t.end(), t[0].lower()
         if w in ("double", "triple"):
             times = 2 if w == "double" else 3
             edits.append((a, b, ""))
         elif w in DIGITS:
-            if gap:
-                edits.append((*gap, ""))
             edits.append((a, b, DIGITS[w] * times))
-            times, gap = 1, None
+            times = 1
         elif w == "plus":
             edits.append((a, b, "+"))
         elif w in ("dot", "point", "punto", "punkt"):
@@ -166,13 +169,26 @@ def _spelled(m: re.Match) -> list[tuple[int, int, str]]:
             edits.append((a, b, "-"))
         elif w in " \t,":
             edits.append((a, b, ""))
-            continue
-        gap = None
     return edits
 
 
-def disguises(text: str) -> list[tuple[int, int, str]]:
-    """Edits for at/dot disguises within an address, and for runs of spelled digits."""
+def _parted(run: str, at: int) -> list[tuple[int, int, str]]:
+    """The same where full stops before blanks part the digits (three names at least, they go) or end a sentence (fewer, the run ends there)."""
+    stops, names = list(_STOP.finditer(run)), _names(run)
+    if names >= 3:
+        gone = [(at + m.start(), at + m.start() + 1, "") for m in stops]
+        return sorted(_spelled(run, at) + gone)
+    out, done = [], 0
+    for start, end in [*(m.span() for m in stops), (len(run), len(run))]:
+        if _names(run[done:start]) and _SPELLED.fullmatch(run, done, start):
+            out += _spelled(run[done:start], at + done)
+        done = end
+    return out
+
+
+def disguises(text: str) -> list[list[tuple[int, int, str]]]:
+    """Edits for at/dot disguises within an address, and for runs of spelled digits: those of runs with three names or more; and, where they
+    differ, those of all runs with a name. Each is searched, since a name next to a number may also be a word of the sentence."""
     edits = []
     if _ADDRESS_HINT.search(text):
         for m in _ADDRESS.finditer(text):
@@ -184,9 +200,12 @@ def disguises(text: str) -> list[tuple[int, int, str]]:
             edits += _free(edits, [(m.start() + t.start(), m.start() + t.end(), ".") for t in _AT_OR_DOT.finditer(m[0]) if t["dot"]])
     edits += _free(edits, [(m.start(), m.end(), "+") for m in _PLUS.finditer(text)])
     if _SPELLED_HINT.search(text):
-        spelled = [e for m in _SPELLED.finditer(text) for e in _spelled(m)]
-        edits += _free(edits, spelled)
-    return sorted(edits)
+        runs = [(m[0], m.start(), n) for m in _SPELLED.finditer(text) if (n := _names(m[0]))]
+        many, every = [e for run, at, n in runs if n >= 3 for e in _spelled(run, at)], [e for run, at, _ in runs for e in _parted(run, at)]
+        if every != many:
+            return [sorted(edits + _free(edits, many)), sorted(edits + _free(edits, every))]
+        edits += _free(edits, many)
+    return [sorted(edits)]
 
 
 def _free(edits: list, more: list) -> list:
@@ -205,16 +224,23 @@ def disguised(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) of identifiers that only the rewritten text shows, as spans of the source."""
     first_edits = characters(text) if not text.isascii() else []
     first = Rewritten(text, first_edits)
-    second_edits = disguises(first.text)
-    if not first_edits and not second_edits:
-        return []
-    second, out = Rewritten(first.text, second_edits), []
-    for start, kind, end in find(second.text):
-        a, b, changed = second.back(start, end)
-        a, b, changed_too = first.back(a, b)
-        if changed or changed_too:
-            out.append((a, kind, b))
-    return out
+    out: set = set()
+    for k, second_edits in enumerate(disguises(first.text)):
+        if not first_edits and not second_edits:
+            continue
+        second, made = Rewritten(first.text, second_edits), set()
+        for start, kind, end in find(second.text):
+            a, b, changed = second.back(start, end)
+            if k and kind == 1 and _IP.search(first.text, a, b):  # whole without the name after it
+                continue
+            a, b, changed_too = first.back(a, b)
+            if changed or changed_too:
+                made.add((a, kind, b))
+        # full stops between the digits of a longer identifier make no addresses of its parts
+        longer = sorted((m[0], m[2]) for m in made - out if m[1] > 1)
+        ends = list(itertools.accumulate((e for _, e in longer), max, initial=0))
+        out = made | {s for s in out if s[1] != 1 or ends[bisect.bisect_right(longer, (s[0], len(text) + 1))] < s[2]}
+    return sorted(out)
 
 
 def spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:

@@ -106,6 +106,27 @@ def test_disguises_around_plain_matches(text, kind, whole, plain_span):
     assert pii.masked(text, every) == text[: whole[0]] + f"[{kind}]" + text[whole[1] :]
 
 
+@pytest.mark.parametrize(
+    ("text", "kind", "span"),
+    [
+        ("card 4111 1111 1111 11 one one", "card", (5, 30)), ("plus 1 212 555 double four double two now", "phone", (0, 37)), ("4" + " one 1" * 7 + " one", "card", (0, 47)),
+        ("four. " + "one. " * 14 + "one", "card", (0, 79)), ("plus 49. one. 5. one. 5. five. 5. one. 2. three.", "phone", (0, 47)), ("at 192 dot 168 dot 1 dot one", "ip", (3, 28)),
+    ],
+)
+def test_names_among_digits(text, kind, span):
+    plain, every = pii.spans(text)
+    k = pii.KINDS.index(kind)
+    assert plain == brute_pii(text) and (span[0], k, span[1]) in every
+    assert pii.masked(text, every) == text[: span[0]] + f"[{kind}]" + text[span[1] :]
+
+
+@pytest.mark.parametrize("text", ["see 1.2.3. One of them", "at 10.0.0.1 one of them", "at 10.0.0.1. One of them", "call +49 30 12345678. One moment", "4111 1111 1111 1111. One card", "un 5 de 1998", "１０.0.0.1 one"])
+def test_words_after_digits(text):
+    """A name that is a word of the sentence neither makes an identifier nor hides one."""
+    plain, every = pii.spans(text)
+    assert plain == brute_pii(text) and every == (plain or ([(0, 1, 8)] if "１" in text else []))
+
+
 @pytest.mark.parametrize("text", ["meet at the house. dot", "un un un un un un un un un un un un un", "at home at ten at night", "one two three and four", "the dot-at-rest", "plus 5 points", "a-at-b"])
 def test_plain_prose_has_none(text):
     assert pii.spans(text) == ([], [])
