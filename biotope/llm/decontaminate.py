@@ -163,7 +163,8 @@ class Shard:
         for k, a, b in zip(found, start, last):
             here = back[sa[a:b]]
             self.hit[here] = np.maximum(self.hit[here], block.wide[k])
-            names = block.ids[block.win_items[block.win_from[k] : block.win_from[k + 1]]].tolist()
+            names = block.ids[block.win_items[block.win_from[k] : block.win_from[k + 1]]]
+            names = names[names != None].tolist()  # noqa: E711
             for d in np.unique(self.doc[here]).tolist():
                 self.items[d].update(names)
         out = []
@@ -205,10 +206,10 @@ ROWS_DDL = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 st
 MATCHES = pa.schema([("item_id", pa.string()), ("offset", pa.int64()), ("n_words", pa.int64()), ("doc_id", pa.int64()), ("position", pa.int64())])
 
 
-def blocks(benchmark: DataFrame, rows: int = BLOCK_ROWS, size: int = BLOCK_BYTES) -> list:
-    """Broadcasts of (ids, texts), each of a bounded number of items and bytes (or of a single item)."""
+def blocks(benchmark: DataFrame, rows: int = BLOCK_ROWS, size: int = BLOCK_BYTES, unnamed: bool = False) -> list:
+    """Broadcasts of (ids, texts), each of a bounded number of items and bytes (or of a single item); unnamed: also items with a null id."""
     sc, out, held, n = benchmark.sparkSession.sparkContext, [], [], 0
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null" if unnamed else "item_id is not null and text is not null")
     for r in items.toLocalIterator():
         if held and (len(held) == rows or n + len(r[1]) > size):
             out.append(sc.broadcast(tuple(zip(*held))))
@@ -218,15 +219,14 @@ def blocks(benchmark: DataFrame, rows: int = BLOCK_ROWS, size: int = BLOCK_BYTES
     return [*out, sc.broadcast(tuple(zip(*held)))] if held else out
 
 
-_built: dict = {}
+_built: list = []
 
 
 def built(block, window: int) -> Block:
-    """A worker keeps the last block that it built."""
-    if (block.id if hasattr(block, "id") else id(block), window) not in _built:
-        _built.clear()
-        _built[(block.id if hasattr(block, "id") else id(block), window)] = Block(*block.value, window)
-    return _built[(block.id if hasattr(block, "id") else id(block), window)]
+    """A worker keeps the last block that it built, with what it was built from: an id alone may be that of a later benchmark."""
+    if not (_built and _built[0] is block and _built[1] == window):
+        _built[:] = [block, window, Block(*block.value, window)]
+    return _built[2]
 
 
 def shards(batches, doc_id: int, text: int, words: int):
@@ -254,16 +254,16 @@ def shards(batches, doc_id: int, text: int, words: int):
         yield made()
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS) -> DataFrame:
+def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS, unnamed: bool = False) -> DataFrame:
     """doc_id, n_words, n_hit (words within a window's occurrence), n_items, items_sha256 (of the item ids as sorted strings, joined by
     commas), contaminated (n_hit > 0), items.
 
     A window: `window` consecutive words of an item; an item of fewer words is one window, of no words none. docs: doc_id, text. A row
     for every row, equal ones too; null and empty texts have no words; a null doc_id stays null. benchmark: item_id, text; rows with a
-    null are left out, equal ids count once. Other columns are not read. Empty tables give no rows, or rows without hits.
+    null are left out, equal ids count once; with unnamed, a text with a null item_id counts in n_hit and contaminated, and only its id is missing. Other columns are not read. Empty tables give no rows, or rows without hits.
     """
     ship(docs.sparkSession)
-    parts = blocks(benchmark)
+    parts = blocks(benchmark, unnamed=unnamed)
 
     def run(batches):
         for _, shard in shards(batches, 0, 1, shard_words):
@@ -291,10 +291,10 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     return every.groupBy("item_id", "offset").agg(best.alias("b")).select("item_id", "offset", "b.*")
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS) -> DataFrame:
-    """docs without the contaminated rows; all columns stay."""
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS, unnamed: bool = False) -> DataFrame:
+    """docs without the contaminated rows (unnamed: as in hits); all columns stay."""
     ship(docs.sparkSession)
-    parts = blocks(benchmark)
+    parts = blocks(benchmark, unnamed=unnamed)
     doc_id, text = docs.columns.index("doc_id"), docs.columns.index("text")
 
     def run(batches):

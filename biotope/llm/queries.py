@@ -78,7 +78,7 @@ def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.hits(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("items")
+    return decontaminate.hits(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), unnamed=True).drop("items")
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

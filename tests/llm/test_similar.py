@@ -5,7 +5,8 @@ import numpy as np
 import pyarrow as pa
 from llm.helpers import ODD, empty, odd
 
-from biotope.llm import components, decontaminate, jaccard
+import corpus_pipeline
+from biotope.llm import components, decontaminate, jaccard, queries
 from biotope.llm.words import ALNUM, split_words
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -146,3 +147,15 @@ def test_hits_of_odd_tables(spark):
     assert decontaminate.hits(empty(spark), bench).count() == 0 and decontaminate.hits(odd(spark), bench.limit(0)).where("contaminated").count() == 0
     best = decontaminate.longest_matches(odd(spark), bench).where("item_id = '1' and offset = 0").first()
     assert (best.n_words, best.doc_id, best.position) == (11, 5, 1)
+
+
+def test_items_without_id(spark, tmp_path):
+    """The query and the pipeline's stage count an item without an id; only the id is missing."""
+    passage = " ".join(f"p{i}" for i in range(12))
+    docs = spark.createDataFrame([(1, f"so {passage} end"), (2, "clean words"), (3, f"{passage} and q")], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, passage), (None, None), (7, "q")], "item_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    bench.write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = sorted((r.doc_id, r.n_hit, r.n_items, r.contaminated) for r in queries.op3_decontamination(spark, str(tmp_path)).collect())
+    assert got == [(1, 12, 0, True), (2, 0, 0, False), (3, 13, 1, True)]
+    assert [r.doc_id for r in corpus_pipeline.benchmark(spark, docs, str(tmp_path)).collect()] == [2]
