@@ -11,7 +11,9 @@ import uuid
 import zipfile
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,8 +24,10 @@ BROADCAST_ROWS = 200_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; only where that is unset (tests), below /tmp/checkpoints."""
+    """A new folder below spark.checkpoint.dir. Where that is unset, below /tmp/checkpoints, in local mode only: there all tasks share a disk."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return f"{base or 'file:///tmp/checkpoints'}/{uuid.uuid4().hex}"
 
 
@@ -92,6 +96,17 @@ def table(columns: dict, schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
 
 
+def chunks(batches, size: int = 1 << 20, text: str = "text"):
+    """The same rows in batches of up to 1,024 rows and about `size` bytes of text (one row at least)."""
+    for b in sliced(batches, 1024):
+        lengths = pa.compute.fill_null(pa.compute.binary_length(b.column(text)), 0).to_numpy(zero_copy_only=False)
+        at = 0
+        while at < b.num_rows:
+            upto = at + max(1, int(np.searchsorted(np.cumsum(lengths[at:]), size)))
+            yield b.slice(at, upto - at)
+            at = upto
+
+
 def sliced(batches, rows: int = 256):
     """The same rows in batches of few rows, to bound what one step of a Python operator holds."""
     for b in batches:
