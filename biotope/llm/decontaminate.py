@@ -1,13 +1,15 @@
 """Benchmark decontamination with suffix arrays of the training text.
 
 A shard is a run of whole documents of one task, of at most SHARD_WORDS words (a longer document is a shard by itself). Its words
-become numbers of the benchmark's vocabulary, 0 for any other word; a suffix ends at the first 0 or at its document's end, which
-loses nothing, as no benchmark text goes on over such a word. The suffix array (prefix doubling over the suffixes that can match at
-all) is binary-searched for every suffix of every benchmark item, all of them at a time: that gives the longest verbatim match of
-each and, for each window of WINDOW words, the range of its occurrences. A document lies within one shard, so its hits are
-complete there and no text is shuffled.
-
-The benchmark reaches the tasks in blocks of at most BLOCK_ROWS items and BLOCK_BYTES bytes, one broadcast each; the driver holds one at a time.
+become 64-bit hashes, 0 for a word that no benchmark text has; a suffix ends at the first 0 or at its document's end, which
+loses nothing, as no benchmark text goes on over such a word. The suffix array, in the order of the hashes, is built once a shard (prefix
+doubling over the suffixes that can match at all) and binary-searched for every suffix of every benchmark item, all of them at a
+time: that gives the longest verbatim match of each and, for each window of WINDOW words, the range of its occurrences. Each
+occurrence is then held against its neighbours in the benchmark's own order of suffixes, which gives the document's longest match
+there. A document lies within one shard, so its hits are complete there and no text is shuffled.
+
+The benchmark reaches the tasks in blocks of at most BLOCK_ROWS items and BLOCK_BYTES bytes, prepared on the driver, one broadcast each; the
+driver and a task hold one at a time.
 """
 
 from __future__ import annotations
@@ -17,39 +19,54 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, table, texts
+from .common import ship, table, texts, tidy
 from .words import ALNUM, split_words
 
 WINDOW = 10
-SHARD_WORDS = 1 << 20
+SHARD_WORDS = 1 << 19
 #: Bounds of a broadcast block of the benchmark.
-BLOCK_ROWS, BLOCK_BYTES = 20_000, 16 << 20
+BLOCK_ROWS, BLOCK_BYTES = 20_000, 4 << 20
+
 
 class Block:
-    """Items of the benchmark, as numbers of their own vocabulary."""
+    """Items of the benchmark: their words' hashes one after the other, with a 0 after every item."""
 
     def __init__(self, ids: list[str], items: list[str], window: int):
         words, counts = split_words(items, ALNUM)
         coded = words.dictionary_encode()
         self.vocabulary, self.ids, self.window = coded.dictionary, np.array(ids, object), window
-        self.seq = np.append(coded.indices.to_numpy(zero_copy_only=False).astype(np.int32) + 1, np.int32(0))
-        ends = np.cumsum(counts)
-        self.item = np.repeat(np.arange(len(counts)), counts)
-        self.left = ends[self.item] - np.arange(len(self.item))  # words from here to the item's end
-        first = (ends - counts)[self.item] == np.arange(len(self.item))
-        at = np.flatnonzero((self.left >= window) | first)  # where a window begins
-        wide = np.minimum(self.left[at], window)
-        grid = np.where(np.arange(window) < wide[:, None], self.seq[np.minimum(at[:, None] + np.arange(window), len(self.seq) - 1)], 0)
-        _, one, self.win = np.unique(grid, axis=0, return_index=True, return_inverse=True) if len(at) else (None, np.zeros(0, int), np.zeros(0, int))
-        self.at, self.wide = at[one], wide[one]  # a window that many items share is searched once
-        pairs = np.unique(np.stack([self.win.ravel(), self.item[at]], 1), axis=0) if len(at) else np.zeros((0, 2), int)
+        self.hashes = np.array([xxhash.xxh64_intdigest(w) or 1 for w in coded.dictionary.to_pylist()], np.uint64)
+        n = len(words) + len(counts)
+        item = np.repeat(np.arange(len(counts)), counts)
+        place = np.arange(len(words)) + item
+        self.seq = np.zeros(n + 1, np.uint64)
+        self.seq[place] = self.hashes[coded.indices.to_numpy(zero_copy_only=False)] if len(words) else 0
+        self.item = np.zeros(n, np.int64)
+        self.item[place] = item
+        self.begin = np.cumsum(counts + 1) - counts - 1
+        dense = dense_of(self.seq[:n])
+        self.sa, self.left = suffix_array(dense)  # left: words from here to the item's end
+        self.suffixes = np.sort(self.sa)
+        wide = np.minimum(self.left, window)
+        at = place[(self.left[place] >= window) | (place == self.begin[item])]  # where a window begins
+        grid = np.where(np.arange(window) < wide[at][:, None], dense[np.minimum(at[:, None] + np.arange(window), n - 1)], 0) if n else np.zeros((0, window))
+        _, one, win = np.unique(grid, axis=0, return_index=True, return_inverse=True) if len(at) else (None, np.zeros(0, int), np.zeros(0, int))
+        self.at, self.wide = at[one], wide[at[one]]  # a window that many items share is searched once
+        pairs = np.unique(np.stack([win.ravel(), self.item[at]], 1), axis=0) if len(at) else np.zeros((0, 2), int)
         self.win_from = np.searchsorted(pairs[:, 0], np.arange(len(one) + 1))
         self.win_items = pairs[:, 1]
 
 
+def dense_of(hashes: np.ndarray) -> np.ndarray:
+    """Small numbers in the order of the hashes; 0 for 0."""
+    known = np.unique(hashes[hashes > 0])
+    return np.where(hashes > 0, np.searchsorted(known, hashes) + 1, 0).astype(np.int32)
+
+
 def suffix_array(seq: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of numbers with 0 as the end of every run: the starts of all suffixes in order, and each place's words up to the next 0.
 
@@ -92,8 +109,8 @@ def suffix_array(seq: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         h *= 2
 
 
-def search(seq, run, sa, block: Block, at: np.ndarray, wide: np.ndarray, after: bool) -> np.ndarray:
-    """For each benchmark suffix at[k], cut to wide[k] words: the first place of sa whose suffix is not below it (after: is above it,
+def search(seq, run, sa, words: np.ndarray, at: np.ndarray, wide: np.ndarray, after: bool) -> np.ndarray:
+    """For each suffix of words at at[k], cut to wide[k] words: the first place of sa whose suffix is not below it (after: is above it,
     where one that it is a prefix of counts as equal)."""
     lo, hi = np.zeros(len(at), np.int64), np.full(len(at), len(sa), np.int64)
     live = np.flatnonzero(lo < hi)
@@ -106,8 +123,8 @@ def search(seq, run, sa, block: Block, at: np.ndarray, wide: np.ndarray, after:
             done = d >= w[open_]  # all its words are equal
             open_ = open_[~done]
             x = np.where(d < run[t[open_]], seq[np.minimum(t[open_] + d, len(seq) - 1)], 0)
-            y = block.seq[b[open_] + d]
-            sign[open_] = np.sign(x - y)
+            y = words[b[open_] + d]
+            sign[open_] = (x > y).astype(np.int8) - (x < y)
             open_ = open_[x == y]
             d += 1
         right = sign <= 0 if after else sign < 0
@@ -117,70 +134,112 @@ def search(seq, run, sa, block: Block, at: np.ndarray, wide: np.ndarray, after:
     return lo
 
 
-def common(seq, run, sa, block: Block, at, wide, place) -> np.ndarray:
-    """Words that each benchmark suffix has in common with the suffix at a place of sa (0 outside it)."""
-    out = np.zeros(len(at), np.int64)
-    live, d = np.flatnonzero((place >= 0) & (place < len(sa))), 0
+def common(seq, run, words: np.ndarray, left: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Words that each suffix of seq at a[k] has in common with the suffix of words at b[k] (0 where either place is negative)."""
+    out = np.zeros(len(a), np.int64)
+    live, d = np.flatnonzero((a >= 0) & (b >= 0)), 0
     while len(live):
-        t = sa[place[live]]
-        live = live[(d < wide[live]) & (d < run[t])]
-        live = live[seq[sa[place[live]] + d] == block.seq[at[live] + d]]
+        live = live[(d < left[b[live]]) & (d < run[a[live]])]
+        live = live[seq[a[live] + d] == words[b[live] + d]]
         d += 1
         out[live] = d
     return out
 
 
+def _placed(order: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """order[at], and -1 outside it."""
+    return np.where((at >= 0) & (at < len(order)), order[np.clip(at, 0, max(0, len(order) - 1))], -1) if len(order) else np.full(len(at), -1)
+
+
 class Shard:
-    """Whole documents; hits and matches of one block after the other."""
+    """Whole documents; hits and matches of one block after the other. Its suffix array is built once, over the words that any block has."""
 
     def __init__(self, doc_ids: list, words: pa.Array, counts: np.ndarray):
-        self.doc_ids, self.words, self.counts = doc_ids, words, counts
+        self.doc_ids, self.counts = doc_ids, counts
         self.doc = np.repeat(np.arange(len(counts)), counts)
         self.hit = np.zeros(len(self.doc), np.int32)
         self.items: list[set] = [set() for _ in counts]
         self.begin = np.cumsum(counts) - counts
+        self.best: list = [(0, 0, None)] * len(counts)  # (words, -position, item) of the longest match
+        coded = words.dictionary_encode()
+        self.distinct, self.codes = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
+        self.hash = np.zeros(len(self.distinct) + 1, np.uint64)
+        self.sa = None
+
+    def know(self, block: Block) -> None:
+        """Take the block's words into account; for every block, before the first match()."""
+        found = pc.fill_null(pc.index_in(self.distinct, value_set=block.vocabulary), -1).to_numpy(zero_copy_only=False)
+        self.hash[:-1] = np.where(found >= 0, block.hashes[found] if len(block.hashes) else 0, self.hash[:-1])
+
+    def _array(self) -> None:
+        place = np.arange(len(self.codes)) + self.doc  # a 0 after every document, so that no suffix goes on into the next one
+        self.seq = np.zeros(len(self.codes) + len(self.counts), np.uint64)
+        self.seq[place] = self.hash[self.codes]
+        self.sa, self.run = suffix_array(dense_of(self.seq))
+        self.back = np.zeros(len(self.seq), np.int64)
+        self.back[place] = np.arange(len(self.codes))
+        self.codes = self.distinct = None
 
     def match(self, block: Block, longest: bool = False) -> list[tuple]:
         """Mark the block's windows in the documents. longest: return (item, offset, length, doc_id, position) of the longest match
         of every benchmark suffix with at least the window's words (ties: smallest doc_id, null last, then position)."""
-        if not len(self.doc) or not len(block.item):
+        if self.sa is None:
+            self._array()
+        if not len(self.sa) or not len(block.sa):
             return []
-        codes = pc.index_in(self.words, value_set=block.vocabulary)
-        codes = pc.fill_null(codes, -1).to_numpy(zero_copy_only=False).astype(np.int32) + 1
-        place = np.arange(len(codes)) + self.doc  # a 0 after every document, so that no suffix goes on into the next one
-        seq = np.zeros(len(codes) + len(self.counts), np.int32)
-        seq[place] = codes
-        back = np.zeros(len(seq), np.int64)
-        back[place] = np.arange(len(codes))
-        sa, run = suffix_array(seq)
-        if not len(sa):
-            return []
-        every = np.arange(len(block.item))
-        low = search(seq, run, sa, block, every, block.left, False)
-        length = np.maximum(common(seq, run, sa, block, every, block.left, low - 1), common(seq, run, sa, block, every, block.left, low))
-        found = np.flatnonzero(length[block.at] >= block.wide)
-        start, last = (search(seq, run, sa, block, block.at[found], block.wide[found], after) for after in (False, True))
+        seq, run, sa, back = self.seq, self.run, self.sa, self.back
+        every = block.suffixes
+        low = search(seq, run, sa, block.seq, every, block.left[every], False)
+        length = np.maximum(*(common(seq, run, block.seq, block.left, _placed(sa, low - k), every) for k in (1, 0)))
+        of = np.zeros(len(block.seq), np.int64)
+        of[every] = length
+        found = np.flatnonzero(of[block.at] >= block.wide)
+        start, last = (search(seq, run, sa, block.seq, block.at[found], block.wide[found], after) for after in (False, True))
+        wide = np.zeros(len(seq), np.int64)
         for k, a, b in zip(found, start, last):
             here = back[sa[a:b]]
+            wide[sa[a:b]] = np.maximum(wide[sa[a:b]], block.wide[k])
             self.hit[here] = np.maximum(self.hit[here], block.wide[k])
             names = block.ids[block.win_items[block.win_from[k] : block.win_from[k + 1]]]
             names = names[names != None].tolist()  # noqa: E711
             for d in np.unique(self.doc[here]).tolist():
                 self.items[d].update(names)
+        if len(found):
+            self._longest(block, np.flatnonzero(wide), wide[wide > 0])
         out = []
         if longest:
-            far = np.flatnonzero(length >= np.minimum(block.window, block.left))
-            far = far[(block.left[far] >= block.window) | np.isin(far, block.at)]
-            start, last = (search(seq, run, sa, block, far, length[far], after) for after in (False, True))
+            far = every[(length >= np.minimum(block.window, block.left[every])) & ((block.left[every] >= block.window) | (every == block.begin[block.item[every]]))]
+            start, last = (search(seq, run, sa, block.seq, far, of[far], after) for after in (False, True))
             for k, a, b in zip(far, start, last):
                 at = back[sa[a:b]]
                 ids = [(self.doc_ids[d] is None, self.doc_ids[d] or 0, p - self.begin[d]) for d, p in zip(self.doc[at].tolist(), at.tolist())]
                 null, doc_id, position = min(ids)
                 i = block.item[k]
-                offset = k - (np.flatnonzero(block.item == i)[0])
-                out.append((block.ids[i], int(offset), int(length[k]), None if null else doc_id, int(position)))
+                out.append((block.ids[i], int(k - block.begin[i]), int(of[k]), None if null else doc_id, int(position)))
         return out
 
+    def _longest(self, block: Block, at: np.ndarray, wide: np.ndarray) -> None:
+        """Where windows begin (places in seq; the widest window's words): the longest match there with a suffix of the block that such a
+        window begins. One of a place's two neighbours in the block's order of suffixes has the longest of all; below the window's
+        words it is a whole short item. Of each document the longest is kept (ties: the first place, then the smallest item id)."""
+        low = search(block.seq, block.left, block.sa, self.seq, at, self.run[at], False)
+        most = np.maximum(*(common(self.seq, self.run, block.seq, block.left, at, _placed(block.sa, low - k)) for k in (1, 0)))
+        most = np.where(most >= block.window, most, wide)
+        where = self.back[at]
+        doc = self.doc[where]
+        order = np.lexsort((where, -most, doc))
+        first = order[np.append(True, doc[order][1:] != doc[order][:-1])]
+        better = [k for k in first.tolist() if (int(most[k]), -int(where[k] - self.begin[doc[k]])) >= self.best[doc[k]][:2]]
+        a, b = (search(block.seq, block.left, block.sa, self.seq, at[better], most[better], after) for after in (False, True))
+        for k, x, y in zip(better, a, b):
+            n, position, some = int(most[k]), -int(where[k] - self.begin[doc[k]]), block.sa[x:y]
+            if n < block.window:
+                some = some[(block.left[some] == n) & (some == block.begin[block.item[some]])]
+            names = [i for i in block.ids[np.unique(block.item[some])].tolist() if i is not None]
+            if (n, position) == self.best[doc[k]][:2] and self.best[doc[k]][2] is not None:
+                names.append(self.best[doc[k]][2])
+            self.best[doc[k]] = (n, position, min(names, default=None))
+
     def rows(self) -> dict:
         n = len(self.hit)
         covered = np.zeros(n + 1, np.int64)
@@ -197,36 +256,55 @@ class Shard:
             "n_items": [len(i) for i in items],
             "items_sha256": [hashlib.sha256(",".join(i).encode()).hexdigest() for i in items],
             "contaminated": n_hit > 0,
+            "longest": [n for n, _, _ in self.best],
+            "longest_at": [-p if n else None for n, p, _ in self.best],
+            "longest_item": [i for _, _, i in self.best],
             "items": items,
         }
 
 
-ROWS = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("contaminated", pa.bool_()), ("items", pa.list_(pa.string()))])
-ROWS_DDL = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>"
+ROWS = pa.schema(
+    [("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("contaminated", pa.bool_()), ("longest", pa.int64()), ("longest_at", pa.int64()), ("longest_item", pa.string()), ("items", pa.list_(pa.string()))]
+)
+ROWS_DDL = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, longest long, longest_at long, longest_item string, items array<string>"
 MATCHES = pa.schema([("item_id", pa.string()), ("offset", pa.int64()), ("n_words", pa.int64()), ("doc_id", pa.int64()), ("position", pa.int64())])
 
 
-def blocks(benchmark: DataFrame, rows: int = BLOCK_ROWS, size: int = BLOCK_BYTES, unnamed: bool = False) -> list:
-    """Broadcasts of (ids, texts), each of a bounded number of items and bytes (or of a single item); unnamed: also items with a null id."""
+def blocks(benchmark: DataFrame, window: int, rows: int = BLOCK_ROWS, size: int = BLOCK_BYTES, unnamed: bool = False) -> list:
+    """Broadcast blocks, each of a bounded number of items and bytes (or of a single item); unnamed: also items with a null id."""
     sc, out, held, n = benchmark.sparkSession.sparkContext, [], [], 0
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null" if unnamed else "item_id is not null and text is not null")
+
+    def send():
+        out.append(sc.broadcast(Block(*zip(*held), window)))
+        if len(out) > 1:  # the driver keeps its written form only
+            for b in out:
+                vars(b).pop("_value", None)
+
     for r in items.toLocalIterator():
         if held and (len(held) == rows or n + len(r[1]) > size):
-            out.append(sc.broadcast(tuple(zip(*held))))
+            send()
             held, n = [], 0
         held.append((r[0], r[1]))
         n += len(r[1])
-    return [*out, sc.broadcast(tuple(zip(*held)))] if held else out
+    if held:
+        send()
+    return out
 
 
-_built: list = []
+def matched(shard: Shard, parts: list, longest: bool = False):
+    """The shard against all blocks; of several, a worker lets go of each before it takes the next one."""
 
+    def each():
+        for p in parts:
+            yield p.value
+            if len(parts) > 1 and vars(p).get("_path"):  # it can be read again
+                vars(p).pop("_value", None)
 
-def built(block, window: int) -> Block:
-    """A worker keeps the last block that it built, with what it was built from: an id alone may be that of a later benchmark."""
-    if not (_built and _built[0] is block and _built[1] == window):
-        _built[:] = [block, window, Block(*block.value, window)]
-    return _built[2]
+    for block in each():
+        shard.know(block)
+    for block in each():
+        yield from shard.match(block, longest)
 
 
 def shards(batches, doc_id: int, text: int, words: int):
@@ -254,53 +332,58 @@ def shards(batches, doc_id: int, text: int, words: int):
         yield made()
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS, unnamed: bool = False) -> DataFrame:
+def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS, unnamed: bool = False, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """doc_id, n_words, n_hit (words within a window's occurrence), n_items, items_sha256 (of the item ids as sorted strings, joined by
-    commas), contaminated (n_hit > 0), items.
+    commas), contaminated (n_hit > 0), longest, longest_at, longest_item (words, place in the document's words and item of the longest verbatim
+    match that holds a window; ties: the first place, then the smallest item; 0 and nulls if there is none), items.
 
     A window: `window` consecutive words of an item; an item of fewer words is one window, of no words none. docs: doc_id, text. A row
-    for every row, equal ones too; null and empty texts have no words; a null doc_id stays null. benchmark: item_id, text; rows with a
-    null are left out, equal ids count once; with unnamed, a text with a null item_id counts in n_hit and contaminated, and only its id is missing. Other columns are not read. Empty tables give no rows, or rows without hits.
+    for every row, equal ones too; null and empty texts have no words; a null doc_id stays null; very long texts are a shard each. benchmark:
+    item_id, text; rows with a null are left out, equal ids count once; with unnamed, a text with a null item_id counts in n_hit,
+    contaminated and longest, and only its id is missing. Other columns are not read. Empty tables give no rows, or rows without hits.
     """
     ship(docs.sparkSession)
-    parts = blocks(benchmark, unnamed=unnamed)
+    parts = blocks(benchmark, window, block_rows, unnamed=unnamed)
 
     def run(batches):
         for _, shard in shards(batches, 0, 1, shard_words):
-            for p in parts:
-                shard.match(built(p, window))
+            for _ in matched(shard, parts):
+                pass
             yield table(shard.rows(), ROWS)
+        tidy()
 
     return texts(docs).mapInArrow(run, ROWS_DDL)
 
 
-def longest_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS) -> DataFrame:
+def longest_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """item_id, offset (of the suffix, in words), n_words, doc_id, position: the longest verbatim match of every benchmark suffix that has
     one of at least `window` words (or of the whole of a shorter item), over all shards; ties: smallest doc_id, then position."""
     ship(docs.sparkSession)
-    parts = blocks(benchmark)
+    parts = blocks(benchmark, window, block_rows)
 
     def run(batches):
         for _, shard in shards(batches, 0, 1, shard_words):
-            for p in parts:
-                if found := shard.match(built(p, window), longest=True):
-                    yield table(dict(zip(MATCHES.names, zip(*found))), MATCHES)
+            if found := list(matched(shard, parts, longest=True)):
+                yield table(dict(zip(MATCHES.names, zip(*found))), MATCHES)
+        tidy()
 
     every = texts(docs).mapInArrow(run, "item_id string, offset long, n_words long, doc_id long, position long")
     best = F.max_by(F.struct("n_words", "doc_id", "position"), F.struct("n_words", F.col("doc_id").isNotNull(), -F.col("doc_id"), -F.col("position")))
     return every.groupBy("item_id", "offset").agg(best.alias("b")).select("item_id", "offset", "b.*")
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS, unnamed: bool = False) -> DataFrame:
-    """docs without the contaminated rows (unnamed: as in hits); all columns stay."""
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS, unnamed: bool = False, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """docs without the contaminated rows (unnamed: as in hits); all columns stay, whatever their names, as do null and empty texts and
+    equal rows; very long texts are searched whole. An empty benchmark removes nothing."""
     ship(docs.sparkSession)
-    parts = blocks(benchmark, unnamed=unnamed)
+    parts = blocks(benchmark, window, block_rows, unnamed=unnamed)
     doc_id, text = docs.columns.index("doc_id"), docs.columns.index("text")
 
     def run(batches):
         for rows, shard in shards(batches, doc_id, text, shard_words):
-            for p in parts:
-                shard.match(built(p, window))
+            for _ in matched(shard, parts):
+                pass
             yield from rows.filter(pa.array(~np.array(shard.rows()["contaminated"], bool))).to_batches(max_chunksize=256)
+        tidy()
 
     return docs.mapInArrow(run, docs.schema)
