@@ -11,7 +11,7 @@ anything else. A set with d non-empty words or fewer (and any set of a small ban
 The joined words of a task go out packed by target partition. A group of up to SMALL documents gives its pairs; of a larger one,
 every document is first held against the group's smallest; what is still in several components after that is compared inside the
 group by a second, bitwise parity sketch, whose Hamming distance bounds the symmetric difference likewise, and only pairs within the bound
-go on. Every pair that goes on is verified on the whole sets. Equal sets are one class from the start.
+go on. A group of more than UNIT sets is dealt out as pairs of its parts, so that no task gets a whole large group. Every pair that goes on is verified on the whole sets. Equal sets are one class from the start.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, cut, drop, most_frequent, ship, sliced, table, texts, tidy
+from .common import BROADCAST_ROWS, chunks, cut, drop, most_frequent, ship, sliced, table, texts, tidy
 from .components import components
 from .words import SPACED, split_words
 
@@ -34,6 +34,8 @@ NUM, DEN = 75, 100
 _RATIO = 5 / 3
 #: Groups of up to so many give all their pairs at once.
 SMALL = 8
+#: A group of more sets is cut into parts of about so many sets, or into PARTS parts if those are more; two parts at a time are compared.
+UNIT, PARTS = 512, 64
 #: Words that one partition of the join holds, about.
 PART_WORDS = 1_000_000
 #: Words that a task holds before it hands them on.
@@ -187,20 +189,9 @@ WHOLE = pa.schema([("id", pa.int64()), ("hi", pa.int64()), ("lo", pa.int64()), (
 WHOLE_DDL = "id long, hi long, lo long, shingles binary"
 
 
-def _chunks(batches, size: int = 1 << 20):
-    """Batches of up to 1,024 rows and about `size` bytes of text (one row at least)."""
-    for b in sliced(batches, 1024):
-        lengths = pa.compute.binary_length(b.column("text")).to_numpy(zero_copy_only=False)
-        at = 0
-        while at < b.num_rows:
-            upto = at + max(1, int(np.searchsorted(np.cumsum(lengths[at:]), size)))
-            yield b.slice(at, upto - at)
-            at = upto
-
-
 def _measure(batches):
     """A row a document (n, fingerprint); and a row for each shingle that is common in a chunk of documents (df, doc_id null)."""
-    for b in _chunks(batches):
+    for b in chunks(batches):
         sets = shingle_sets(b.column("text"))
         prints = [fingerprint(s) if len(s) else (0, 0) for s in sets]
         n = len(sets)
@@ -230,7 +221,7 @@ def _pack(parts: int, common):
                 high = words[mine].view(np.uint8).reshape(-1, 8)[:, 2:]  # 48 bits; the part tells some of the rest
                 yield table({"part": [p], "words": [high.tobytes()], "owners": [local.astype(np.uint16).tobytes()], "los": [who[used].tobytes()], "sizes": [size[used].tobytes()]}, PACKED)
 
-        for b in _chunks(batches):
+        for b in chunks(batches):
             for s in shingle_sets(b.column("text")):
                 if not len(s) or (f := fingerprint(s)) in seen:
                     continue
@@ -312,7 +303,7 @@ def _whole(wanted=None):
     """The sets of the documents whose doc_id is wanted (all if None)."""
 
     def run(batches):
-        for b in _chunks(batches):
+        for b in chunks(batches):
             if wanted is not None:
                 doc_id = pa.compute.fill_null(b.column("doc_id"), 0).to_numpy(zero_copy_only=False)
                 here = _in_sorted(doc_id, wanted.value) & ~np.asarray(b.column("doc_id").is_null())
@@ -346,12 +337,13 @@ def _bounded(batches):
 
 
 def _near(nearest: bool):
-    """From rows (word, id, component, size, sketch) in order of word: the pairs of different components within the bounds of size
-    and Hamming distance (nearest: for each set, the one of the least distance among those not smaller)."""
+    """From rows (word, p, q, part, id, component, size, sketch) in order of word, p, q: the pairs of sets of different components, one of part p
+    and one of part q, within the bounds of size and Hamming distance (nearest: for each set, the one of the least distance among those not
+    smaller). Rows word, a, b, distance; a is the set that b is near to."""
 
-    def pairs(ids, comp, size, sketch):
-        order = np.argsort(size, kind="stable")
-        ids, comp, size = ids[order], comp[order], size[order]
+    def pairs(word, p, q, part, ids, comp, size, sketch):
+        order = np.lexsort((ids, size))
+        part, ids, comp, size = part[order], ids[order], comp[order], size[order]
         words = min(map(len, sketch)) // 8  # sizes of a group are within a small factor
         sketch = np.concatenate([fold(np.frombuffer(sketch[i], np.uint64).reshape(1, -1), words) for i in order])
         found = []
@@ -362,44 +354,51 @@ def _near(nearest: bool):
                 k = slice(j, min(upto, j + 4096))
                 hamming = np.bitwise_count(sketch[k] ^ sketch[i]).sum(1).astype(np.int64)
                 ok = (comp[k] != comp[i]) & (hamming * (NUM + DEN) <= (size[k] + size[i]) * (DEN - NUM))
+                if p != q:
+                    ok &= part[k] != part[i]
                 if ok.any():
                     other = np.flatnonzero(ok)
                     if not nearest:
-                        found.append(np.stack([np.full(len(other), ids[i]), ids[k][other]]))
+                        found.append(np.stack([np.full(len(other), ids[i]), ids[k][other], hamming[other]]))
                     elif best is None or hamming[other].min() < best[0]:
                         best = (hamming[other].min(), ids[k][other[hamming[other].argmin()]])
             if best is not None:
-                found.append(np.array([[ids[i]], [best[1]]], np.int64))
+                found.append(np.array([[ids[i]], [best[1]], [best[0]]], np.int64))
             if found and (sum(f.shape[1] for f in found) > 1 << 16 or i == len(ids) - 1):
-                pair = np.concatenate(found, 1)
-                yield table({"a": pair.min(0), "b": pair.max(0)}, LINKS)
+                a, b, distance = np.concatenate(found, 1)
+                yield table({"word": np.full(len(a), word), "a": a, "b": b, "distance": distance}, NEAR)
                 found = []
 
     def run(batches):
         held, now = [], None
         for b in batches:
-            word = b.column("word").to_numpy(zero_copy_only=False)
-            cols = [b.column(c).to_numpy(zero_copy_only=False) for c in ("id", "component", "size")]
+            word, p, q = (b.column(c).to_numpy(zero_copy_only=False) for c in ("word", "p", "q"))
+            cols = [b.column(c).to_numpy(zero_copy_only=False) for c in ("part", "id", "component", "size")]
             cols.append(np.array(b.column("sketch").to_pylist(), object))
-            edge = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
+            edge = np.flatnonzero(np.append(True, (word[1:] != word[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1])))
             for a, z in zip(edge.tolist(), [*edge[1:].tolist(), len(word)]):
-                if word[a] != now and held:
-                    yield from pairs(*(np.concatenate(x) for x in zip(*held)))
+                if (word[a], p[a], q[a]) != now and held:
+                    yield from pairs(*now, *(np.concatenate(x) for x in zip(*held)))
                     held = []
-                now = word[a]
+                now = (word[a], p[a], q[a])
                 held.append([c[a:z] for c in cols])
         if held:
-            yield from pairs(*(np.concatenate(x) for x in zip(*held)))
+            yield from pairs(*now, *(np.concatenate(x) for x in zip(*held)))
+        tidy()
 
     return run
 
 
+NEAR = pa.schema([("word", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("distance", pa.int64())])
+
+
 # -- the join ---------------------------------------------------------------------------------------------------------------
 
 
-def classes_and_links(docs: DataFrame, partitions: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+def classes_and_links(docs: DataFrame, partitions: int | None = None, few_rows: int = BROADCAST_ROWS, few_ids: int = BROADCAST_IDS, few_bytes: int = BROADCAST_BYTES, unit: int = UNIT) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(members, classes, links): a row a document (doc_id, n, hi, lo); a row for each distinct set (hi, lo, id: its smallest doc_id,
-    copies); and links between sets (a < b, ids) whose components are those of all links."""
+    copies); and links between sets (a < b, ids) whose components are those of all links. few_rows, few_ids, few_bytes: bounds of broadcasts;
+    beyond them tables are joined, with the same result."""
     spark = docs.sparkSession
     ship(spark)
     rows = texts(docs)
@@ -421,48 +420,60 @@ def classes_and_links(docs: DataFrame, partitions: int | None = None) -> tuple[D
     known = classes.where("id is not null").select("lo", "id", "n", "sketch")
     kx, ky = (known.select(F.col("lo").alias(k), F.col("id").alias(f"i{k}"), F.col("n").alias(f"n{k}"), F.col("sketch").alias(f"k{k}")) for k in "xy")
     both = pairs.join(kx, "x").join(ky, "y").select(F.col("ix").alias("a"), F.col("iy").alias("b"), F.col("nx").alias("na"), F.col("ny").alias("nb"), F.col("kx").alias("ka"), F.col("ky").alias("kb"))
-    links = _verified(rows, classes, cut(both.mapInArrow(_bounded, "a long, b long"), "candidates"))
+    candidates = cut(both.mapInArrow(_bounded, "a long, b long"), "candidates")
+    links = _verified(rows, classes, candidates, few_ids)
+    drop(candidates)
     if large.limit(1).count():
         # first only the nearest of another component for each set: what that joins needs no further comparison. Components only
         # grow, so the second round looks at the groups that were mixed in the first
         mixed = large.join(known.select("lo", "id", F.col("n").alias("size")), "lo").select("word", "id", "size")
         for nearest in (True, False):
-            mixed = _mixed(mixed, components(links))
-            near = cut(_residual(mixed, known, nearest).distinct(), "near")
+            mixed = _mixed(mixed, components(links), few_rows, unit)
+            near = cut(_residual(mixed, known, nearest, few_bytes).distinct(), "near")
             if near.limit(1).count():
-                links = links.union(_verified(rows, classes, near))
-            mixed = mixed.drop("component")
+                links = links.union(_verified(rows, classes, near, few_ids))
+            drop(near)
+            mixed = mixed.drop("component", "parts")
     drop(grouped)
     return members, classes, links
 
 
-def _mixed(groups: DataFrame, label: DataFrame) -> DataFrame:
-    """groups (word, id, size) with components, of words whose sets are in several; written."""
-    few = label.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+def _mixed(groups: DataFrame, label: DataFrame, few_rows: int, unit: int) -> DataFrame:
+    """groups (word, id, size) with components, and parts (into how many the group is cut), of words whose sets are in several; written."""
+    few = label.limit(few_rows + 1).count() <= few_rows
     at = groups.join(F.broadcast(label) if few else label, "id", "left").select("word", "id", F.coalesce("component", "id").alias("component"), "size")
     at = cut(at, "groups")
-    several = at.groupBy("word").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("word")
-    return cut(at.join(several, "word", "left_semi"), "mixed")
+    per = at.groupBy("word").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("n")).where("least <> most")
+    per = cut(per.select("word", F.least(F.lit(PARTS), F.ceil(F.col("n") / unit)).cast("int").alias("parts")), "several")
+    few = per.limit(few_rows + 1).count() <= few_rows
+    return cut(at.join(F.broadcast(per) if few else per, "word"), "mixed")
 
 
-def _residual(rest: DataFrame, known: DataFrame, nearest: bool) -> DataFrame:
-    """Pairs (a, b) of different components in a mixed group (word, id, component, size; a written table, since right after a join a
+def _residual(rest: DataFrame, known: DataFrame, nearest: bool, few_bytes: int) -> DataFrame:
+    """Pairs (a, b) of different components in a mixed group (word, id, component, size, parts; a written table, since right after a join a
     repartition on its key would be left out, and a skewed word's rows dealt to several tasks) whose sizes and bit sketches allow a link
-    (nearest: for each set one of the least Hamming distance only)."""
+    (nearest: for each set of a group one of the least Hamming distance only)."""
     sketches = cut(known.select("id", "sketch").join(rest.select("id").distinct(), "id", "left_semi"), "sketches")
     size = sketches.agg(F.coalesce(F.sum(F.length("sketch") + 32), F.lit(0))).first()[0]
-    if size <= BROADCAST_BYTES:  # after the shuffle, so that it carries no sketches
-        wide = rest.repartition("word").join(F.broadcast(sketches), "id").select("word", "id", "component", "size", "sketch").sortWithinPartitions("word")  # a sort before a join is left out
+    # a set goes to every pair of parts that has its own: it is there as often as its group has parts
+    part = rest.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    units = part.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("word", F.least("part", "o").alias("p"), F.greatest("part", "o").alias("q"), "part", "id", "component", "size")
+    columns = ("word", "p", "q", "part", "id", "component", "size", "sketch")
+    if size <= few_bytes:  # after the shuffle, so that it carries no sketches
+        wide = units.repartition("word", "p", "q").join(F.broadcast(sketches), "id").select(*columns).sortWithinPartitions("word", "p", "q")  # a sort before a join is left out
     else:
-        wide = cut(rest.join(sketches, "id"), "wide").select("word", "id", "component", "size", "sketch").repartition("word").sortWithinPartitions("word")
-    return wide.mapInArrow(_near(nearest), "a long, b long")
+        wide = cut(units.join(sketches, "id"), "wide").select(*columns).repartition("word", "p", "q").sortWithinPartitions("word", "p", "q")
+    near = wide.mapInArrow(_near(nearest), "word long, a long, b long, distance long")
+    if nearest:  # of a set's nearest in each part
+        near = near.groupBy("word", "a").agg(F.min(F.struct("distance", "b")).alias("n")).select("a", "n.b")
+    return near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
-def _verified(rows: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
+def _verified(rows: DataFrame, classes: DataFrame, pairs: DataFrame, few_ids: int) -> DataFrame:
     """Of pairs (a, b: ids of classes; a written table), those whose sets are linked. Only the sets of the pairs' classes are made."""
     spark = rows.sparkSession
     ids = cut(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct(), "ids")
-    if ids.count() <= BROADCAST_IDS:
+    if ids.count() <= few_ids:
         wanted = np.sort(np.fromiter((r[0] for r in ids.toLocalIterator()), np.int64))
         some = rows.mapInArrow(_whole(spark.sparkContext.broadcast(wanted)), WHOLE_DDL)
     else:
@@ -475,18 +486,19 @@ def _verified(rows: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFram
     sa = sets.select(F.col("id").alias("a"), F.col("hi").alias("ha"), F.col("lo").alias("la"), F.col("shingles").alias("sx"))
     found = cut(p.join(sb, ["b", "hb", "lb"]).join(sa, ["a", "ha", "la"]).select("a", "b", "sx", "sy").mapInArrow(_verify, "a long, b long").distinct(), "links")
     drop(sets)
+    drop(ids)
     return found
 
 
-def join(docs: DataFrame) -> DataFrame:
+def join(docs: DataFrame, **bounds: int) -> DataFrame:
     """doc_id, n_shingles, class_id (smallest doc_id with the same set), component_id (smallest doc_id reachable by links).
 
     docs: doc_id, text. A row for every row, equal ones too. Null and empty texts, and texts of white space, have an empty set and are
     linked with nothing (class and component are the row's own doc_id). A null doc_id stays null; such rows count as members of their
     set's class, and only a class without any doc_id has a null class and component. Texts are taken whole. Other columns are
-    not read. An empty table gives an empty one.
+    not read. An empty table gives an empty one. bounds: as in classes_and_links().
     """
-    members, classes, links = classes_and_links(docs)
+    members, classes, links = classes_and_links(docs, **bounds)
     label = cut(components(links), "components")
     # classes of one document without links need no join
     known = cut(classes.join(label, "id", "left").where("copies > 1 or component is not null").select("hi", "lo", "id", F.coalesce("component", "id").alias("component")), "known")
@@ -502,14 +514,16 @@ def join(docs: DataFrame) -> DataFrame:
     )
 
 
-def one_each(docs: DataFrame) -> DataFrame:
-    """One document of each group of linked ones, the one of the smallest doc_id; all columns. Documents with an empty set stay.
+def one_each(docs: DataFrame, few_ids: int = BROADCAST_IDS) -> DataFrame:
+    """One document of each group of linked ones, the one of the smallest doc_id; all columns, whatever their names. Documents with an empty set
+    (null and empty texts) stay; very long texts are compared whole; an empty table gives an empty one.
 
     Rows are told apart by doc_id: rows that repeat a doc_id stay or go together, and a null doc_id stays.
     """
     gone = cut(join(docs).where("component_id <> doc_id").select("doc_id").distinct(), "gone")
-    if gone.count() > BROADCAST_IDS:
-        return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    if gone.count() > few_ids:
+        ids = gone.select(F.col("doc_id").alias("_gone"))
+        return docs.join(ids, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti").select(*(docs[c] for c in docs.columns))
     ids = docs.sparkSession.sparkContext.broadcast(np.sort(np.fromiter((r[0] for r in gone.toLocalIterator()), np.int64)))
     at = docs.columns.index("doc_id")
 
@@ -517,5 +531,6 @@ def one_each(docs: DataFrame) -> DataFrame:
         for b in sliced(batches, 1024):
             doc_id = pa.compute.fill_null(b.column(at).cast(pa.int64()), 0).to_numpy(zero_copy_only=False)
             yield b.filter(pa.array(~_in_sorted(doc_id, ids.value) | np.asarray(b.column(at).is_null())))
+        tidy()
 
     return docs.mapInArrow(run, docs.schema)

@@ -4,6 +4,7 @@ import re
 import numpy as np
 import pyarrow as pa
 from llm.helpers import ODD, empty, odd
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from biotope.llm import components, decontaminate, jaccard, queries
@@ -62,6 +63,9 @@ def test_join_against_brute_force(spark):
     rows = [(i * 3, t) for i, t in enumerate(texts)]
     got = jaccard.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
     assert sorted((x.doc_id, x.n_shingles, x.component_id) for x in got) == brute_components(rows)
+    # beyond every bound of a broadcast, with large groups in parts of a few sets
+    beyond = jaccard.join(spark.createDataFrame(rows, "doc_id long, text string"), few_rows=0, few_ids=0, few_bytes=0, unit=5).collect()
+    assert sorted((x.doc_id, x.n_shingles, x.component_id) for x in beyond) == brute_components(rows)
 
 
 def test_join_of_odd_tables(spark):
@@ -70,6 +74,10 @@ def test_join_of_odd_tables(spark):
     assert jaccard.join(odd(spark)).count() == len(ODD) and jaccard.join(empty(spark)).count() == 0
     one = jaccard.one_each(odd(spark))
     assert one.columns == odd(spark).columns and one.count() == len(ODD)
+    copies = odd(spark).withColumn("doc_id", F.when(F.col("doc_id") == 6, 8).otherwise(F.col("doc_id"))).union(odd(spark).where("doc_id = 7").withColumn("doc_id", F.lit(70).cast("long")))
+    for few in (100, 0):
+        kept = jaccard.one_each(copies, few_ids=few)
+        assert kept.columns == copies.columns and sorted((r.doc_id or 0) for r in kept.collect()) == [0, 1, 2, 3, 4, 5, 5, 7, 8, 8]
 
 
 def test_sketches_bound_the_difference():
@@ -125,25 +133,62 @@ def test_hits_against_brute_force(spark):
         v = ["a", "b", "cé", "D", "e1"][: r.randint(1, 5)]
         docs = [(i, r.choice([None, text(60, v), text(5, v)])) for i in range(r.randint(1, 12))]
         bench = [(i, text(20, v)) for i in range(r.randint(1, 8))]
-        block = decontaminate.Block([str(i) for i, _ in bench], [t for _, t in bench], 4)
+        blocks = [decontaminate.Block([str(i) for i, _ in part], [t for _, t in part], 4) for part in ((bench,), (bench[::3], bench[1::3], bench[2::3]))[trial % 2] if part]
         shard = decontaminate.Shard([d for d, _ in docs], *split_words(pa.array([t for _, t in docs], pa.string()), ALNUM))
-        longest = shard.match(block, True)
+        for block in blocks:
+            shard.know(block)
+        longest = [m for block in blocks for m in shard.match(block, True)]
         o = shard.rows()
         got = sorted(((d, int(a), int(b), i) for d, a, b, i in zip(o["doc_id"], o["n_words"], o["n_hit"], o["items"])), key=repr)
         assert got == brute_hits(docs, bench, 4)
-        for item, offset, n, doc, at in longest:
-            ws = [re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", fold(t or "")) for t in (dict(bench)[int(item)], dict(docs)[doc])]
-            assert ws[0][offset : offset + n] == ws[1][at : at + n]
+        assert sorted(longest, key=repr) == brute_longest(docs, bench, 4)
+        assert list(zip(o["doc_id"], o["longest"], o["longest_at"], o["longest_item"])) == [(d, *brute_document(t, bench, 4)) for d, t in docs]
+
+
+def alnum(t):
+    return re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", fold(t or ""))
+
+
+def shared(a, b):
+    """Words that two lists begin with."""
+    return next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+
+
+def brute_longest(docs, bench, w):
+    """The longest match of every benchmark suffix: smallest doc_id, then place."""
+    out = []
+    for item, t in bench:
+        words = alnum(t)
+        for offset in range(len(words)):
+            if len(words) - offset >= w or not offset:
+                found = [(-shared(words[offset:], (ws := alnum(x))[p:]), d, p) for d, x in docs for p in range(len(alnum(x)))]
+                if found and -(best := min(found))[0] >= min(w, len(words) - offset):
+                    out.append((str(item), offset, -best[0], best[1], best[2]))
+    return sorted(out, key=repr)
+
+
+def brute_document(text, bench, w):
+    ws, best = alnum(text), (0, 0, None)
+    for p in range(len(ws)):
+        for item, t in bench:
+            words = alnum(t)
+            for offset in range(len(words)):
+                n = shared(ws[p:], words[offset:])
+                if (not offset or len(words) - offset >= w) and n >= min(w, len(words) - offset) and (n, -p, -int(item)) > (best[0], -best[1], -int(best[2] or 10**9)):
+                    best = (n, p, str(item))
+    return (best[0], best[1], best[2]) if best[0] else (0, None, None)
 
 
 def test_hits_of_odd_tables(spark):
     bench = spark.createDataFrame([(1, "B c, d e f g h i j K l m"), (2, None), (None, "x"), (3, "one"), (3, ""), (4, "one")], "item_id long, text string")
-    for size in (1, 1 << 20):
-        got = decontaminate.hits(odd(spark), bench, shard_words=size)
+    for size, rows in ((1, 20_000), (1 << 20, 20_000), (1 << 20, 1)):
+        got = decontaminate.hits(odd(spark), bench, shard_words=size, block_rows=rows)
         rows = sorted(((r.doc_id, r.n_words, r.n_hit, r["items"]) for r in got.collect()), key=repr)
         assert rows == brute_hits([(d, t) for d, t, _ in ODD], [(1, "B c, d e f g h i j K l m"), (3, "one"), (4, "one")], 10)
     kept = decontaminate.clean(odd(spark), bench)
     assert kept.columns == odd(spark).columns and kept.count() == len(ODD) - 4  # three of doc 5's text, and doc 4
+    assert decontaminate.clean(odd(spark), bench, block_rows=1).count() == len(ODD) - 4
+    assert {(r.doc_id, r.longest, r.longest_at, r.longest_item) for r in decontaminate.hits(odd(spark), bench).where("contaminated").collect()} == {(5, 11, 1, "1"), (None, 11, 1, "1"), (4, 1, 0, "3")}
     assert decontaminate.hits(empty(spark), bench).count() == 0 and decontaminate.hits(odd(spark), bench.limit(0)).where("contaminated").count() == 0
     best = decontaminate.longest_matches(odd(spark), bench).where("item_id = '1' and offset = 0").first()
     assert (best.n_words, best.doc_id, best.position) == (11, 5, 1)
