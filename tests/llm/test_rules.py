@@ -1,3 +1,5 @@
+import hashlib
+import json
 import math
 import random
 import re
@@ -5,6 +7,7 @@ import time
 from collections import Counter
 
 import pytest
+from conftest import SF
 from llm.helpers import ODD, empty, odd
 from pyspark.sql import functions as F
 
@@ -218,3 +221,82 @@ def test_tool_calls(spark):
     order = sorted((r.after_turn, r.level, r.turn, r.call_id) for r in tool_calls.link(back, schemas).collect())
     assert [o[3] for o in order] == ["c6", "c5", "c4", "c3", "c2", "c1", "c0", "d"]
     assert tool_calls.canonical({"b": 1.0, "a": [True, None, " \n"]}) == '{"a":[true,null," \\n"],"b":1}'
+
+
+def brute_places(calls):
+    """calls: {id: ((turn, place), named)}; places by raising every call until nothing changes, None on a cycle and where one moves a call."""
+    at, n = {c: (*own, 0) for c, (own, _) in calls.items()}, len(calls)
+    for _ in range(2 * n + 5):
+        for c, (_, named) in calls.items():
+            at[c] = max([at[c], *((*at[b][:2], 10**6 if at[b][2] > n else at[b][2] + 1) for b in named if b in at)])
+    return {c: None if p[2] > n else p for c, p in at.items()}
+
+
+def test_places_against_brute_force(spark):
+    """In one pass and by rounds."""
+    r, rows, want = random.Random(7), [], {}
+    for conv in range(40):
+        names = [f"k{i}" for i in range(r.randint(1, 9))]
+        calls = {c: ((t, 0), sorted({r.choice(names) for _ in range(r.choice([0, 0, 1, 1, 2]))})) for t, c in enumerate(names)}
+        rows += [(conv, t, c, json.dumps({"tool_calls": [{"id": c, "name": "f", "arguments": {}, "after": named}]})) for c, ((t, _), named) in calls.items()]
+        want |= {(conv, c): p and (p[0], p[2]) for c, p in brute_places(calls).items()}
+    msgs = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    for bounded in (100, 0):
+        got = {(x.conv_id, x.call_id): None if x.after_turn is None else (x.after_turn, x.level) for x in tool_calls.link(msgs, {"f": {}}, bounded).collect()}
+        assert got == want
+
+
+def test_a_long_cycle_in_one_pass(spark, monkeypatch):
+    """1,000 calls on a cycle, and 30,000 in a chain, each naming the next one."""
+    tables = []
+    monkeypatch.setattr(tool_calls, "cut", lambda df, name, f=tool_calls.cut: tables.append(name) or f(df, name))
+    rows = [(c, t, "a", '{"tool_calls":[{"id":"c%d","name":"f","arguments":{},"after":["c%d"]}]}' % (t, (t + 1) % n if c == 1 else t + 1)) for c, n in ((1, 1000), (2, 30_000)) for t in range(n)]
+    got = tool_calls.link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), {"f": {}})
+    assert got.where("conv_id = 1 and after_turn is null").count() == 1000
+    assert got.where("conv_id = 2 and after_turn = 29999 and level = 29999 - turn").count() == 30_000
+    assert len(tables) < 25
+
+
+def test_odd_calls(spark):
+    deep = '{"a":' * 3000 + "1" + "}" * 3000
+    call = lambda i, args, name='"f"': '{"tool_calls":[{"id":"%s","name":%s,"arguments":%s}]}' % (i, name, args)
+    texts = [
+        call("a", "{}"), '{"tool_call_id":"a","content":NaN}', call("b", '{"s":"\\ud800"}'), call("c", "{}", '["f"]'), call("d", deep), call("\\ud800", "{}"), '{"tool_call_id":"e","content":[Infinity]}',
+        '{"tool_call_id":"d","content":"\\udfff"}', call("g", '{"n":-Infinity}'), "{" * 200_000 + "tool_call", call("h", "[]"), '{"tool_calls":[null,{"id":1},{"id":"i","after":5}]}', call("j", "{}", '"\\ud800"'),
+    ]
+    msgs = spark.createDataFrame([(1, t, "x", text) for t, text in enumerate(texts)], "conv_id long, turn long, role string, text string")
+    got = {r.call_id: (r.status, list(r.errors), r.record) for r in tool_calls.link(msgs, {"f": {"type": "object"}}).collect()}
+    assert got["a"] == ("linked", ["result: not a JSON number"], None) and got["b"][1] == ["$: lone surrogate"] and got["c"][1] == ["unknown tool"]
+    assert got["d"][:2] == ("linked", ["$: nested too deeply"]) and got["\ufffd"][1] == [] and got["e"] == ("no_call", ["result: not a JSON number"], None)
+    assert got["g"][1] == ["$: not a JSON number"] and got["h"][1] == ["$: not an object"] and got["i"][1] == ["$: not an object"] and got["j"][1] == ["unknown tool"]
+
+
+def test_tool_call_query_against_brute_force(spark):
+    from biotope.llm import queries
+
+    calls, results = {}, {}
+    for r in queries.call_messages(spark.read.parquet(f"{SF}/conversations.parquet")).collect():
+        message = json.loads(r.text)
+        for place, c in enumerate(message.get("tool_calls", [])):
+            calls.setdefault((r.conv_id, c["id"]), []).append((r.turn, place, c["name"], c["after"], c["arguments"]))
+        if "tool_call_id" in message:
+            results.setdefault((r.conv_id, message["tool_call_id"]), []).append((r.turn, message["content"]))
+    calls = {k: min(v, key=repr) if len({x[:2] for x in v}) < len(v) else min(v, key=lambda x: x[:2]) for k, v in calls.items()}
+    results = {k: min(v) for k, v in results.items()}
+    by_conv = {}
+    for (conv, c), v in calls.items():
+        by_conv.setdefault(conv, {})[c] = (v[:2], v[3])
+    at = {(conv, c): p for conv, own in by_conv.items() for c, p in brute_places(own).items()}
+
+    def row(k):
+        call, result = calls.get(k), results.get(k)
+        if not call:
+            return (*k, result[0], None, result[0], 0, "no_call", False, "", None)
+        turn, _, name, _, args = call
+        errors = ["unknown tool"] if name not in queries.SCHEMAS else tool_calls.check(args, queries.SCHEMAS[name])
+        status = "no_result" if not result else "early_result" if result[0] <= turn else "linked"
+        record = json.dumps({"arguments": args, "id": k[1], "name": name, "result": result[1]}, sort_keys=True, separators=(",", ":"), ensure_ascii=False) if status == "linked" and not errors else None
+        return (*k, turn, name, at[k] and at[k][0], at[k] and at[k][2], status, not errors, ";".join(errors), record and hashlib.sha256(record.encode()).hexdigest())
+
+    got = sorted((tuple(r) for r in queries.op5_tool_calls(spark, SF).collect()), key=repr)
+    assert got == sorted(map(row, calls.keys() | results.keys()), key=repr) and any(r[5] for r in got)
