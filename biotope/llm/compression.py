@@ -32,8 +32,8 @@ def fold(doc_id):
 class Model:
     """Two dictionaries and the curve; small, and sent to the workers by value."""
 
-    def __init__(self, good: bytes, bad: bytes, slope: float, offset: float):
-        self.good, self.bad, self.slope, self.offset = good, bad, slope, offset
+    def __init__(self, good: bytes, bad: bytes, slope: float = 0.0, offset: float = 0.0, fitted: int = 0):
+        self.good, self.bad, self.slope, self.offset, self.fitted = good, bad, slope, offset, fitted
 
     def compressors(self):
         def one(raw):
@@ -44,7 +44,9 @@ class Model:
         return one(self.good), one(self.bad)
 
     def score(self, x: float) -> float:
-        z = max(-60.0, min(60.0, self.slope * x + self.offset))
+        """Between 1 / (n + 2) and 1 minus that, where n texts fitted the curve: so many can't show that a chance is nearer to 0 or 1."""
+        most = math.log(self.fitted + 1)
+        z = max(-most, min(most, self.slope * x + self.offset))
         return 1 / (1 + math.exp(-z))
 
 
@@ -80,7 +82,9 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, chars: int
     """Fit on labelled rows outside fold 1. labels: doc_id, quality (0 or 1; other values and nulls are left out).
 
     At most `rows` documents of each class are taken, in the order of a hash of doc_id; they are all that reaches the driver
-    (rows * chars characters a class). Every other one of them builds the dictionaries, the rest the curve.
+    (rows * chars characters a class). Every other one of them builds the dictionaries, the rest the curve. Of rows that repeat a
+    doc_id the smallest text counts, and of its labels the larger; null texts and longer ones are left out. Without labels of both classes
+    every score is the same.
     """
     allowed = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality").where("doc_id is not null and quality in (0, 1)").where(fold(F.col("doc_id")) != 1)
     short = docs.where(F.length("text") <= chars).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -88,14 +92,15 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, chars: int
     n = {r[0]: r[1] for r in allowed.groupBy("quality").count().collect()}
     few = [allowed.where(F.col("quality") == q).groupBy("doc_id").agg(F.max("quality").alias("quality")).orderBy(order, "doc_id").limit(rows) for q in (0, 1)]
     chosen = F.broadcast(few[0].unionByName(few[1]))  # 2 * rows rows at most
-    got = sorted(short.join(chosen, "doc_id").select(order.alias("o"), "doc_id", "text", "quality").limit(4 * rows).collect())
+    got = sorted(short.join(chosen, "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text")).select(order.alias("o"), "doc_id", "text", "quality").collect())
     samples: dict[int, list[str]] = {0: [], 1: []}
     for r in got:
         samples[r["quality"]].append(r["text"])
-    built = Model(*(dictionary([t.encode() for t in samples[q][::2] if t]) for q in (1, 0)), 0.0, 0.0)
+    built = Model(*(dictionary([t.encode() for t in samples[q][::2] if t]) for q in (1, 0)))
     good, bad = built.compressors()
     rest = [(difference(t, good, bad), q) for q in (0, 1) for t in samples[q][1::2]]
     built.slope, built.offset = logistic(np.array([x for x, _ in rest], float), np.array([q for _, q in rest], float), (n.get(0, 0), n.get(1, 0)))
+    built.fitted = len(rest)
     return built
 
 
