@@ -139,7 +139,8 @@ def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float
     """doc_id, stratum, the counts of signals(), the stratum's cutoffs (cut_<rule>, null: none), base_failed, kept.
 
     kept is false if the base rules fail or a signal is above its stratum's cutoff. docs: doc_id, text and the stratum's column;
-    other columns are not read. A row for every row, equal ones too. Without labels no cutoff is certified and the base rules decide.
+    other columns are not read. A row for every row, equal ones too; null and empty texts have counts of 0 and fail the base rules, very long ones
+    are counted whole; a null stratum, or none among the columns, is "". Without labels no cutoff is certified and the base rules decide.
     The texts are read once; what follows works on the written counts.
     """
     found = cut(signals(docs, stratum), "signals")
@@ -147,8 +148,8 @@ def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float
 
 
 def keep(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = RISK, error: float = ERROR, cutoffs: dict = CUTOFFS) -> DataFrame:
-    """The rows of docs that judge() keeps, with all columns. Texts are read twice: to choose the cutoffs, and with their rows; no text
-    is shuffled."""
+    """The rows of docs that judge() keeps, with all columns, whatever their names; equal rows stay or go alike, and null and empty texts go. Texts
+    are read twice: to choose the cutoffs, and with their rows; no text is shuffled."""
     chosen = certified(cut(signals(docs, stratum), "signals"), labels, risk, error, cutoffs)
     # the row's number, which is not deterministic to the optimiser, holds the filter above the counts; below them it would have a
     # copy of their expressions for each use
@@ -166,10 +167,11 @@ def _judged(found: DataFrame, chosen: DataFrame, cutoffs: dict) -> DataFrame:
     return joined.withColumn("kept", ~bad)
 
 
-#: The same rows by DuckDB, with the parameters above.
-SQL = f"""
+def sql(stratum: str = "coalesce(lang, '')", risk: float = RISK, error: float = ERROR) -> str:
+    """The same rows by DuckDB; stratum is an expression of documents."""
+    return f"""
 WITH base AS (
-  SELECT doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS t,
+  SELECT doc_id, {stratum} AS stratum, coalesce(text, '') AS t,
          regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w
   FROM documents
 ), tri AS (
@@ -205,11 +207,11 @@ WITH base AS (
   SELECT h.stratum, r.rule, r.place, r.cutoff, count(*) AS n, count(*) FILTER (h.v > r.cutoff) AS x
   FROM held h JOIN rules r USING (rule) GROUP BY ALL
 ), tails AS (
-  SELECT t.*, CASE WHEN x >= n * {RISK / len(CUTOFFS)} THEN 1 ELSE
-    list_sum(list_transform(range(0, x + 1), lambda k: exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * ln({RISK / len(CUTOFFS)}) + (n - k) * ln(1 - {RISK / len(CUTOFFS)})))) END AS p
+  SELECT t.*, CASE WHEN x >= n * {risk / len(CUTOFFS)} THEN 1 ELSE
+    list_sum(list_transform(range(0, x + 1), lambda k: exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * ln({risk / len(CUTOFFS)}) + (n - k) * ln(1 - {risk / len(CUTOFFS)})))) END AS p
   FROM tests t
 ), ok AS (
-  SELECT *, min(CASE WHEN p <= {ERROR} / ((SELECT count(DISTINCT stratum) FROM held) * {len(CUTOFFS)}) THEN 1 ELSE 0 END)
+  SELECT *, min(CASE WHEN p <= {error} / ((SELECT count(DISTINCT stratum) FROM held) * {len(CUTOFFS)}) THEN 1 ELSE 0 END)
     OVER (PARTITION BY stratum, rule ORDER BY place) AS passed FROM tails
 ), chosen AS (
   SELECT stratum, rule, min(cutoff) AS cutoff FROM ok WHERE passed = 1 GROUP BY ALL

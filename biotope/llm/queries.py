@@ -86,6 +86,16 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+#: One stratum and a larger risk, so that few hundred labels certify cutoffs: op4's four strata need 1,151 good documents each.
+POOLED_RISK = 0.05
+
+
+def quality_rules_pooled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rules of op4 with one stratum for all documents and a risk of POOLED_RISK."""
+    judged = quality_rules.judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), stratum="", risk=POOLED_RISK)
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 SCHEMAS = {
     "search": {"type": "object", "required": ["n", "query"], "additionalProperties": False, "properties": {"query": {"type": "string", "minLength": 1}, "n": {"type": "integer", "minimum": 1, "maximum": 1000}}},
     "translate": {"type": "object", "required": ["query"], "properties": {"query": {"type": "string"}, "to": {"type": "string", "enum": ["en", "de"]}, "n": {"type": "integer"}}},
@@ -135,5 +145,5 @@ def op10_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_token_output, op3_decontamination, op4_quality_rules, op5_tool_calls, op6_pieces, op7_jaccard_join, op8_pii, op9_token_counts, op10_compression)}
-ORACLES: dict[str, str] = {"op1_url_filter": OP1_SQL, "op4_quality_rules": quality_rules.SQL}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_token_output, op3_decontamination, op4_quality_rules, op5_tool_calls, op6_pieces, op7_jaccard_join, op8_pii, op9_token_counts, op10_compression, quality_rules_pooled)}
+ORACLES: dict[str, str] = {"op1_url_filter": OP1_SQL, "op4_quality_rules": quality_rules.sql(), "quality_rules_pooled": quality_rules.sql("''", POOLED_RISK)}

@@ -4,6 +4,7 @@ import math
 import random
 import re
 import time
+import zlib
 from collections import Counter
 
 import pytest
@@ -300,3 +301,62 @@ def test_tool_call_query_against_brute_force(spark):
 
     got = sorted((tuple(r) for r in queries.op5_tool_calls(spark, SF).collect()), key=repr)
     assert got == sorted(map(row, calls.keys() | results.keys()), key=repr) and any(r[5] for r in got)
+
+
+def test_op10_against_one_process(spark):
+    """The query's scores by a fit in this process, and what held-out labels say of them."""
+    import struct
+
+    import numpy as np
+    import pyarrow.parquet as pq
+    import xxhash
+
+    from biotope.llm import queries
+
+    sf = SF.replace("sf0.001", "sf0.01")
+    docs = dict(zip(*(pq.read_table(f"{sf}/documents.parquet").column(c).to_pylist() for c in ("doc_id", "text"))))
+    labels = dict(zip(*(pq.read_table(f"{sf}/labels.parquet").column(c).to_pylist() for c in ("doc_id", "quality"))))
+    fold = lambda d: zlib.crc32(str(d).encode()) % 3
+    hashed = lambda d: (h := xxhash.xxh64_intdigest(struct.pack("<q", d), 42)) - (1 << 64 if h >> 63 else 0)
+    allowed = {d: q for d, q in labels.items() if q in (0, 1) and fold(d) != 1}
+    samples = {q: [docs[d] for d in sorted((d for d in allowed if allowed[d] == q), key=lambda d: (hashed(d), d))[: compression.SAMPLE_ROWS] if d in docs and len(docs[d]) <= compression.SAMPLE_CHARS] for q in (0, 1)}
+    model = compression.Model(*(compression.dictionary([t.encode() for t in samples[q][::2] if t]) for q in (1, 0)))
+    good, bad = model.compressors()
+    rest = [(compression.difference(t, good, bad), q) for q in (0, 1) for t in samples[q][1::2]]
+    model.slope, model.offset = compression.logistic(np.array([x for x, _ in rest]), np.array([float(q) for _, q in rest]), tuple(sum(v == q for v in allowed.values()) for q in (0, 1)))
+    model.fitted = len(rest)
+    got = {r.doc_id: r for r in queries.op10_compression(spark, sf).collect()}
+    assert got.keys() == docs.keys()
+    for d, r in got.items():
+        assert r.score == pytest.approx(model.score(compression.difference(docs[d] or "", good, bad)), abs=1e-9) and 0 < r.score < 1
+        assert r.held_out == (fold(d) == 1) and r.predicted == (r.score >= 0.5)
+    held = [(r.score, labels[d]) for d, r in got.items() if r.held_out and labels.get(d) in (0, 1)]
+    score, y = (np.array(x, float) for x in zip(*held))
+    auc = (score[y == 1][:, None] > score[y == 0]).mean() + (score[y == 1][:, None] == score[y == 0]).mean() / 2
+    brier = ((score - y) ** 2).mean()
+    print("held out", len(y), "AUC", auc, "Brier", brier, [(round(score[k].mean(), 2), round(y[k].mean(), 2), len(k)) for k in (np.flatnonzero((score >= a) & (score < a + 0.2)) for a in (0, 0.2, 0.4, 0.6, 0.8)) if len(k)])
+    assert auc > 0.95 and brier < 0.08
+
+
+def test_repeated_doc_ids_are_one_row(spark):
+    """Rows that repeat a doc_id don't displace others from the sample."""
+    docs = spark.createDataFrame([(i, f"good words {i} of a text" if i % 2 else f"@@@@ #### {i}") for i in range(60)] + [(1, "zzz")] * 5000, "doc_id long, text string")
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"))
+    a, b = (compression.fit(d, labels, rows=40) for d in (docs, docs.dropDuplicates()))
+    assert (a.good, a.bad, a.slope, a.offset, a.fitted) == (b.good, b.bad, b.slope, b.offset, b.fitted)
+
+
+def test_keep_of_odd_tables(spark):
+    docs = odd(spark).union(odd(spark).where("doc_id = 5").select(*(F.lit(" ".join(f"v{i}" for i in range(80))).alias("text") if c == "text" else c for c in odd(spark).columns)))
+    labels = spark.createDataFrame([(5, 1), (None, 1)], "doc_id long, quality int")
+    kept = quality_rules.keep(docs, labels)
+    assert kept.columns == docs.columns and [r.doc_id for r in kept.collect()] == [5, 5] and quality_rules.keep(docs.limit(0), labels).count() == 0
+
+
+def test_lists_beyond_the_broadcast(spark):
+    from biotope.llm import queries
+
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    log = queries.list_entries(pages).union(spark.createDataFrame([("tops", "com", "add"), ("old", "org", "add"), ("old", "org", "remove")], "list string, key string, action string").withColumn("at", F.expr("timestamp '2004-01-01 00:00:00'")))
+    a, b = (sorted(map(repr, url_filter.evaluate(queries.captures(pages), log, few_rows=few).collect())) for few in (10**6, 0))
+    assert a == b and any("tops" in x for x in a)
