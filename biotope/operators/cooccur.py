@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from biotope.functions.expr import association, mercator_cell, valid_lat_lon, within_uncertainty
@@ -26,6 +26,20 @@ def presence(occ: DataFrame, variants: list[tuple[float, float, float]], species
     return spread
 
 
+def variant_key(adjacency: str = "exact") -> Column:
+    """Name of a grid: its scale, shift and adjacency."""
+    part = [F.regexp_replace(F.round(c, 4).cast("decimal(10,4)").cast("string"), r"\.?0+$", "") for c in ("px", "py")]
+    return F.concat(F.col("scale").cast("long").cast("string"), F.lit("m_x"), part[0], F.lit("_y"), part[1], F.lit(f"_{adjacency}"))
+
+
+def totals(found: DataFrame, max_cell_species: int = 150, min_shared: int = 2) -> DataFrame:
+    """Per grid: cells, skipped_cells (with more species than the cap), kept_records, and pairs (a < b that share enough cells). One count a cell."""
+    per = found.groupBy(*CELL).agg(F.count("*").alias("rich"))
+    cells = per.groupBy(*GRID).agg(F.count_if(F.col("rich") <= max_cell_species).alias("cells"), F.count_if(F.col("rich") > max_cell_species).alias("skipped_cells"), F.coalesce(F.sum(F.when(F.col("rich") <= max_cell_species, F.col("rich"))), F.lit(0)).alias("kept_records"))
+    emitted = pairs(usable(found, max_cell_species), min_shared).groupBy(*GRID).agg(F.count("*").alias("pairs"))
+    return cells.join(emitted, GRID, "left").withColumn("pairs", F.coalesce("pairs", F.lit(0)))
+
+
 GRID = ["scale", "px", "py"]
 CELL = [*GRID, "cx", "cy"]
 
@@ -59,11 +73,11 @@ def associates(found: DataFrame, k: int = 20, min_shared: int = 2, min_cells: in
 
 
 def collapse(ranked: DataFrame, k: int = 20) -> DataFrame:
-    """One row a pair over all grids: a, b, n_variants, scales, best_score, best_shared, best_lift, mean_score, predictor_score, rank."""
+    """One row a pair over all grids: a, b, n_variants, scales, variants, best_score, best_shared, best_lift, mean_score, predictor_score, rank."""
     rounded = ranked.withColumn("score", F.round("score", 8)).withColumn("lift", F.round("lift", 8))
     best = F.max_by(F.struct("score", "shared", "lift", "scale"), F.struct("score", "shared", -F.col("scale"), -F.col("px"), -F.col("py")))
-    one = rounded.groupBy("a", "b").agg(F.count("*").alias("n_variants"), F.array_sort(F.collect_set("scale")).alias("s"), best.alias("best"), F.avg("score").alias("mean_score"))
+    one = rounded.groupBy("a", "b").agg(F.count("*").alias("n_variants"), F.array_sort(F.collect_set("scale")).alias("s"), F.array_join(F.array_sort(F.collect_set(variant_key())), "|").alias("variants"), best.alias("best"), F.avg("score").alias("mean_score"))
     more = 1 + F.least(F.lit(0.5), 0.15 * F.greatest(F.lit(0), F.size("s") - 1))
-    one = one.select("a", "b", "n_variants", F.array_join(F.transform("s", lambda x: x.cast("long").cast("string")), "|").alias("scales"), F.col("best.score").alias("best_score"), F.col("best.shared").alias("best_shared"), F.col("best.lift").alias("best_lift"), "mean_score", ((0.7 * F.col("best.score") + 0.3 * F.col("mean_score")) * more).alias("predictor_score"))
+    one = one.select("a", "b", "n_variants", F.array_join(F.transform("s", lambda x: x.cast("long").cast("string")), "|").alias("scales"), "variants", F.col("best.score").alias("best_score"), F.col("best.shared").alias("best_shared"), F.col("best.lift").alias("best_lift"), "mean_score", ((0.7 * F.col("best.score") + 0.3 * F.col("mean_score")) * more).alias("predictor_score"))
     order = Window.partitionBy("a").orderBy(F.desc(F.round("predictor_score", 8)), F.desc("best_shared"), F.desc("best_lift"), "b")
     return one.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from biotope.functions.expr import blank, valid_lat_lon
+from biotope.functions.expr import blank, number, valid_lat_lon
 from biotope.functions.shared import cut
 
 
@@ -65,20 +65,59 @@ def drop_counts(df: DataFrame, **names) -> DataFrame:
 
 #: Column families by prefix, and the share that each family's columns are believed by default.
 FAMILIES = {"terraclimate": 1.0, "dem": 0.95, "twi": 0.9, "soilgrids": 0.75, "glim": 0.8, "mcd12q1": 0.6, "other": 0.8}
-_BANNED = re.compile(r"(^|_)(id|row|col|year|lon|lat|ok|hit|path|error|flowdir)$", re.I)
+#: Endings (whole names, or after an underscore) of columns that are no numbers of a place; columns that are categories;
+#: columns that tell rows apart; prefixes of numeric columns.
+NOT_NUMERIC = ("lon", "lat", "x", "y", "row", "col", "year", "sample_found", "hit", "ok", "in_bounds", "is_nodata", "flowdir")
+CATEGORIES, CATEGORY = ("glim", "mcd12q1"), "dem_continent"
+ID_COLUMNS = frozenset(("id", "row_id", "occurrenceID", "gbifID", "grp", "year", "month", "day", "decimalLatitude", "decimalLongitude", "coordinateUncertaintyInMeters", "basisOfRecord", "matched_species_name"))
+NUMERIC_FAMILIES = ("dem", "twi", "soilgrids", "terraclimate")
 
 
 def family(name: str) -> str:
     return next((f for f in FAMILIES if name == f or name.startswith(f"{f}_")), "other")
 
 
-def numeric_features(df: DataFrame) -> list[str]:
-    """Numeric columns that describe the place: of a known family, and no index, flag or coordinate."""
-    return [c for c, t in df.dtypes if t in ("double", "float", "int", "bigint") and family(c) != "other" and not _BANNED.search(c)]
+def not_numeric(name: str) -> bool:
+    return any(name == end or name.endswith(f"_{end}") for end in NOT_NUMERIC)
 
 
-def categorical_features(df: DataFrame) -> list[str]:
-    return [c for c, t in df.dtypes if family(c) in ("glim", "mcd12q1") and not _BANNED.search(c)]
+def is_category(name: str) -> bool:
+    return not not_numeric(name) and (name == CATEGORY or any(name == c or name.startswith(f"{c}_") for c in CATEGORIES))
+
+
+def numeric_features(df: DataFrame, ids: frozenset = ID_COLUMNS) -> list[str]:
+    """Numeric columns that describe the place, in order: of a numeric family, and no index, flag, coordinate or category."""
+    numbers = ("double", "float", "int", "bigint", "smallint", "tinyint")
+    return sorted({c for c, t in df.dtypes if c not in ids and (t in numbers or t.startswith("decimal")) and not not_numeric(c) and not is_category(c) and any(c.startswith(f"{f}_") for f in NUMERIC_FAMILIES)})
+
+
+def categorical_features(df: DataFrame, ids: frozenset = ID_COLUMNS) -> list[str]:
+    """Category columns, in order: by name, or text columns of a category's family."""
+    return sorted({c for c, t in df.dtypes if c not in ids and (is_category(c) or t == "string" and any(c.startswith(f"{f}_") for f in CATEGORIES))})
+
+
+def of_features(rows: DataFrame, column: str = "column") -> DataFrame:
+    """Summary rows whose feature is a numeric one by its name."""
+    ends, kinds = "|".join(NOT_NUMERIC), "|".join(CATEGORIES)
+    return rows.where(F.col(column).isNotNull() & ~F.col(column).rlike(f"(^|_)({ends})$") & ~F.col(column).rlike(f"^({kinds})(_|$)|^{CATEGORY}$"))
+
+
+def prepared_grid(df: DataFrame, order: list[str], prefix: str = "g", id_: str = "id", lon: str = "lon", lat: str = "lat") -> DataFrame:
+    """id, lon, lat of the rows with finite coordinates on the globe, in the order given; a blank id becomes the prefix and the row's number, from 1."""
+    kept = df.where(valid_lat_lon(F.col(lat), F.col(lon)))
+    own = F.trim(F.col(id_).cast("string"))
+    numbered = with_row_ids(kept.select(own.alias("id"), number(F.col(lon).cast("string")).alias("lon"), number(F.col(lat).cast("string")).alias("lat"), *(F.col(c).alias(f"_{k}") for k, c in enumerate(order))), [f"_{k}" for k in range(len(order))], start=1)
+    return numbered.select(F.coalesce(F.nullif("id", F.lit("")), F.concat(F.lit(prefix), F.col("row_id").cast("string"))).alias("id"), "lon", "lat")
+
+
+def missing_results(df: DataFrame, columns: list[str], wanted: Column | None = None) -> DataFrame:
+    """n_missing: rows (of the wanted ones) with a value of any of the columns missing or not finite; n_<column>: of each."""
+    miss = {c: number(F.col(c).cast("string")).isNull() for c in columns}
+    some = F.lit(False)
+    for m in miss.values():
+        some = some | m
+    own = F.lit(True) if wanted is None else F.coalesce(wanted, F.lit(False))
+    return df.agg(F.count_if(own & some).alias("n_missing"), *(F.count_if(own & m).alias(f"n_{c}") for c, m in miss.items()))
 
 
 def fold_years(df: DataFrame) -> DataFrame:

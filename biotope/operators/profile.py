@@ -121,8 +121,11 @@ def feature_weights(values: DataFrame, least_valid: int = 20) -> DataFrame:
 
 
 def family_weights(weights: DataFrame) -> DataFrame:
+    """Per family: n_features, mean, median and sum of the weights, and the family's share of the means and of the sums."""
     w = F.col("blended_weight")
-    return weights.groupBy("family").agg(F.count("*").alias("n_features"), F.avg(w).alias("mean_weight"), F.percentile(w, F.lit(0.5)).alias("median_weight"), F.sum(w).alias("sum_weight"))
+    f = weights.groupBy("family").agg(F.count("*").alias("n_features"), F.avg(w).alias("mean_weight"), F.percentile(w, F.lit(0.5)).alias("median_weight"), F.sum(w).alias("sum_weight"))
+    every = Window.partitionBy()  # a row a family
+    return f.withColumn("mean_share", normalised(F.col("mean_weight"), every)).withColumn("share", normalised(F.col("sum_weight"), every))
 
 
 def overlap_matrix(pairs: DataFrame, weights: DataFrame, least_features: int = 1) -> DataFrame:
@@ -142,3 +145,27 @@ def redundancy(matrix: DataFrame, k: int = 3) -> DataFrame:
     top = matrix.where("group_a <> group_b and score is not null").withColumn("rk", F.row_number().over(order)).where(F.col("rk") <= k)
     w = top.groupBy(F.col("group_a").alias("grp")).agg((1 / (1 + F.avg("score"))).alias("w"))
     return w.select("grp", (F.col("w") / F.avg("w").over(Window.partitionBy())).alias("weight"))
+
+
+def category_matrix(overlaps: DataFrame) -> DataFrame:
+    """group_a, group_b, score: the mean overlap over categorical columns, both ways round."""
+    one = overlaps.groupBy("group_a", "group_b").agg(F.avg("overlap").alias("score"))
+    return one.unionByName(one.select(F.col("group_b").alias("group_a"), F.col("group_a").alias("group_b"), "score"))
+
+
+def blended(numeric_: DataFrame, categorical: DataFrame, share: float = 0.35) -> DataFrame:
+    """group_a, group_b, score of two matrices: the categorical one counts `share`, the numeric one the rest, of those that have the pair;
+    1 on the diagonal, null where neither has a score."""
+    share = max(0.0, min(1.0, share))
+    both = numeric_.select("group_a", "group_b", "score", F.lit(1 - share).alias("s")).unionByName(categorical.select("group_a", "group_b", "score", F.lit(share).alias("s")))
+    known = F.when(F.col("score").isNotNull(), F.col("s"))
+    m = both.where("group_a <> group_b").groupBy("group_a", "group_b").agg(F.try_divide(F.sum(F.col("score") * F.col("s")), F.nullif(F.sum(known), F.lit(0.0))).alias("score"))
+    own = both.select("group_a").union(both.select("group_b")).distinct()
+    return m.unionByName(own.select("group_a", F.col("group_a").alias("group_b"), F.lit(1.0).alias("score")))
+
+
+def family_support(pairs: DataFrame, weights: DataFrame) -> DataFrame:
+    """pair ("a | b", a before b), family, overlap: the weighted overlap of every pair of groups within each family of features."""
+    j = pairs.join(weights.select("column", "family", F.col("blended_weight").alias("w")), "column")
+    s = j.groupBy("group_a", "group_b", "family").agg(F.sum(F.col("w") * F.col("feature_overlap")).alias("ws"), F.sum("w").alias("w"), F.avg("feature_overlap").alias("m"))
+    return s.select(F.concat_ws(" | ", "group_a", "group_b").alias("pair"), "family", F.coalesce(F.try_divide("ws", F.nullif("w", F.lit(0.0))), F.col("m")).alias("overlap"))

@@ -22,19 +22,21 @@ def neighbours(radius: int, round_window: bool = False) -> list[tuple[int, int]]
 
 
 def sample(points: DataFrame, raster: DataFrame, radius: int = 0, round_window: bool = False) -> DataFrame:
-    """points (id, r, c, ...) with value and found: 0 the pixel itself, k the k-th neighbour by order, null none.
+    """points (id, r, c, ...) with value and found: 0 the pixel itself, k the k-th neighbour by order, null none. Where the raster has
+    several layers and bands, points with layer and band columns look at their own; others need a raster of one.
 
     Points outside the raster and on missing pixels look at their neighbours; only those points are multiplied.
     """
-    cells = raster.where("value is not null").select("r", "c", "value")
-    direct = points.join(cells, ["r", "c"], "left")
+    own = [k for k in ("layer", "band") if k in points.columns and k in raster.columns]
+    cells = raster.where("value is not null").select(*own, "r", "c", "value")
+    direct = points.join(cells, [*own, "r", "c"], "left")
     order = neighbours(radius, round_window)
     if not order:
         return direct.withColumn("found", F.when(F.col("value").isNotNull(), F.lit(0)))
     step = F.explode(F.array(*(F.struct(F.lit(k + 1).alias("k"), F.lit(dr).alias("dr"), F.lit(dc).alias("dc")) for k, (dr, dc) in enumerate(order))))
-    missed = direct.where("value is null").select("id", "r", "c", step.alias("o")).select("id", (F.col("r") + F.col("o.dr")).alias("r"), (F.col("c") + F.col("o.dc")).alias("c"), "o.k")
-    best = missed.join(cells, ["r", "c"]).groupBy("id").agg(F.min(F.struct("k", "value")).alias("b"))
-    return direct.join(best, "id", "left").withColumn("found", F.when(F.col("value").isNotNull(), F.lit(0)).otherwise(F.col("b.k"))).withColumn("value", F.coalesce("value", "b.value")).drop("b")
+    missed = direct.where("value is null").select(*own, "id", "r", "c", step.alias("o")).select(*own, "id", (F.col("r") + F.col("o.dr")).alias("r"), (F.col("c") + F.col("o.dc")).alias("c"), "o.k")
+    best = missed.join(cells, [*own, "r", "c"]).groupBy(*own, "id").agg(F.min(F.struct("k", "value")).alias("b"))
+    return direct.join(best, [*own, "id"], "left").withColumn("found", F.when(F.col("value").isNotNull(), F.lit(0)).otherwise(F.col("b.k"))).withColumn("value", F.coalesce("value", "b.value")).drop("b")
 
 
 def first_box(points: DataFrame, boxes: list[tuple] = CONTINENTS) -> DataFrame:
@@ -45,6 +47,17 @@ def first_box(points: DataFrame, boxes: list[tuple] = CONTINENTS) -> DataFrame:
     return points.withColumn("continent", c)
 
 
+#: The layers of a manifest by which a point's continent is looked for, in turn.
+LAYERS = (("dem",), ("flowacc", "flowdir"))
+
+
+def manifest_boxes(manifest: dict, codes: list[str]) -> list[tuple]:
+    """(code, min lon, min lat, max lon, max lat) in the order in which they are tried: of a manifest {"continents": {code: {"big": {layer:
+    {"bounds_wgs84": [..]}}}}}, all continents by their elevation, then all by their flow layers. Absent layers are left out."""
+    big = {c: manifest.get("continents", {}).get(c, {}).get("big", {}) for c in codes}
+    return [(c, *big[c][layer]["bounds_wgs84"]) for group in LAYERS for c in codes for layer in group if big[c].get(layer)]
+
+
 def tile_key(points: DataFrame, size: int = 5) -> DataFrame:
     x, y = (F.floor(F.col(c) / size).cast("long") * size for c in ("lon", "lat"))
     return points.withColumn("tile_key", F.concat(F.lit("x"), x.cast("string"), F.lit("_y"), y.cast("string")))

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 def densify(cells: DataFrame) -> DataFrame:
     """ix, iy, value for every place between the least and largest index; missing cells are null rows."""
     box = cells.agg(F.min("ix").alias("a"), F.max("ix").alias("b"), F.min("iy").alias("c"), F.max("iy").alias("d"))
-    xs = box.select(F.explode(F.sequence("a", "b")).alias("ix"), "c", "d")
-    return xs.select("ix", F.explode(F.sequence("c", "d")).alias("iy")).join(cells.select("ix", "iy", "value", F.lit(True).alias("own")), ["ix", "iy"], "left")
+    columns = box.select(F.explode(F.sequence("a", "b")).alias("ix"), "c", "d").repartition("ix")  # a row a column; the cells are made by many tasks
+    return columns.select("ix", F.explode(F.sequence("c", "d")).alias("iy")).join(cells.select("ix", "iy", "value", F.lit(True).alias("own")), ["ix", "iy"], "left")
 
 
 def box_filter(cells: DataFrame, r: int = 1) -> DataFrame:
@@ -83,6 +83,11 @@ def cell_counts(mapped: DataFrame, cells: DataFrame) -> DataFrame:
     return cells.select("id").join(n.withColumnRenamed("cell", "id"), "id", "left").select("id", F.coalesce("n", F.lit(0)).alias("n"))
 
 
+def cell_counts_by_group(mapped: DataFrame, group: str = "grp") -> DataFrame:
+    """grp, id, n: occurrences per group and cell that has any."""
+    return mapped.where("cell is not null").groupBy(F.col(group).alias("grp"), F.col("cell").alias("id")).agg(F.count("*").alias("n"))
+
+
 def mapping_summary(mapped: DataFrame, group: str = "grp") -> DataFrame:
     m = F.count("cell")
     return mapped.groupBy(group).agg(F.count("*").alias("n_selected"), m.alias("n_mapped"), (F.count("*") - m).alias("n_unmapped"), (m / F.count("*")).alias("fraction_mapped"))

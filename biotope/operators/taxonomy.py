@@ -69,6 +69,13 @@ def species_under(occ: DataFrame, include: list[str], exclude: list[str] = (), l
     return kept.orderBy(F.desc("obs_count"), *RANKS).limit(most) if most else kept
 
 
+def under(occ: DataFrame, paths: list[str]) -> DataFrame:
+    """Per node (path of names; repeated ones count once): n_species and n_rows below it, itself included."""
+    counted = occ.select(*_names()).groupBy(*RANKS).agg(F.count("*").alias("n"))
+    nodes_ = counted.select("n", F.explode(F.transform(F.sequence(F.lit(0), F.lit(len(RANKS))), lambda k: F.array_join(F.slice(F.array(*RANKS), F.lit(1), k), "/"))).alias("path"))
+    return nodes_.where(F.col("path").isin(*dict.fromkeys(paths))).groupBy("path").agg(F.count("*").alias("n_species"), F.sum("n").alias("n_rows"))
+
+
 def group_meta(occ: DataFrame, group: str = "grp", order: str = "row_id") -> DataFrame:
     """Per group (null is NA): n, and the first non-null name of each rank by row."""
     firsts = [F.min_by(r, F.when(F.col(r).isNotNull(), F.col(order))).alias(r) for r in RANKS]

@@ -60,13 +60,22 @@ def cooccur_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""variants AS (SELECT * FROM (VALUES ({SCALE}, 0.0, 0.0), ({SCALE}, 0.5, 0.5), (900000.0, 0.0, 0.0)) v(scale, px, py)), offsets AS (SELECT 0 AS dx, 0 AS dy), {_ASSOC},
 r AS (SELECT a, b, scale, px, py, shared, round(score, 8) AS score, round(lift, 8) AS lift FROM ranked WHERE rank <= 5),
 c AS (SELECT a, b, count(*) AS n_variants, list_sort(list_distinct(list(CAST(scale AS BIGINT)))) AS ss, avg(score) AS mean_score,
-  arg_max((score, shared), (score, shared, -scale, -px, -py)) AS best, max(score) AS best_score FROM r GROUP BY a, b),
-p AS (SELECT a, b, n_variants, array_to_string(ss, '|') AS scales, best_score, best[2] AS best_shared, mean_score, (0.7 * best_score + 0.3 * mean_score) * (1 + least(0.5, 0.15 * greatest(0, len(ss) - 1))) AS predictor_score FROM c)
-SELECT a, b, n_variants, scales, round(best_score, 6) AS best_score, round(mean_score, 6) AS mean_score, round(predictor_score, 6) AS predictor_score FROM p""")
+  list_sort(list_distinct(list(CAST(scale AS BIGINT) || 'm_x' || CASE px WHEN 0 THEN '0' ELSE '0.5' END || '_y' || CASE py WHEN 0 THEN '0' ELSE '0.5' END || '_exact'))) AS vv,
+  arg_max((score, shared, lift), (score, shared, -scale, -px, -py)) AS best, max(score) AS best_score FROM r GROUP BY a, b),
+p AS (SELECT a, b, n_variants, array_to_string(ss, '|') AS scales, array_to_string(vv, '|') AS variants, best_score, best[2] AS best_shared, best[3] AS best_lift, mean_score, (0.7 * best_score + 0.3 * mean_score) * (1 + least(0.5, 0.15 * greatest(0, len(ss) - 1))) AS predictor_score FROM c),
+k AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY round(predictor_score, 8) DESC, best_shared DESC, best_lift DESC, b) AS rank FROM p)
+SELECT a, b, CAST(rank AS INTEGER) AS rank, n_variants, scales, variants, best_shared, round(best_lift, 6) AS best_lift, round(best_score, 6) AS best_score, round(mean_score, 6) AS mean_score, round(predictor_score, 6) AS predictor_score FROM k WHERE rank <= 3""")
 def cooccur_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = cooccur.usable(cooccur.presence(V.occ(spark, sf_dir), [(SCALE, 0.0, 0.0), (SCALE, 0.5, 0.5), (900_000.0, 0.0, 0.0)]))
-    one = cooccur.collapse(cooccur.associates(found, k=5), k=10_000)
-    return one.select("a", "b", "n_variants", "scales", r6("best_score").alias("best_score"), r6("mean_score").alias("mean_score"), r6("predictor_score").alias("predictor_score"))
+    one = cooccur.collapse(cooccur.associates(found, k=5), k=3)
+    return _rounded(one.select("a", "b", "rank", "n_variants", "scales", "variants", "best_shared", "best_lift", "best_score", "mean_score", "predictor_score"))
+
+
+@query(f"""variants AS (SELECT * FROM (VALUES ({SCALE}, 0.0, 0.0), (900000.0, 0.0, 0.0)) v(scale, px, py)), offsets AS (SELECT 0 AS dx, 0 AS dy), {_ASSOC},
+per AS (SELECT scale, px, py, cx, cy, count(*) AS rich FROM pres GROUP BY ALL), np AS (SELECT scale, px, py, count(*) AS pairs FROM pr GROUP BY ALL)
+SELECT scale, count(*) FILTER (rich <= 150) AS cells, count(*) FILTER (rich > 150) AS skipped_cells, CAST(coalesce(sum(rich) FILTER (rich <= 150), 0) AS BIGINT) AS kept_records, coalesce(any_value(pairs), 0) AS pairs FROM per LEFT JOIN np USING (scale, px, py) GROUP BY scale""")
+def cooccur_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cooccur.totals(cooccur.presence(V.occ(spark, sf_dir), [(SCALE, 0.0, 0.0), (900_000.0, 0.0, 0.0)])).drop("px", "py")
 
 
 @query(f"""variants AS (SELECT {SCALE} AS scale, 0.0 AS px, 0.0 AS py), offsets AS (SELECT * FROM (VALUES (-1), (0), (1)) x(dx) CROSS JOIN (VALUES (-1), (0), (1)) y(dy)), {_ASSOC}
@@ -96,6 +105,11 @@ def taxonomy_children(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taxonomy.children(taxonomy.nodes(V.occ(spark, sf_dir)), "ASIA", 1, 3)
 
 
+@query(f"{_TREE}, n7 AS (SELECT DISTINCT {', '.join(taxonomy.RANKS)} FROM named) SELECT '' AS path, (SELECT count(*) FROM n7) AS n_species, count(*) AS n_rows FROM named UNION ALL SELECT 'ASIA', (SELECT count(*) FROM n7 WHERE kingdom = 'ASIA'), count(*) FROM named WHERE kingdom = 'ASIA' UNION ALL SELECT 'ASIA/CHINA', (SELECT count(*) FROM n7 WHERE kingdom = 'ASIA' AND phylum = 'CHINA'), count(*) FROM named WHERE kingdom = 'ASIA' AND phylum = 'CHINA' HAVING count(*) > 0")
+def taxonomy_under(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return taxonomy.under(V.occ(spark, sf_dir), ["ASIA/CHINA", "", "ASIA", "ASIA"])
+
+
 @query(f"""SELECT {_RANKS}, count(*) AS obs_count FROM occ WHERE (kingdom = 'ASIA' OR lower(genus) = 'brand#11') AND NOT (ord = 'R') GROUP BY ALL HAVING count(*) >= 2""")
 def taxonomy_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taxonomy.species_under(V.occ(spark, sf_dir), ["kingdom:Asia", "Brand#11"], ["order=R"], least=2)
@@ -155,6 +169,28 @@ def group_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taxonomy.group_meta(V.occ(spark, sf_dir, row_id=True))
 
 
+_COLUMNS = {"dem_elev": "double", "dem_x": "double", "twi_value": "float", "twi_is_nodata": "int", "twi_in_bounds": "int", "mcd12q1_sample_found": "int", "mcd12q1": "int", "dem_continent": "string", "glim_litho": "string", "glim_id": "int", "soilgrids_clay": "double", "terraclimate_ppt_mean": "double", "dem_path": "string", "grp": "string", "lon": "double", "dem_flowdir": "int", "elevation": "double", "soilgrids_year": "int"}
+
+
+@query("SELECT * FROM (VALUES ('dem_elev', 'numeric'), ('twi_value', 'numeric'), ('soilgrids_clay', 'numeric'), ('terraclimate_ppt_mean', 'numeric'), ('mcd12q1', 'category'), ('dem_continent', 'category'), ('glim_litho', 'category'), ('glim_id', 'category')) v(\"column\", kind)")
+def feature_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = spark.createDataFrame([], ", ".join(f"{c} {t}" for c, t in _COLUMNS.items()))
+    rows = [(c, "numeric") for c in ingest.numeric_features(df)] + [(c, "category") for c in ingest.categorical_features(df)]
+    return spark.createDataFrame(rows, "column string, kind string")
+
+
+@query("SELECT count(*) FILTER (bad) AS n_missing, count(*) FILTER (soilgrids_clay IS NULL) AS n_soilgrids_clay, count(*) FILTER (terraclimate_ppt_2020_mean IS NULL) AS n_terraclimate_ppt_2020_mean FROM (SELECT *, soilgrids_clay IS NULL OR terraclimate_ppt_2020_mean IS NULL AS bad FROM occ WHERE lat > 0)")
+def missing_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingest.missing_results(V.occ(spark, sf_dir), ["soilgrids_clay", "terraclimate_ppt_2020_mean"], F.col("lat") > 0)
+
+
+@query("""c AS (SELECT CASE WHEN id % 3 = 0 THEN ' ' ELSE 'c' || id END AS own, id AS n, lon, lat FROM grid WHERE id % 10 <> 0), r AS (SELECT *, row_number() OVER (ORDER BY n) AS k FROM c)
+SELECT CASE WHEN trim(own) = '' THEN 'g' || k ELSE own END AS id, lon, lat FROM r""")
+def prepared_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = V.grid(spark, sf_dir).select(F.col("id").alias("n"), F.when(F.col("id") % 3 == 0, " ").otherwise(F.concat(F.lit("c"), "id")).alias("id"), F.when(F.col("id") % 10 != 0, F.col("lon")).alias("lon"), "lat")
+    return ingest.prepared_grid(g, ["n"])
+
+
 @query("""last AS (SELECT id, max((v, k)) AS s FROM addon GROUP BY id)
 SELECT g.id, g.lon, g.lat, round(s[1], 6) AS ord_v, s[2] AS ord_k FROM grid g LEFT JOIN last USING (id)""")
 def enrich_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -219,6 +255,12 @@ def category_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(profile.categories(V.occ(spark, sf_dir), ["glim_litho", "mcd12q1"], "grp", top=2))
 
 
+@query("""vals AS (SELECT 'glim_litho' AS "column", trim(glim_litho) AS value FROM occ UNION ALL SELECT 'mcd12q1', trim(mcd12q1) FROM occ), cnt AS (SELECT "column", nullif(value, '') AS value, count(*) AS n FROM vals GROUP BY ALL)
+SELECT "column", value, n, round(n / sum(n) FILTER (value IS NOT NULL) OVER (PARTITION BY "column"), 6) AS fraction_of_non_null, round(n / sum(n) OVER (PARTITION BY "column"), 6) AS fraction_of_all_rows FROM cnt QUALIFY value IS NOT NULL""")
+def category_overall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(profile.categories(V.occ(spark, sf_dir), ["glim_litho", "mcd12q1"]))
+
+
 @query(f"""{_FREQ}, f AS (SELECT grp, "column", value, fraction_of_non_null AS f FROM top WHERE rk <= 2),
 g AS (SELECT * FROM f UNION ALL SELECT grp, "column", '__other__', 1 - sum(f) FROM f GROUP BY grp, "column" HAVING 1 - sum(f) > 1e-9)
 SELECT x.grp AS group_a, y.grp AS group_b, x."column", round(sum(least(x.f, y.f)), 6) AS overlap FROM g x JOIN g y ON x."column" = y."column" AND x.value = y.value AND x.grp < y.grp GROUP BY ALL""")
@@ -283,7 +325,7 @@ def feature_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(_weights(spark, sf_dir))
 
 
-@query(f"""{_WEIGHTS} SELECT family, count(*) AS n_features, round(avg(blended_weight), 6) AS mean_weight, round(median(blended_weight), 6) AS median_weight, round(sum(blended_weight), 6) AS sum_weight FROM wt GROUP BY 1""")
+@query(f"""{_WEIGHTS} SELECT family, count(*) AS n_features, round(avg(blended_weight), 6) AS mean_weight, round(median(blended_weight), 6) AS median_weight, round(sum(blended_weight), 6) AS sum_weight, round(avg(blended_weight) / sum(avg(blended_weight)) OVER (), 6) AS mean_share, round(sum(blended_weight) / sum(sum(blended_weight)) OVER (), 6) AS share FROM wt GROUP BY 1""")
 def family_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(profile.family_weights(_weights(spark, sf_dir)))
 
@@ -303,6 +345,26 @@ def overlap_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(_matrix(spark, sf_dir))
 
 
+_CATEGORY_PAIRS = f"""{_FREQ}, fq AS (SELECT grp, "column", value, fraction_of_non_null AS f FROM top WHERE rk <= 2),
+gq AS (SELECT * FROM fq UNION ALL SELECT grp, "column", '__other__', 1 - sum(f) FROM fq GROUP BY grp, "column" HAVING 1 - sum(f) > 1e-9),
+co AS (SELECT x.grp AS group_a, y.grp AS group_b, x."column", sum(least(x.f, y.f)) AS overlap FROM gq x JOIN gq y ON x."column" = y."column" AND x.value = y.value AND x.grp < y.grp GROUP BY ALL)"""
+
+
+@query(f"""{_MATRIX}, {_CATEGORY_PAIRS}, cm0 AS (SELECT group_a, group_b, avg(overlap) AS score FROM co GROUP BY ALL), cm AS (SELECT * FROM cm0 UNION ALL SELECT group_b, group_a, score FROM cm0),
+u AS (SELECT group_a, group_b, score, 0.65 AS s FROM mx UNION ALL SELECT group_a, group_b, score, 0.35 FROM cm)
+SELECT group_a, group_b, round(CASE WHEN group_a = group_b THEN 1.0 ELSE sum(score * s) / sum(s) FILTER (score IS NOT NULL) END, 6) AS score FROM u GROUP BY group_a, group_b""")
+def blended_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    overlaps = profile.category_overlap(profile.categories(V.occ(spark, sf_dir), ["glim_litho", "mcd12q1"], "grp", top=2))
+    return _rounded(profile.blended(_matrix(spark, sf_dir), profile.category_matrix(overlaps)))
+
+
+@query(f"""{_WEIGHTS} SELECT group_a || ' | ' || group_b AS pair, family, round(sum(blended_weight * feature_overlap) / sum(blended_weight), 6) AS overlap FROM ovf JOIN wt USING ("column") GROUP BY ALL""")
+def family_support(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = profile.long(V.occ(spark, sf_dir), FEATURES, "grp")
+    span = v.groupBy("column").agg((F.max("value") - F.min("value")).alias("span"))
+    return _rounded(profile.family_support(profile.overlap_pairs(profile.numeric(v, ["column", "grp"]), span), profile.feature_weights(v)))
+
+
 @query(f"""{_MATRIX}, t AS (SELECT *, row_number() OVER (PARTITION BY group_a ORDER BY score DESC, group_b) AS rk FROM mx WHERE group_a <> group_b), u AS (SELECT group_a AS grp, 1 / (1 + avg(score)) AS w FROM t WHERE rk <= 3 GROUP BY 1)
 SELECT grp, round(w / avg(w) OVER (), 6) AS weight FROM u""")
 def redundancy_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -317,29 +379,43 @@ def multi_year_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- suitability ---------------------------------------------------------------------------------------------------------
 
 _TRAP = "CASE WHEN x IS NULL THEN NULL WHEN mx <= mn THEN CASE WHEN abs(x - mn) <= 1e-8 + 1e-5 * abs(mn) THEN 1.0 ELSE 0.0 END WHEN x < mn OR x > mx THEN 0.0 WHEN x >= q25 AND x <= q75 THEN 1.0 WHEN x < q25 THEN (x - mn) / (q25 - mn) ELSE (mx - x) / (mx - q75) END"
-_SCORES = f"""{_WEIGHTS},
+_FOLDED = "CASE WHEN terraclimate_ppt_2019_mean IS NULL THEN terraclimate_ppt_2020_mean WHEN terraclimate_ppt_2020_mean IS NULL THEN terraclimate_ppt_2019_mean ELSE (terraclimate_ppt_2019_mean + terraclimate_ppt_2020_mean) / 2 END"
+#: With a climate feature whose low side is a stress.
+SCORE_FEATURES = [*FEATURES, "terraclimate_ppt_mean"]
+_SCORE_LONG = f"{_LONG[:-1]} UNION ALL SELECT coalesce(grp, 'NA'), 'terraclimate_ppt_mean', 'terraclimate', {_FOLDED} FROM occ)"
+_SCORE_WEIGHTS = _WEIGHTS.replace(_LONG, _SCORE_LONG).replace(_PRIOR, _PRIOR.replace("END", "WHEN 'terraclimate' THEN 1.0 END"))
+_SPAN, _START = "greatest(mx - mn, 1e-12)", "greatest(mn, q25 - 0.15 * greatest(mx - mn, 1e-12))"
+_HURT = f"CASE WHEN {_START} - x >= ({_START} - mn) / 1.25 THEN 0.55 ELSE 1 - 0.45 * greatest(0, least(1, 1.25 * ({_START} - x) / greatest({_START} - mn, 0.1 * {_SPAN}))) END"
+_DRY = """FILTER (x IS NOT NULL AND "column" = 'terraclimate_ppt_mean')"""
+_SCORES = f"""{_SCORE_WEIGHTS},
 env AS (SELECT grp, p."column", mn, q25, q75, mx, CASE WHEN blended_weight > 0 THEN blended_weight ELSE 0.8 END AS w0 FROM prof p LEFT JOIN wt USING ("column") WHERE n_valid >= 1),
 model AS (SELECT *, w0 / sum(w0) OVER (PARTITION BY grp) AS w FROM env),
-x AS (SELECT id, glim_litho AS cat, 'dem_elev' AS "column", dem_elev AS x FROM grid UNION ALL SELECT id, glim_litho, 'soilgrids_clay', soilgrids_clay FROM grid UNION ALL SELECT id, glim_litho, 'twi_value', twi_value FROM grid),
+x AS ({" UNION ALL ".join(f"SELECT id, glim_litho AS cat, '{c}' AS \"column\", {c} AS x FROM grid" for c in SCORE_FEATURES)}),
 sh AS (SELECT grp, glim_litho AS cat, count(*) / sum(count(*)) OVER (PARTITION BY grp) AS f FROM occ GROUP BY grp, glim_litho),
 s0 AS (SELECT grp, id, cat, sum(w) FILTER (x IS NOT NULL) AS has, sum(w * ln(greatest(0.02 + 0.98 * pow({_TRAP}, 2), 1e-12))) AS logs,
-  sum(w / (1 + greatest(mn - x, x - mx, 0) / greatest(q75 - q25, 0.1 * (mx - mn), 1e-12))) AS rel FROM model JOIN x USING ("column") GROUP BY grp, id, cat),
-s1 AS (SELECT s0.grp, id, exp(logs / has) AS num, rel / has AS reliability, 0.02 + 0.98 * pow(coalesce(f, 0), 2) AS kat FROM s0 LEFT JOIN sh USING (grp, cat)),
-s2 AS (SELECT grp, id, exp(0.85 * ln(greatest(num, 1e-12)) + 0.15 * ln(greatest(kat, 1e-12))) AS core, reliability, 0.85 + 0.15 * pow(reliability, 0.35) AS factor FROM s1),
-sc AS (SELECT *, greatest(0, least(1, core * factor)) AS adjusted FROM s2)"""
+  sum(w / (1 + greatest(mn - x, x - mx, 0) / greatest(q75 - q25, 0.1 * (mx - mn), 1e-12))) AS rel, sum(w * {_HURT}) {_DRY} AS hurt, sum(w) {_DRY} AS hurt_w FROM model JOIN x USING ("column") GROUP BY grp, id, cat),
+s1 AS (SELECT s0.grp, id, exp(logs / has) AS num, (rel + CASE WHEN f > 0 THEN 1 ELSE 0 END) / (has + 1) AS reliability, 0.02 + 0.98 * pow(coalesce(f, 0), 2) AS kat, coalesce(hurt / hurt_w, 1) AS stress_modifier FROM s0 LEFT JOIN sh USING (grp, cat)),
+s2 AS (SELECT grp, id, exp(0.85 * ln(greatest(num, 1e-12)) + 0.15 * ln(greatest(kat, 1e-12))) AS core, stress_modifier, reliability, 0.85 + 0.15 * pow(reliability, 0.35) AS factor FROM s1),
+sc AS (SELECT *, greatest(0, least(1, core * stress_modifier * factor)) AS adjusted FROM s2)"""
 
 
 def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = V.occ(spark, sf_dir)
-    v = profile.long(o, FEATURES, "grp")
-    envelopes = suitability.models(profile.numeric(v, ["grp", "column"]), profile.feature_weights(v))
+    o = ingest.fold_years(V.occ(spark, sf_dir))
+    v = profile.long(o, SCORE_FEATURES, "grp")
+    weights = profile.feature_weights(v)
+    envelopes = suitability.models(profile.numeric(v, ["grp", "column"]), weights)
     shares = profile.categories(o, ["glim_litho"], "grp").select("grp", "value", F.col("fraction_of_non_null").alias("f"))
     return suitability.score(V.grid(spark, sf_dir), envelopes, shares, "glim_litho")
 
 
-@query(f"""{_SCORES} SELECT grp, id, round(core, 6) AS core, round(reliability, 6) AS reliability, round(factor, 6) AS factor, round(adjusted, 6) AS adjusted FROM sc""")
+@query(f"""{_SCORES} SELECT grp, id, round(core, 6) AS core, round(stress_modifier, 6) AS stress_modifier, round(reliability, 6) AS reliability, round(factor, 6) AS factor, round(adjusted, 6) AS adjusted FROM sc""")
 def suitability_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(_scores(spark, sf_dir).select("grp", "id", "core", "reliability", "factor", "adjusted"))
+    return _rounded(_scores(spark, sf_dir).select("grp", "id", "core", "stress_modifier", "reliability", "factor", "adjusted"))
+
+
+@query(f"""{_SCORES} SELECT grp, id, round(CASE WHEN adjusted < 0.3 THEN 0 ELSE adjusted END, 6) AS adjusted FROM sc""")
+def suitability_thresholded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(_scores(spark, sf_dir).select("grp", "id", suitability.at_least(F.col("adjusted"), 0.3).alias("adjusted")))
 
 
 @query(f"""{_SCORES} SELECT grp, count(adjusted) AS n_cells, round(avg(core), 6) AS mean_core, round(avg(adjusted), 6) AS mean_adjusted, round(max(adjusted), 6) AS max_adjusted, count(*) FILTER (adjusted >= 0.5) AS n_suitable, round(count(*) FILTER (adjusted >= 0.5) / count(adjusted), 6) AS fraction_suitable FROM sc GROUP BY grp""")
@@ -357,9 +433,9 @@ j AS (SELECT *, CAST(greatest(1, ceil(n * 0.25)) AS INTEGER) AS kk FROM v),
 jj AS (SELECT *, 0.7 * lo + 0.3 * list_sum(list_transform(range(1, kk + 1), lambda i: s[i] * pow(i, -1.5))) / list_sum(list_transform(range(1, kk + 1), lambda i: pow(i, -1.5))) AS joint FROM j)"""
 
 
-@query(f"""{_SCORES}, {_JOINT.format(k='', t='sc')} SELECT id, round(hi, 6) AS overall_adjusted, round(lo, 6) AS overall_min, richness, round(rel, 6) AS reliability_mean, round(joint, 6) AS joint FROM jj""")
+@query(f"""{_SCORES}, so AS (SELECT * REPLACE (round(adjusted, 9) AS adjusted) FROM sc), {_JOINT.format(k='', t='so')} SELECT id, round(hi, 6) AS overall_adjusted, round(lo, 6) AS overall_min, top_group, richness, round(rel, 6) AS reliability_mean, round(joint, 6) AS joint FROM jj""")
 def suitability_overall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(suitability.overall(_scores(spark, sf_dir)).drop("top_group"))
+    return _rounded(suitability.overall(_scores(spark, sf_dir).withColumn("adjusted", F.round("adjusted", 9))))
 
 
 @query(f"""{_SCORES}, mem AS (SELECT DISTINCT grp, substr(grp, 1, 7) AS rank_value FROM occ), many AS (SELECT rank_value FROM mem GROUP BY 1 HAVING count(DISTINCT grp) > 1), sr AS (SELECT sc.*, rank_value FROM sc JOIN mem USING (grp) JOIN many USING (rank_value)),
@@ -419,6 +495,16 @@ def heatmap_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return surface.cell_counts(_mapped(spark, sf_dir), V.grid(spark, sf_dir))
 
 
+@query(f"{_NEAR} SELECT grp, cell AS id, count(*) AS n FROM mapped WHERE cell IS NOT NULL GROUP BY ALL")
+def heatmap_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surface.cell_counts_by_group(_mapped(spark, sf_dir))
+
+
+@query("SELECT round(lon, 0) AS lon, round(lat, 0) AS lat, round(avg(dem_elev), 6) AS value FROM grid GROUP BY 1, 2")
+def regular_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(surface.regular(V.grid(spark, sf_dir), "dem_elev", 0))
+
+
 @query(f"{_NEAR} SELECT grp, count(*) AS n_selected, count(cell) AS n_mapped, count(*) - count(cell) AS n_unmapped, round(count(cell) / count(*), 6) AS fraction_mapped FROM mapped GROUP BY grp")
 def heatmap_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(surface.mapping_summary(_mapped(spark, sf_dir)))
@@ -459,6 +545,15 @@ def continent_and_tile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raster.tile_key(raster.first_box(V.occ(spark, sf_dir, row_id=True))).select("row_id", "continent", "tile_key")
 
 
+_MANIFEST = {"continents": {"af": {"big": {"flowacc": {"bounds_wgs84": [-20, -36, 55, 38]}}}, "eu": {"big": {"dem": {"bounds_wgs84": [-25, 34, 60, 72]}}}, "as": {"big": {"dem": {"bounds_wgs84": [55, -12, 180, 82]}, "flowdir": {"bounds_wgs84": [50, -12, 180, 82]}}}, "sa": {"big": {}}}}
+_BOXES = raster.manifest_boxes(_MANIFEST, ["af", "as", "eu", "sa"])
+
+
+@query("SELECT row_id, CASE " + " ".join(f"WHEN lon BETWEEN {a} AND {c} AND lat BETWEEN {b} AND {d} THEN '{n}'" for n, a, b, c, d in [("as", 55, -12, 180, 82), ("eu", -25, 34, 60, 72), ("af", -20, -36, 55, 38), ("as", 50, -12, 180, 82)]) + " END AS continent FROM occ")
+def continent_of_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return raster.first_box(V.occ(spark, sf_dir, row_id=True), _BOXES).select("row_id", "continent")
+
+
 _TILES = [(i, (i * 7) % 30, (i * 11) % 40, (i * 7) % 30 + 12, (i * 11) % 40 + 9) for i in range(1, 25)]
 
 
@@ -542,9 +637,65 @@ def multiclass_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(ml.multiclass_metrics(V.occ(spark, sf_dir).select(F.col("ord").alias("label"), F.when(F.col("class") == "F", "A").otherwise("N").alias("predicted"))))
 
 
-@query("SELECT unnest(['dem_elev', 'soilgrids_clay', 'twi_value']) AS \"column\", round(unnest([var_pop(dem_elev), var_pop(soilgrids_clay), var_pop(twi_value)]), 6) AS variance, true AS kept FROM occ")
+@query("v AS (SELECT unnest(['dem_elev', 'same', 'twi_value']) AS \"column\", unnest([var_pop(dem_elev), var_pop(0.5), var_pop(twi_value)]) AS variance FROM occ) SELECT \"column\", round(variance, 6) AS variance, variance > 1e-10 AS kept FROM v")
 def variance_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(ml.variances(V.occ(spark, sf_dir), FEATURES))
+    return _rounded(ml.variances(V.occ(spark, sf_dir).withColumn("same", F.lit(0.5)), ["dem_elev", "same", "twi_value"]))
+
+
+_CLASSES = (("A", 37), ("N", 53), ("R", 71), ("Z", 89))
+
+
+def _class_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = V.occ(spark, sf_dir, row_id=True)
+    raw = [(F.lit(c), F.col("row_id") * k % 100 + F.lit(1.0)) for c, k in _CLASSES]
+    return o.select("row_id", F.col("ord").alias("label"), F.create_map(*(x for kv in raw for x in kv)).alias("probs"))
+
+
+_MULTI = f"""raw AS (SELECT row_id, ord AS label, unnest({[c for c, _ in _CLASSES]}) AS c, unnest([{', '.join(f'row_id * {k} % 100 + 1.0' for _, k in _CLASSES)}]) AS v FROM occ),
+rk AS (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY v DESC, c) AS k, v / sum(v) OVER (PARTITION BY row_id) AS p FROM raw),
+one AS (SELECT row_id, label, max(c) FILTER (k = 1) AS predicted, max(k) FILTER (c = label) <= 3 AS near, max(p) FILTER (c = label) AS p FROM rk GROUP BY row_id, label),
+per AS (SELECT c, count(*) FILTER (label = c) AS own, count(*) FILTER (predicted = c) AS called, count(*) FILTER (label = c AND predicted = c) AS tp FROM one, (SELECT DISTINCT c FROM raw) GROUP BY c HAVING own + called > 0),
+fig AS (SELECT *, coalesce(tp / nullif(called, 0), 0) AS pr, coalesce(tp / nullif(own, 0), 0) AS re FROM per)"""
+
+
+@query(f"""{_MULTI} SELECT count(*) AS n, round(avg(CAST(label = predicted AS DOUBLE)), 6) AS accuracy, round(avg(CAST(near AS DOUBLE)), 6) AS top3_accuracy, round(avg(-ln(p)), 6) AS logloss, (SELECT round(avg(re) FILTER (own > 0), 6) FROM fig) AS balanced_accuracy,
+(SELECT round(avg(pr), 6) FROM fig) AS macro_precision, (SELECT round(avg(re), 6) FROM fig) AS macro_recall, (SELECT round(avg(CASE WHEN pr + re > 0 THEN 2 * pr * re / (pr + re) ELSE 0 END), 6) FROM fig) AS macro_f1 FROM one""")
+def multiclass_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(ml.multiclass_summary(_class_rows(spark, sf_dir)))
+
+
+@query("""e AS (SELECT row_id, greatest(row_id % 10 / 10.0, 1e-6) AS a, greatest(row_id % 7 / 7.0, 1e-6) AS n FROM occ) SELECT row_id, round(a / (a + n + 1e-6), 6) AS a, round(n / (a + n + 1e-6), 6) AS n, round(1e-6 / (a + n + 1e-6), 6) AS r FROM e""")
+def expanded_probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = V.occ(spark, sf_dir, row_id=True).select("row_id", F.create_map(F.lit("A"), F.col("row_id") % 10 / F.lit(10.0), F.lit("N"), F.col("row_id") % 7 / F.lit(7.0)).alias("p"))
+    full = rows.select("row_id", ml.expanded(F.col("p"), ["A", "N", "R"]).alias("q"))
+    return _rounded(full.select("row_id", F.col("q")["A"].alias("a"), F.col("q")["N"].alias("n"), F.col("q")["R"].alias("r")))
+
+
+def _spec(spark: SparkSession, sf_dir: str, values: int) -> dict:
+    o = V.occ(spark, sf_dir)
+    return ml.choose_features(o, V.grid(spark, sf_dir), profile.categories(o, ["glim_litho", "mcd12q1"], "grp"), {"twi_value": 0.5}, values=values)
+
+
+@query("SELECT id, twi_value, dem_elev, soilgrids_clay, CAST(glim_litho = 'A' AS INTEGER) AS glim_litho__a, CAST(glim_litho = 'N' AS INTEGER) AS glim_litho__n, CAST(glim_litho = 'R' AS INTEGER) AS glim_litho__r FROM grid")
+def one_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = V.grid(spark, sf_dir)
+    return g.select("id", *(c.alias(n) for n, c in ml.feature_columns(g, _spec(spark, sf_dir, 12)).items()))
+
+
+@query(f"""{_FREQ}, v AS (SELECT lower(value) AS value, max(fraction_of_non_null) AS f FROM top WHERE "column" = 'glim_litho' AND rk <= 50 GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY f DESC, value) AS k FROM v)
+SELECT 'category' AS kind, 'glim_litho' AS "column", CAST(k AS INTEGER) AS place, value FROM r WHERE k <= 2 UNION ALL SELECT 'numeric', unnest(['twi_value', 'dem_elev', 'soilgrids_clay']), unnest([1, 2, 3]), NULL""")
+def chosen_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spec = _spec(spark, sf_dir, 2)
+    rows = [("numeric", c, k + 1, None) for k, c in enumerate(spec["numeric"])] + [("category", c, k + 1, v) for c, vs in spec["vocabulary"].items() for k, v in enumerate(vs)]
+    return spark.createDataFrame(rows, "kind string, column string, place int, value string")
+
+
+@query("""b AS (SELECT CAST(floor(lon / 30) AS BIGINT) AS bx, CAST(floor(lat / 30) AS BIGINT) AS b_y, count(*) AS n, count(*) FILTER (ord = 'A') AS pos FROM occ GROUP BY ALL), p AS (SELECT *, row_number() OVER (ORDER BY n DESC, bx, b_y) - 1 AS k FROM b),
+f AS (SELECT CAST(CASE WHEN floor(k / 5) % 2 = 0 THEN k % 5 ELSE 4 - k % 5 END AS INTEGER) AS fold, CAST(sum(n) AS BIGINT) AS n, sum(pos) AS pos FROM p GROUP BY 1)
+SELECT fold, n, round(n / (SELECT sum(n) FROM f), 6) AS share FROM f WHERE pos > 0 AND pos < n ORDER BY abs(n / (SELECT sum(n) FROM f) - 0.2), fold LIMIT 1""")
+def calibration_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = ml.folds(V.occ(spark, sf_dir).select("lon", "lat", (F.col("ord") == "A").cast("long").alias("y")), 30.0)
+    return _rounded(ml.calibration_fold(f))
 
 
 @query("""r AS (SELECT corr(terraclimate_ppt_2019_mean, terraclimate_ppt_2020_mean) AS a, corr(terraclimate_ppt_2019_mean, dem_elev) AS b, corr(terraclimate_ppt_2020_mean, dem_elev) AS c FROM occ)
@@ -577,11 +728,20 @@ _SHARES = "sh0 AS (SELECT row_id % 200 AS id, grp, count(*) AS n FROM occ GROUP
 @query(f"""{_SHARES}, r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY share DESC, grp) AS k FROM sh)
 SELECT id, any_value(grp) FILTER (k = 1) AS top_group, round(max(share), 6) AS top_share, any_value(grp) FILTER (k = 2) AS second_group, round(max(share) - max(share) FILTER (k = 2), 6) AS gap, count(*) FILTER (share >= 0.05) AS n_above, round(1 / sum(share * share), 6) AS effective_richness FROM r GROUP BY id""")
 def community_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(ml.community(_shares(spark, sf_dir), 0.05))
+
+
+def _shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window
 
     n = V.occ(spark, sf_dir, row_id=True).groupBy((F.col("row_id") % 200).alias("id"), "grp").agg(F.count("*").alias("n"))
-    shares = n.select("id", "grp", (F.col("n") / F.sum("n").over(Window.partitionBy("id"))).alias("share"))
-    return _rounded(ml.community(shares, 0.05))
+    return n.select("id", "grp", (F.col("n") / F.sum("n").over(Window.partitionBy("id"))).alias("share"))
+
+
+@query(f"""{_SHARES}, r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY share DESC, grp) AS k FROM sh)
+SELECT grp, round(sum(share) / (SELECT count(DISTINCT id) FROM sh), 6) AS mean_share, round(max(share), 6) AS max_share, count(*) FILTER (k = 1) AS top_wins, count(*) FILTER (share >= 0.05) AS n_above FROM r GROUP BY grp""")
+def community_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(ml.community_groups(_shares(spark, sf_dir), 0.05))
 
 
 _CONS = "{c} AS (SELECT quantile_cont({f}, 0.1) AS a, quantile_cont({f}, 0.25) AS b, quantile_cont({f}, 0.5) AS m, quantile_cont({f}, 0.75) AS d, quantile_cont({f}, 0.9) AS e, stddev_pop({f}) AS s FROM occ WHERE ord = 'A')"
@@ -592,14 +752,14 @@ def _cons_sql() -> str:
     for c, f in (("qa", "dem_elev"), ("qb", "twi_value")):
         sp = f"greatest({c}.e - {c}.a, {c}.d - {c}.b, {c}.s, 1e-6)"
         parts.append((f"1 / (1 + pow(abs(g.{f} - {c}.m) / greatest(1.5 * ({c}.d - {c}.b), 0.35 * {sp}, 1e-6), 1.6))", f"least(greatest({c}.a - 0.15 * {sp} - g.{f}, g.{f} - {c}.e - 0.15 * {sp}, 0) / {sp}, 6)"))
-    return f"""{_CONS.format(c='qa', f='dem_elev')}, {_CONS.format(c='qb', f='twi_value')}, k AS (SELECT id, g.soilgrids_clay / 12.0 AS raw, ({parts[0][0]} + {parts[1][0]}) / 2 AS center, exp(-1.75 * ({parts[0][1]} + {parts[1][1]}) / 2) AS novelty FROM grid g, qa, qb)
+    return f"""{_CONS.format(c='qa', f='dem_elev')}, {_CONS.format(c='qb', f='twi_value')}, k AS (SELECT id, g.soilgrids_clay / 12.0 AS raw, (2 * {parts[0][0]} + {parts[1][0]}) / 3 AS center, exp(-1.75 * (2 * {parts[0][1]} + {parts[1][1]}) / 3) AS novelty FROM grid g, qa, qb)
     SELECT id, round(raw, 6) AS raw, round(center, 6) AS center, round(novelty, 6) AS novelty, round(pow(raw, 1.1) * (0.4 + 0.6 * pow(center, 1.25)) * (0.08 + 0.92 * novelty), 6) AS adjusted FROM k"""
 
 
 @query(_cons_sql())
 def conservative_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = V.grid(spark, sf_dir).withColumn("p", F.col("soilgrids_clay") / 12.0)
-    return _rounded(ml.conservative(cells, V.occ(spark, sf_dir).where("ord = 'A'"), ["dem_elev", "twi_value"]))
+    return _rounded(ml.conservative(cells, V.occ(spark, sf_dir).where("ord = 'A'"), ["dem_elev", "twi_value"], weights={"dem_elev": 2.0, "twi_value": 1.0}))
 
 
 @query()

@@ -41,14 +41,14 @@ def split_header(line: str, sep: str) -> list[str]:
     return fields
 
 
-def read(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
-    """A table of text columns with the file's own names; quoted fields may hold delimiters and line breaks. columns: only these,
-    whatever their case; unknown ones are left out."""
+def read(spark: SparkSession, path: str, columns: list[str] | None = None, multiline: bool = True) -> DataFrame:
+    """A table of text columns with the file's own names; quoted fields may hold delimiters and, with multiline, line breaks (a file is
+    then read by one task; without, large files are split). columns: only these, whatever their case; unknown ones are left out."""
     from biotope.operators.ingest import project
 
     first = spark.read.text(path).limit(1).collect()
     sep = delimiter(first[0][0].lstrip("﻿") if first else "")
-    df = spark.read.option("header", True).option("sep", sep).option("quote", '"').option("escape", '"').option("multiLine", True).csv(path)
+    df = spark.read.option("header", True).option("sep", sep).option("quote", '"').option("escape", '"').option("multiLine", multiline).csv(path)
     return project(df, columns) if columns else df
 
 

@@ -118,3 +118,76 @@ def test_entry(spark):
     import __spark_entry__ as e
 
     assert e.entry(spark).columns and set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_stress_by_hand(spark):
+    """lo 0, q25 2, q75 4, hi 10: the grace ends at 5.5 on the high side, at 0.5 on the low one."""
+    high = [one(spark, v=suitability.stress(*lit(x, 0, 2, 4, 10), "high")).v for x in (5, 5.5, 8, 9.1, 20)]
+    assert high == [pytest.approx(v) for v in (1, 1, 0.6875, 0.55, 0.55)]
+    low = [one(spark, v=suitability.stress(*lit(x, 0, 2, 4, 10), "low")).v for x in (3, 0.5, 0.3, 0.05, -4)]
+    assert low == [pytest.approx(v) for v in (1, 1, 1 - 0.45 * 0.25, 0.55, 0.55)]  # room 0.5, but a tenth of the span counts
+    assert one(spark, v=suitability.stress(*lit(8, 0, 2, 4, 10), "high", 2.0)).v == pytest.approx(1 - 0.45 * (1 - (1 - 0.694444444) ** 2))
+    assert one(spark, v=suitability.stress(*lit(8, 0, 2, 4, 10), None)).v is None
+    assert suitability.stress_rule("terraclimate_tmean_mean") == ("heat", "high") and suitability.stress_rule("terraclimate_pdsi") == ("moisture_balance", "low")
+    assert [suitability.stress_side(n) for n in ("terraclimate_def", "terraclimate_tmin", "dem_slope", "terraclimate_pptx", "terraclimate_soil")] == [None] * 5
+
+
+def test_weights_without_one_of_their_own(spark):
+    profile = spark.createDataFrame([("g", c, 3, 0.0, 1.0, 2.0, 3.0) for c in ("dem_a", "twi_b", "glim_c", "odd", "terraclimate_vpd")] + [("h", "dem_a", 0, 0.0, 1.0, 2.0, 3.0)], "grp string, column string, n_valid int, min double, q25 double, q75 double, max double")
+    weights = spark.createDataFrame([("dem_a", 0.5), ("twi_b", 0.0), ("glim_c", None)], "column string, blended_weight double")
+    got = {r.column: r for r in suitability.models(profile, weights, families=spark.createDataFrame([("twi", 0.25)], "family string, share double")).collect()}
+    total = 0.5 + 0.25 + 0.8 + 0.8 + 1.0  # its own, its family's share, the families' priors
+    assert {c: r.w for c, r in got.items()} == {c: pytest.approx(w / total) for c, w in (("dem_a", 0.5), ("twi_b", 0.25), ("glim_c", 0.8), ("odd", 0.8), ("terraclimate_vpd", 1.0))}
+    assert [c for c, r in got.items() if r.stressed] == ["terraclimate_vpd"]
+    assert not [r for r in suitability.models(profile, weights, least_stress=2).collect() if r.stressed] and suitability.models(profile, weights, least_features=6).count() == 0
+
+
+def test_models_in_blocks(spark, monkeypatch):
+    """More groups than are broadcast at once give the same scores."""
+    from conftest import SF
+
+    from biotope.plans import queries
+
+    a = sorted(queries.suitability_scores(spark, SF).collect())
+    monkeypatch.setattr(suitability, "MODELS", 20)
+    assert sorted(queries.suitability_scores(spark, SF).collect()) == a
+
+
+def test_samples_of_layers(spark):
+    cells = spark.createDataFrame([("a", 1, 0, 0, 1.0), ("b", 1, 0, 0, 2.0), ("a", 2, 0, 0, None), ("a", 2, 0, 1, 4.0)], "layer string, band int, r long, c long, value double")
+    points = spark.createDataFrame([(1, "a", 1, 0, 0), (1, "b", 1, 0, 0), (1, "a", 2, 0, 0), (2, "c", 1, 0, 0)], "id long, layer string, band int, r long, c long")
+    got = {(r.id, r.layer, r.band): (r.value, r.found) for r in raster.sample(points, cells, 1).collect()}
+    assert got == {(1, "a", 1): (1.0, 0), (1, "b", 1): (2.0, 0), (1, "a", 2): (4.0, 3), (2, "c", 1): (None, None)}
+
+
+def test_choice_of_models(spark):
+    from biotope.operators import ml
+
+    rows = spark.createDataFrame([(f, i, i % 2, float(i % 2) + 0.01 * i) for f in range(3) for i in range(10)] + [(3, 0, 1, 1.0)], "fold int, id long, y long, x double")
+    good, flat = (lambda train, c=c: lambda new: new.withColumn("p", c) for c in (F.least(F.lit(1.0), F.col("x") / 1.2), F.lit(0.5)))
+    table = ml.compare({"flat": flat, "good": good, "also": good}, rows)
+    assert [r["model"] for r in table] == ["also", "good", "flat"] and table[0]["cv_pr_auc"] == 1 and {r["folds"] for r in table} == {3}
+    assert ml.calibration_fold(rows, 0.3).first().fold == 0 and ml.calibration_fold(rows.where("y = 1")).count() == 0
+    assert ml.training_threshold(rows, good, 0.3) == 0.075 and ml.training_threshold(rows.where("y = 1"), good) == 0.5
+
+
+def test_community_model(spark, tmp_path):
+    from biotope.operators import ml
+
+    rows = spark.createDataFrame([(i, i % 3, "abc"[i % 3] if i < 90 else "d", float(i % 3) + 0.01 * (i % 7), (i // 3) % 3) for i in range(91)], "id long, k int, grp string, x double, fold int")
+    held = ml.community_out_of_fold(rows, ["x"], trees=5)
+    got = held.collect()
+    assert len(got) == 91 and all(sum(r.probs.values()) == pytest.approx(1) and set(r.probs) == set("abcd") and min(r.probs.values()) > 0 for r in got)
+    assert ml.multiclass_summary(held.select(F.col("grp").alias("label"), "probs")).first().accuracy > 0.9
+    binary = rows.select("id", (F.col("k") == 0).cast("long").alias("y"), "x")
+    model = ml.fit_presence(binary, ["x"], trees=3)
+    model.write().save(str(tmp_path / "m"))
+    assert ml.redeploy(str(tmp_path / "m"), binary).select("id", "p").orderBy("id").collect() == ml.predict(model, binary).select("id", "p").orderBy("id").collect()
+    assert ml.contiguous(binary.limit(0).withColumn("l", F.lit("a")), "l")[1] == []
+    spec = {"numeric": ["x", "none"], "vocabulary": {"grp": ["a", "b/c d"]}}
+    assert list(ml.feature_columns(rows, spec)) == ["x", "none", "grp__a", "grp__b_c_d"]
+
+
+def test_summary_rows_of_features(spark):
+    rows = spark.createDataFrame([(c,) for c in ("dem_elev", "dem_x", "lon", "glim", "glim_a", "dem_continent", None, "twi_is_nodata", "soilgrids_clay")], "column string")
+    assert [r[0] for r in ingest.of_features(rows).collect()] == ["dem_elev", "soilgrids_clay"]
