@@ -58,23 +58,29 @@ def models(profile: DataFrame, weights: DataFrame, least_valid: int = 1, familie
     return full.where(F.col("k") >= least_features).drop("k")
 
 
-def stress(x: Column, lo: Column, q25: Column, q75: Column, hi: Column, side: str | None, power: float = STRESS["power"]) -> Column:
-    """1 up to a grace beyond the inner range on the side's end; from there down to 1 - strength, which it reaches before the outer end by the
-    extreme multiplier; null without a side or value."""
-    if side is None:
-        return F.lit(None).cast("double")
+def stress_bounds(lo: Column, q25: Column, q75: Column, hi: Column, side: str) -> tuple[Column, Column, Column]:
+    """Where the stress begins, how far it is from there to the outer end, and the least distance that counts (a tenth of the range)."""
     a, b = F.least(lo, hi), F.greatest(lo, hi)
     one, two = (F.greatest(a, F.least(b, q)) for q in (q25, q75))
-    one, two = F.when(one > two, (one + two) / 2).otherwise(one), F.when(one > two, (one + two) / 2).otherwise(two)
     span = F.greatest(b - a, F.lit(1e-12))
-    grace = STRESS["grace"] * span
-    start = F.least(b, two + grace) if side == "high" else F.greatest(a, one - grace)
-    over, room = (x - start, b - start) if side == "high" else (start - x, start - a)
-    share = F.greatest(F.lit(0.0), F.least(F.lit(1.0), STRESS["extreme"] * over / F.greatest(room, 0.10 * span, F.lit(1e-12))))
+    edge = F.when(one > two, (one + two) / 2).otherwise(two if side == "high" else one)
+    start = F.least(b, edge + STRESS["grace"] * span) if side == "high" else F.greatest(a, edge - STRESS["grace"] * span)
+    return start, (b - start) if side == "high" else (start - a), F.greatest(0.10 * span, F.lit(1e-12))
+
+
+def stress_beyond(x: Column, start: Column, room: Column, least: Column, side: str, power: float = STRESS["power"]) -> Column:
+    over = x - start if side == "high" else start - x
+    share = F.greatest(F.lit(0.0), F.least(F.lit(1.0), STRESS["extreme"] * over / F.greatest(room, least)))
     worst = F.lit(1 - STRESS["strength"])
     return F.when(x.isNull(), None).when(over >= room / STRESS["extreme"], worst).otherwise(1 - STRESS["strength"] * (1 - F.pow(1 - share, F.lit(power))))
 
 
+def stress(x: Column, lo: Column, q25: Column, q75: Column, hi: Column, side: str | None, power: float = STRESS["power"]) -> Column:
+    """1 up to a grace beyond the inner range on the side's end; from there down to 1 - strength, which it reaches before the outer end by the
+    extreme multiplier; null without a side or value."""
+    return F.lit(None).cast("double") if side is None else stress_beyond(x, *stress_bounds(lo, q25, q75, hi, side), side, power)
+
+
 def at_least(score: Column, threshold: float | None) -> Column:
     """Scores below a threshold above 0 are 0; missing ones stay."""
     return F.when(score < threshold, F.lit(0.0)).otherwise(score) if threshold and threshold > 0 else score
@@ -103,7 +109,9 @@ def score(cells: DataFrame, envelopes: DataFrame, shares: DataFrame, category: s
 
 def _score(cells: DataFrame, envelopes: DataFrame, shares: DataFrame, category: str) -> DataFrame:
     names = sorted(r[0] for r in envelopes.select("column").distinct().collect() if r[0] in cells.columns)  # of the schema
-    model = (F.max(F.when(F.col("column") == n, F.struct("min", "q25", "q75", "max", "w", "stressed"))).alias(f"m_{n}") for n in names)
+    bounds = {n: stress_bounds(F.col("min"), F.col("q25"), F.col("q75"), F.col("max"), stress_side(n)) for n in names if stress_side(n)}  # once a group, not once a cell
+    extra = {n: [F.when(F.col("stressed"), c).alias(k) for k, c in zip(("start", "room", "least"), b)] for n, b in bounds.items()}
+    model = (F.max(F.when(F.col("column") == n, F.struct("min", "q25", "q75", "max", "w", *extra.get(n, ())))).alias(f"m_{n}") for n in names)
     packed = envelopes.where(F.col("column").isin(names)).groupBy("grp").agg(*model)
     values = shares.where("f > 0").groupBy("grp", normal_text(F.col("value")).alias("value")).agg(F.max("f").alias("f")).where("value <> ''")
     packed = packed.join(values.groupBy("grp").agg(F.map_from_entries(F.collect_list(F.struct("value", "f"))).alias("shares")), "grp", "left")
@@ -119,12 +127,12 @@ def _score(cells: DataFrame, envelopes: DataFrame, shares: DataFrame, category:
     def env(m: Column) -> tuple:
         return m["min"], m["q25"], m["q75"], m["max"]
 
-    sided = [n for n in names if stress_side(n)]
+    sided = list(bounds)
     has = total(lambda n, m, x: F.when(x.isNotNull(), m["w"]))
     logs = total(lambda n, m, x: m["w"] * F.log(F.greatest(sharpened(trapezoid(x, *env(m)), SHARP, FLOOR), F.lit(1e-12))))
     rel = total(lambda n, m, x: m["w"] * reliability(x, *env(m)))
-    hurt = total(lambda n, m, x: F.when(m["stressed"], m["w"] * stress(x, *env(m), stress_side(n))), sided)
-    hurt_w = total(lambda n, m, x: F.when(m["stressed"] & x.isNotNull(), m["w"]), sided)
+    hurt = total(lambda n, m, x: F.when(m["start"].isNotNull(), m["w"] * stress_beyond(x, m["start"], m["room"], m["least"], stress_side(n))), sided)
+    hurt_w = total(lambda n, m, x: F.when(m["start"].isNotNull() & x.isNotNull(), m["w"]), sided)
     has_cat = F.col("cat").isNotNull() & F.col("shares").isNotNull()
     match = F.col("shares")[F.col("cat")]
     one = full.select(
