@@ -36,8 +36,8 @@ _RATIO = 5 / 3
 SMALL = 8
 #: A group of more sets is cut into parts of about so many sets, or into PARTS parts if those are more; two parts at a time are compared.
 UNIT, PARTS = 512, 64
-#: Words that one partition of the join holds, about.
-PART_WORDS = 1_000_000
+#: Shingles of the sets that one partition of the join stands for, about; the fewer partitions, the more words of a set share its id and size.
+PART_WORDS = 2_500_000
 #: Words that a task holds before it hands them on.
 HELD_WORDS = 1_000_000
 #: Common shingles that are put last: in so large a share of the documents, and so many at most (it is only an order).
@@ -426,18 +426,27 @@ def classes_and_links(docs: DataFrame, partitions: int | None = None, few_rows:
     if large.limit(1).count():
         # first only the nearest of another component for each set: what that joins needs no further comparison. Components only
         # grow, so the second round looks at the groups that were mixed in the first
-        mixed = large.join(known.select("lo", "id", F.col("n").alias("size")), "lo").select("word", "id", "size")
-        for nearest in (True, False):
-            mixed = _mixed(mixed, components(links), few_rows, unit)
-            near = cut(_residual(mixed, known, nearest, few_bytes).distinct(), "near")
-            if near.limit(1).count():
-                links = links.union(_verified(rows, classes, near, few_ids))
-            drop(near)
-            mixed = mixed.drop("component", "parts")
+        first = _mixed(large.join(known.select("lo", "id", F.col("n").alias("size")), "lo").select("word", "id", "size"), components(links), few_rows, unit)
+        links = _joined(links, first, True, rows, classes, known, few_ids, few_bytes)
+        rest = _mixed(first.drop("component", "parts"), components(links), few_rows, unit)
+        drop(first)
+        links = _joined(links, rest, False, rows, classes, known, few_ids, few_bytes)
+        drop(rest)
     drop(grouped)
     return members, classes, links
 
 
+def _joined(links: DataFrame, mixed: DataFrame, nearest: bool, rows: DataFrame, classes: DataFrame, known: DataFrame, few_ids: int, few_bytes: int) -> DataFrame:
+    """links, and those that the groups still give."""
+    near, sketches = _residual(mixed, known, nearest, few_bytes)
+    near = cut(near.distinct(), "near")
+    drop(sketches)
+    if near.limit(1).count():
+        links = links.union(_verified(rows, classes, near, few_ids))
+    drop(near)
+    return links
+
+
 def _mixed(groups: DataFrame, label: DataFrame, few_rows: int, unit: int) -> DataFrame:
     """groups (word, id, size) with components, and parts (into how many the group is cut), of words whose sets are in several; written."""
     few = label.limit(few_rows + 1).count() <= few_rows
@@ -446,11 +455,14 @@ def _mixed(groups: DataFrame, label: DataFrame, few_rows: int, unit: int) -> Dat
     per = at.groupBy("word").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("n")).where("least <> most")
     per = cut(per.select("word", F.least(F.lit(PARTS), F.ceil(F.col("n") / unit)).cast("int").alias("parts")), "several")
     few = per.limit(few_rows + 1).count() <= few_rows
-    return cut(at.join(F.broadcast(per) if few else per, "word"), "mixed")
+    found = cut(at.join(F.broadcast(per) if few else per, "word"), "mixed")
+    drop(at)
+    drop(per)
+    return found
 
 
-def _residual(rest: DataFrame, known: DataFrame, nearest: bool, few_bytes: int) -> DataFrame:
-    """Pairs (a, b) of different components in a mixed group (word, id, component, size, parts; a written table, since right after a join a
+def _residual(rest: DataFrame, known: DataFrame, nearest: bool, few_bytes: int) -> tuple[DataFrame, DataFrame]:
+    """(pairs, the written sketches that they are made from). Pairs (a, b) of different components in a mixed group (word, id, component, size, parts; a written table, since right after a join a
     repartition on its key would be left out, and a skewed word's rows dealt to several tasks) whose sizes and bit sketches allow a link
     (nearest: for each set of a group one of the least Hamming distance only)."""
     sketches = cut(known.select("id", "sketch").join(rest.select("id").distinct(), "id", "left_semi"), "sketches")
@@ -466,7 +478,7 @@ def _residual(rest: DataFrame, known: DataFrame, nearest: bool, few_bytes: int)
     near = wide.mapInArrow(_near(nearest), "word long, a long, b long, distance long")
     if nearest:  # of a set's nearest in each part
         near = near.groupBy("word", "a").agg(F.min(F.struct("distance", "b")).alias("n")).select("a", "n.b")
-    return near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), sketches
 
 
 def _verified(rows: DataFrame, classes: DataFrame, pairs: DataFrame, few_ids: int) -> DataFrame:
