@@ -148,12 +148,14 @@ def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float
 
 
 def keep(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = RISK, error: float = ERROR, cutoffs: dict = CUTOFFS) -> DataFrame:
-    """The rows of docs that judge() keeps, with all columns, whatever their names; equal rows stay or go alike, and null and empty texts go. Texts
-    are read twice: to choose the cutoffs, and with their rows; no text is shuffled."""
-    chosen = certified(cut(signals(docs, stratum), "signals"), labels, risk, error, cutoffs)
+    """The rows of docs that judge() keeps, with all columns, whatever their names; equal rows stay or go alike, and null and empty texts go; an
+    empty table gives an empty one. Texts are read and counted once: rows that pass the base rules are written with their counts, chosen from by the
+    cutoffs, and not shuffled. Columns must be of types that Parquet takes."""
     # the row's number, which is not deterministic to the optimiser, holds the filter above the counts; below them it would have a
     # copy of their expressions for each use
-    return _judged(_signals(docs, stratum, whole=True), chosen, cutoffs).where("kept and number >= 0").select("row.*")
+    passed = cut(_signals(docs, stratum, whole=True).where("not base_failed and number >= 0").drop("number"), "passed")
+    chosen = certified(passed.drop("row"), labels, risk, error, cutoffs)
+    return _judged(passed, chosen, cutoffs).where("kept").select("row.*")
 
 
 def _judged(found: DataFrame, chosen: DataFrame, cutoffs: dict) -> DataFrame:
