@@ -502,18 +502,21 @@ def _verified(rows: DataFrame, classes: DataFrame, pairs: DataFrame, few_ids: in
     return found
 
 
-def join(docs: DataFrame, **bounds: int) -> DataFrame:
+def join(docs: DataFrame, tables: list | None = None, **bounds: int) -> DataFrame:
     """doc_id, n_shingles, class_id (smallest doc_id with the same set), component_id (smallest doc_id reachable by links).
 
     docs: doc_id, text. A row for every row, equal ones too. Null and empty texts, and texts of white space, have an empty set and are
     linked with nothing (class and component are the row's own doc_id). A null doc_id stays null; such rows count as members of their
     set's class, and only a class without any doc_id has a null class and component. Texts are taken whole. Other columns are
-    not read. An empty table gives an empty one. bounds: as in classes_and_links().
+    not read. An empty table gives an empty one. bounds: as in classes_and_links(). tables: a list that gets
+    the written tables that the result is made from, for the caller to drop() when the result is written.
     """
     members, classes, links = classes_and_links(docs, **bounds)
     label = cut(components(links), "components")
     # classes of one document without links need no join
     known = cut(classes.join(label, "id", "left").where("copies > 1 or component is not null").select("hi", "lo", "id", F.coalesce("component", "id").alias("component")), "known")
+    if tables is not None:
+        tables += [members, classes, links, label, known]
     out = members.join(known, ["hi", "lo"], "left")
     own = F.when(F.col("id").isNotNull(), F.col("id")).otherwise(F.col("doc_id"))
     component = F.when(F.col("component").isNotNull(), F.col("component")).otherwise(F.col("doc_id"))
@@ -532,7 +535,10 @@ def one_each(docs: DataFrame, few_ids: int = BROADCAST_IDS) -> DataFrame:
 
     Rows are told apart by doc_id: rows that repeat a doc_id stay or go together, and a null doc_id stays.
     """
-    gone = cut(join(docs).where("component_id <> doc_id").select("doc_id").distinct(), "gone")
+    tables: list = []
+    gone = cut(join(docs, tables).where("component_id <> doc_id").select("doc_id").distinct(), "gone")
+    for t in tables:
+        drop(t)
     if gone.count() > few_ids:
         ids = gone.select(F.col("doc_id").alias("_gone"))
         return docs.join(ids, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti").select(*(docs[c] for c in docs.columns))

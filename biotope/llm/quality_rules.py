@@ -147,13 +147,16 @@ def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float
     return _judged(found, certified(found, labels, risk, error, cutoffs), cutoffs)
 
 
-def keep(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = RISK, error: float = ERROR, cutoffs: dict = CUTOFFS) -> DataFrame:
+def keep(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = RISK, error: float = ERROR, cutoffs: dict = CUTOFFS, tables: list | None = None) -> DataFrame:
     """The rows of docs that judge() keeps, with all columns, whatever their names; equal rows stay or go alike, and null and empty texts go; an
     empty table gives an empty one. Texts are read and counted once: rows that pass the base rules are written with their counts, chosen from by the
-    cutoffs, and not shuffled. Columns must be of types that Parquet takes."""
+    cutoffs, and not shuffled. Columns must be of types that Parquet takes. tables: a list that gets the table of these rows, which the result reads,
+    for the caller to drop() when the result is written."""
     # the row's number, which is not deterministic to the optimiser, holds the filter above the counts; below them it would have a
     # copy of their expressions for each use
     passed = cut(_signals(docs, stratum, whole=True).where("not base_failed and number >= 0").drop("number"), "passed")
+    if tables is not None:
+        tables.append(passed)
     chosen = certified(passed.drop("row"), labels, risk, error, cutoffs)
     return _judged(passed, chosen, cutoffs).where("kept").select("row.*")
 
