@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from biotope.functions.expr import interval_overlap, proximity
+from biotope.functions.shared import cut
 from biotope.operators.ingest import FAMILIES
 
 
@@ -20,8 +21,15 @@ def long(df: DataFrame, columns: list[str], group: str | None = None) -> DataFra
 
 def numeric(values: DataFrame, keys: list[str]) -> DataFrame:
     """Per keys: n_total, n_valid, n_missing, missing_fraction, min, q25, mean, median, q75, max, iqr, std (0 for one value)."""
+    return _summed_up(values, keys).drop("var")
+
+
+def _summed_up(values: DataFrame, keys: list[str]) -> DataFrame:
+    """numeric(), and var: the population variance."""
     q = F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    s = values.groupBy(*keys).agg(F.count("*").alias("n_total"), F.count("value").alias("n_valid"), F.min("value").alias("min"), q.alias("q"), F.avg("value").alias("mean"), F.max("value").alias("max"), F.stddev_samp("value").alias("sd"))
+    s = values.groupBy(*keys).agg(
+        F.count("*").alias("n_total"), F.count("value").alias("n_valid"), F.min("value").alias("min"), q.alias("q"), F.avg("value").alias("mean"), F.max("value").alias("max"), F.stddev_samp("value").alias("sd"), F.var_pop("value").alias("var"),
+    )
     return s.select(
         *keys,
         "n_total",
@@ -36,9 +44,15 @@ def numeric(values: DataFrame, keys: list[str]) -> DataFrame:
         "max",
         (F.get("q", F.lit(2)) - F.get("q", F.lit(0))).alias("iqr"),
         F.when(F.col("n_valid") > 0, F.coalesce("sd", F.lit(0.0))).alias("std"),
+        "var",
     )
 
 
+def of_groups(values: DataFrame) -> DataFrame:
+    """numeric() by column, family and grp, and var; written, so that whatever is made from it reads the values once."""
+    return cut(_summed_up(values, ["column", "family", "grp"]))
+
+
 def categories(df: DataFrame, columns: list[str], group: str | None = None, top: int = 50) -> DataFrame:
     """Per (group and) column the `top` most frequent values: count, and the share of the non-blank and of all rows."""
     item = F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.trim(F.col(c).cast("string")).alias("value")) for c in columns)))
@@ -64,7 +78,11 @@ def monthly(values: DataFrame, keys: list[str], least_months: int = 1) -> DataFr
 
 def anova(values: DataFrame) -> DataFrame:
     """Per column over its groups: n, groups, ss_between, ss_within, ss_total, eta2, f_stat. Two levels of partial sums, no second pass."""
-    per = values.where("value is not null").groupBy("column", "grp").agg(F.count("value").alias("n"), F.avg("value").alias("m"), F.var_pop("value").alias("v"))
+    return _anova(values.where("value is not null").groupBy("column", "grp").agg(F.count("value").alias("n"), F.avg("value").alias("m"), F.var_pop("value").alias("v")))
+
+
+def _anova(per: DataFrame) -> DataFrame:
+    """anova() from a row a column and group: n, m (mean), v (population variance)."""
     g = per.groupBy("column").agg(F.sum("n").alias("n"), F.count("*").alias("groups"), (F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("grand"), F.sum(F.col("n") * F.col("v")).alias("ss_within"))
     b = per.join(g.select("column", "grand"), "column").groupBy("column").agg(F.sum(F.col("n") * F.pow(F.col("m") - F.col("grand"), 2)).alias("ss_between"))
     j = g.join(b, "column").withColumn("ss_total", F.col("ss_between") + F.col("ss_within"))
@@ -107,9 +125,14 @@ def normalised(c: Column, over) -> Column:
 
 def feature_weights(values: DataFrame, least_valid: int = 20) -> DataFrame:
     """column, family, eta2, signal_to_iqr, separation, blended_weight: how well each feature tells the groups apart."""
-    av = anova(values).where((F.col("n") >= max(2, least_valid)) & (F.col("groups") >= 2))
-    prof = numeric(values, ["column", "family", "grp"])
-    span = values.groupBy("column").agg((F.max("value") - F.min("value")).alias("span"))
+    return weights_of(of_groups(values), least_valid)
+
+
+def weights_of(prof: DataFrame, least_valid: int = 20) -> DataFrame:
+    """feature_weights() from the values' of_groups()."""
+    per = prof.where("n_valid > 0").select("column", "grp", F.col("n_valid").alias("n"), F.col("mean").alias("m"), F.col("var").alias("v"))
+    av = _anova(per).where((F.col("n") >= max(2, least_valid)) & (F.col("groups") >= 2))
+    span = prof.groupBy("column").agg((F.max("max") - F.min("min")).alias("span"))
     groups = prof.where("n_valid > 0").groupBy("column", "family").agg(F.stddev_samp("median").alias("between"), F.percentile("iqr", F.lit(0.5)).alias("iqr_median")).join(span, "column")
     stable = F.greatest("iqr_median", F.greatest(0.05 * F.col("span"), F.lit(1e-9)))
     apart = overlap_pairs(prof, span).groupBy("column").agg((1 - F.avg("feature_overlap")).alias("separation"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from biotope.functions.expr import normal_text, reliability, sharpened, trapezoid
-from biotope.functions.shared import few
+from biotope.functions.shared import cut, few
 from biotope.operators.ingest import FAMILIES, family
 
 SHARP, FLOOR, CATEGORY_SHARE = 2.0, 0.02, 0.15
@@ -92,8 +92,10 @@ def score(cells: DataFrame, envelopes: DataFrame, shares: DataFrame, category: s
     its value, 0 where not.
 
     Every cell meets every group: the models, a row a group and feature, are gathered to one row a group. Up to MODELS groups are broadcast and
-    features are summed within the row, so nothing is shuffled; more groups go round in blocks of that many, each a pass over the cells.
+    features are summed within the row; more groups go round in blocks of that many, each a pass over the cells. The models are written first,
+    since they are read several times, and cells are dealt evenly to tasks, since a table of few row groups would be scored by as few.
     """
+    envelopes = cut(envelopes)
     groups = envelopes.select("grp").distinct()
     if not few(groups, MODELS):
         parts = -(-groups.count() // MODELS) * 2
@@ -116,7 +118,9 @@ def _score(cells: DataFrame, envelopes: DataFrame, shares: DataFrame, category:
     values = shares.where("f > 0").groupBy("grp", normal_text(F.col("value")).alias("value")).agg(F.max("f").alias("f")).where("value <> ''")
     packed = packed.join(values.groupBy("grp").agg(F.map_from_entries(F.collect_list(F.struct("value", "f"))).alias("shares")), "grp", "left")
     own = normal_text(F.col(category).cast("string"))
-    full = cells.select("id", *(F.col(n).cast("double").alias(n) for n in names), F.when(own != "", own).alias("cat")).crossJoin(F.broadcast(packed))
+    full = cells.select("id", *(F.col(n).cast("double").alias(n) for n in names), F.when(own != "", own).alias("cat"))
+    spark = cells.sparkSession
+    full = full.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)).crossJoin(F.broadcast(packed))
 
     def total(f, of: list[str] = names) -> Column:
         out = F.lit(0.0)
@@ -134,7 +138,8 @@ def _score(cells: DataFrame, envelopes: DataFrame, shares: DataFrame, category:
     hurt = total(lambda n, m, x: F.when(m["start"].isNotNull(), m["w"] * stress_beyond(x, m["start"], m["room"], m["least"], stress_side(n))), sided)
     hurt_w = total(lambda n, m, x: F.when(m["start"].isNotNull() & x.isNotNull(), m["w"]), sided)
     has_cat = F.col("cat").isNotNull() & F.col("shares").isNotNull()
-    match = F.col("shares")[F.col("cat")]
+    # a higher-order function keeps this projection out of whole-stage code, which would make it one method, too long for the JVM to compile
+    match = F.col("shares")[F.transform(F.array("cat"), lambda v: v)[0]]
     one = full.select(
         "grp", "id", has.alias("has"), logs.alias("logs"), (rel + F.when(has_cat & match.isNotNull(), F.lit(1.0)).otherwise(0.0)).alias("rel"), hurt.alias("hurt"), hurt_w.alias("hurt_w"), F.coalesce(match, F.lit(0.0)).alias("f"), has_cat.alias("has_cat"),
     )
@@ -156,7 +161,8 @@ def summary(scores: DataFrame, threshold: float = 0.5) -> DataFrame:
 def histogram(scores: DataFrame, value: str = "adjusted", bins: int = 512) -> DataFrame:
     """grp, bin, n and cdf: the share of a group's cells up to the bin."""
     b = F.least(F.floor(F.greatest(F.least(F.col(value), F.lit(1.0)), F.lit(0.0)) * bins), F.lit(bins - 1)).cast("int")
-    h = scores.where(F.col(value).isNotNull()).groupBy("grp", b.alias("bin")).agg(F.count("*").alias("n"))
+    # missing values go after the count: a filter on the score before it would be pushed down and make every score twice
+    h = scores.groupBy("grp", F.when(F.col(value).isNotNull(), b).alias("bin")).agg(F.count(value).alias("n")).where("n > 0")
     g = Window.partitionBy("grp")
     return h.withColumn("cdf", F.sum("n").over(g.orderBy("bin")) / F.sum("n").over(g))
 

@@ -401,9 +401,8 @@ sc AS (SELECT *, greatest(0, least(1, core * stress_modifier * factor)) AS adjus
 
 def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = ingest.fold_years(V.occ(spark, sf_dir))
-    v = profile.long(o, SCORE_FEATURES, "grp")
-    weights = profile.feature_weights(v)
-    envelopes = suitability.models(profile.numeric(v, ["grp", "column"]), weights)
+    groups = profile.of_groups(profile.long(o, SCORE_FEATURES, "grp"))
+    envelopes = suitability.models(groups, profile.weights_of(groups))
     shares = profile.categories(o, ["glim_litho"], "grp").select("grp", "value", F.col("fraction_of_non_null").alias("f"))
     return suitability.score(V.grid(spark, sf_dir), envelopes, shares, "glim_litho")
 

@@ -150,6 +150,45 @@ def test_weights_without_one_of_their_own(spark):
     assert not [r for r in suitability.models(profile, weights, least_stress=2).collect() if r.stressed] and suitability.models(profile, weights, least_features=6).count() == 0
 
 
+def test_weights_read_the_values_once(spark):
+    from biotope.operators import profile
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(x):
+        seen.add(1)
+        return x
+
+    values = spark.range(90).select(F.concat(F.lit("g"), F.col("id") % 3).alias("grp"), F.lit("dem_a").alias("column"), F.lit("dem").alias("family"), F.udf(counted, "double")((F.col("id") * 7 % 31).cast("double")).alias("value"))
+    assert profile.feature_weights(values).first().blended_weight == 1
+    assert seen.value == 90
+
+
+def test_scores_of_many_cells(spark):
+    """One file of cells is scored by all tasks, by methods that the JVM compiles (8,000 bytes at most)."""
+    import re
+
+    features = ["dem_a", "soilgrids_b", "twi_c", "terraclimate_ppt_mean"]
+    cells = spark.range(1000).select("id", *((F.col("id") * (k + 3) % 11).cast("double").alias(c) for k, c in enumerate(features)), F.lit("A").alias("cat")).coalesce(1)
+    envelopes = spark.createDataFrame([(g, c, 0.0, 2.0, 5.0, 10.0, 0.25, c[:4] == "terr") for g in "xy" for c in features], "grp string, column string, min double, q25 double, q75 double, max double, w double, stressed boolean")
+    shares = spark.createDataFrame([("x", "A", 1.0)], "grp string, value string, f double")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        scores = suitability.score(cells, envelopes, shares, "cat")
+        assert scores.rdd.getNumPartitions() >= 4
+        code = spark.sparkContext._jvm.PythonSQLUtils.explainString(scores._jdf.queryExecution(), "codegen")
+        assert 0 < max(map(int, re.findall(r"maxMethodCodeSize:(\d+)", code))) <= 8000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert scores.count() == 2000 and scores.where("adjusted is null").count() == 0
+
+
+def test_histogram_leaves_missing_scores_out(spark):
+    scores = spark.createDataFrame([("a", 0.1), ("a", None), ("a", 1.0), ("b", None), ("c", 0.0)], "grp string, adjusted double")
+    got = sorted(tuple(r) for r in suitability.histogram(scores, bins=4).collect())
+    assert got == [("a", 0, 1, 0.5), ("a", 3, 1, 1.0), ("c", 0, 1, 1.0)]
+
+
 def test_models_in_blocks(spark, monkeypatch):
     """More groups than are broadcast at once give the same scores."""
     from conftest import SF
