@@ -205,6 +205,16 @@ def _measure(batches):
         tidy()
 
 
+def _narrow(x: np.ndarray) -> bytes:
+    """Counts in as few bytes each as the largest needs."""
+    return x.astype(np.min_scalar_type(int(x.max()))).tobytes()
+
+
+def _wide(x: bytes, n: int) -> np.ndarray:
+    """n counts that _narrow() packed."""
+    return np.frombuffer(x, f"u{len(x) // n}")
+
+
 def _pack(parts: int, common):
     def run(batches):
         last, held, owners, los, sizes, n = common.value, [], [], [], [], 0
@@ -217,9 +227,9 @@ def _pack(parts: int, common):
             edges = np.searchsorted(part[order], np.arange(parts + 1))
             for p in np.unique(part).tolist():
                 mine = order[edges[p] : edges[p + 1]]
-                used, local = np.unique(owner[mine], return_inverse=True)
+                used, n_words = np.unique(owner[mine], return_counts=True)  # words are in order of their owners
                 high = words[mine].view(np.uint8).reshape(-1, 8)[:, 2:]  # 48 bits; the part tells some of the rest
-                yield table({"part": [p], "words": [high.tobytes()], "owners": [local.astype(np.uint16).tobytes()], "los": [who[used].tobytes()], "sizes": [size[used].tobytes()]}, PACKED)
+                yield table({"part": [p], "words": [high.tobytes()], "owners": [_narrow(n_words)], "los": [who[used].tobytes()], "sizes": [_narrow(size[used])]}, PACKED)
 
         for b in chunks(batches):
             for s in shingle_sets(b.column("text")):
@@ -291,8 +301,10 @@ def _group(batches):
             now = part
             high = np.frombuffer(w, np.uint8).reshape(-1, 6)
             words.append(np.concatenate([np.zeros((len(high), 2), np.uint8), high], 1).view(np.uint64).ravel())
-            owners.append(np.frombuffer(los, np.int64)[np.frombuffer(o, np.uint16)])
-            sizes.append(np.frombuffer(own, np.uint32)[np.frombuffer(o, np.uint16)])
+            who = np.frombuffer(los, np.int64)
+            n_words = _wide(o, len(who))
+            owners.append(np.repeat(who, n_words))
+            sizes.append(np.repeat(_wide(own, len(who)).astype(np.uint32), n_words))
     if words:
         yield from made(np.concatenate(words), np.concatenate(owners), np.concatenate(sizes))
     del words, owners, sizes

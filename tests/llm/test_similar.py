@@ -80,6 +80,32 @@ def test_join_of_odd_tables(spark):
         assert kept.columns == copies.columns and sorted((r.doc_id or 0) for r in kept.collect()) == [0, 1, 2, 3, 4, 5, 5, 7, 8, 8]
 
 
+def test_packed_words_name_their_owner_once():
+    """Blocks hold a count for each set, not an index for each word; unpacked, every word has its set and size again."""
+    for counts in ([1], [3, 255], [1, 256, 7], [70_000, 2]):
+        packed = jaccard._narrow(np.array(counts))
+        assert len(packed) == len(counts) * (1 if max(counts) < 256 else 2 if max(counts) < 65_536 else 4)
+        assert jaccard._wide(packed, len(counts)).tolist() == counts
+    docs = pa.record_batch({"doc_id": pa.array([1, 2, 3]), "text": [" ".join(f"w{i * k}" for i in range(n)) for k, n in ((1, 400), (3, 900), (7, 6))]})
+
+    class Common:
+        value = np.zeros(0, np.uint64)
+
+    blocks = [r for b in jaccard._pack(3, Common)([docs]) for r in b.to_pylist()]
+    sets = {jaccard.fingerprint(x)[1]: x for x in jaccard.shingle_sets(docs.column("text"))}
+    got = {lo: [] for lo in sets}
+    for r in blocks:
+        los = np.frombuffer(r["los"], np.int64)
+        n_words, sizes = jaccard._wide(r["owners"], len(los)), jaccard._wide(r["sizes"], len(los))
+        assert len(r["owners"]) <= 2 * len(los) and n_words.sum() * 6 == len(r["words"])
+        assert [len(sets[lo]) for lo in los.tolist()] == sizes.tolist()
+        words = np.split(np.frombuffer(r["words"], np.uint8).reshape(-1, 6), np.cumsum(n_words)[:-1])
+        for lo, w in zip(los.tolist(), words):
+            got[lo] += [x.tobytes() for x in w]
+    for lo, x in sets.items():
+        assert sorted(got[lo]) == sorted(w.tobytes()[2:] for w in jaccard.sketch_words(x, Common.value))
+
+
 def test_sketches_bound_the_difference():
     rng = np.random.default_rng(2)
     for _ in range(300):
