@@ -4,8 +4,9 @@ A document's set holds its 5-word shingles as 64-bit hashes. For pairs whose sma
 symmetric difference by d. A sketch of m words is made by XOR-ing every shingle's hash into the word that the hash chooses: each
 shingle in one set only changes one word, so the number of unequal words never exceeds the symmetric difference, and of the words of
 one set at most d differ in the other. By the pigeonhole principle two such sketches agree in a non-empty word, if one of them has more
-than d such words; under one order of all words they agree in one of the first d + 1 of each. Those words are joined on (band, place,
-value). The order puts words of very common shingles last, so a common passage makes no large groups unless a document is hardly
+than d such words; under one order of all words they agree in one of the first d + 1 of each, and d may be each set's own bound, by its
+size and the band: what bounds the one set's differences bounds the pair's. Those words are joined on (band, place, value). The order
+puts words of very common shingles last, so a common passage makes no large groups unless a document is hardly
 anything else. A set with d non-empty words or fewer (and any set of a small band) is joined by single shingles instead.
 
 The joined words of a task go out packed by target partition. A group of up to SMALL documents gives its pairs; of a larger one,
@@ -16,6 +17,8 @@ go on. A group of more than UNIT sets is dealt out as pairs of its parts, so tha
 
 from __future__ import annotations
 
+from functools import partial
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
@@ -23,7 +26,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, chunks, cut, drop, most_frequent, ship, sliced, table, texts, tidy
+from . import common as shared
+from .common import BROADCAST_ROWS, chunks, drop, most_frequent, ship, sliced, table, texts, tidy
 from .components import components
 from .words import SPACED, split_words
 
@@ -47,6 +51,9 @@ BROADCAST_IDS = 2_000_000
 BROADCAST_BYTES = 48 << 20
 BITS = 1024
 
+#: The packed words take about as much disk as the input: their shuffle files go as soon as the groups are written.
+cut = partial(shared.cut, freed=True)
+
 _U = np.uint64
 
 
@@ -105,10 +112,11 @@ def bands(size: int) -> range:
     return range(int(np.searchsorted(_STARTS, least, "right")) - 1, int(np.searchsorted(_STARTS, size, "right")))
 
 
-def most_different(g: int) -> int:
-    """The largest symmetric difference of a linked pair whose smaller set lies in band g."""
-    a = int(_STARTS[g + 1]) - 1
-    b = a * DEN // NUM
+def most_different(g: int, size: int | None = None) -> int:
+    """The largest symmetric difference of a linked pair whose smaller set lies in band g, and one of whose sets has this size (None: any)."""
+    end = int(_STARTS[g + 1]) - 1
+    a = end if size is None else size
+    b = a * DEN // NUM if a <= end else end
     # |A & B| >= (a + b) NUM / (NUM + DEN)
     return (a + b) * (DEN - NUM) // (DEN + NUM)
 
@@ -118,10 +126,11 @@ def sketch_words(s: np.ndarray, common: np.ndarray) -> np.ndarray:
     out = []
     rare = ~_in_sorted(s, common)
     for g in bands(len(s)):
-        d = most_different(g)
+        # the band's bound makes the words, which must be the same for both sets; a set's own bound is enough for how many it is joined by
+        most, d = most_different(g), most_different(g, len(s))
         enough = False
-        if d >= 6:
-            m = 2 * d + 2
+        if most >= 6:
+            m = 2 * most + 2
             place = ((s >> _U(33)) % _U(m)).astype(np.int64)
             order = np.argsort(place, kind="stable")
             place, x = place[order], s[order]

@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from biotope.llm import components, decontaminate, jaccard, queries
+from biotope.llm.common import FILE_CLEANUP
 from biotope.llm.words import ALNUM, split_words
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -124,6 +126,46 @@ def test_sketches_bound_the_difference():
             assert len(np.intersect1d(jaccard.sketch_words(a, a[::2]), jaccard.sketch_words(b, a[::2])))
 
 
+def test_sets_are_joined_by_as_many_words_as_their_size_needs():
+    """Of a set of n shingles, no more words a band than the largest difference of a linked pair of that size there, and one; pairs just
+    within the threshold still share one, at the ends of the bands too."""
+    rng, none = np.random.default_rng(7), np.zeros(0, np.uint64)
+    edges = [int(x) + k for x in jaccard._STARTS[2:14] for k in (-1, 0, 1)]
+    for n in [*range(1, 60), *(x for x in edges if x < 1200), *rng.integers(60, 1200, 30).tolist()]:
+        a = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
+        most = 0
+        for g in jaccard.bands(n):
+            first, end = int(jaccard._STARTS[g]), int(jaccard._STARTS[g + 1]) - 1
+            others = [m for m in range(-(-3 * n // 4), 4 * n // 3 + 1) if first <= min(m, n) <= end]
+            assert jaccard.most_different(g, n) == (n + max(others)) // 7 <= jaccard.most_different(g)
+            most += (n + max(others)) // 7 + 1
+        words = jaccard.sketch_words(a, none)
+        assert len(words) <= (most if n > 60 else 2 * most)  # a set that is small for its sketch is joined by its shingles as well
+        for m in {-(-3 * n // 4), n, 4 * n // 3, int(rng.integers(-(-3 * n // 4), 4 * n // 3 + 1))}:
+            both = -(-3 * (n + m) // 7)  # the least intersection of a linked pair
+            b = np.unique(np.concatenate([rng.permutation(a)[:both], rng.integers(0, 2**63, m - both, dtype=np.uint64)]))
+            assert jaccard.linked(a, b)
+            for last in (none, a[::2], np.sort(b)):
+                assert len(np.intersect1d(jaccard.sketch_words(a, last), jaccard.sketch_words(b, last)))
+
+
+def test_shuffle_files_of_the_join_go(spark):
+    """What the join has shuffled for a written table is deleted with the table's writing; the session's setting stays as it was."""
+    blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def there():
+        files = blocks.getAllFiles().iterator()
+        return {name for name in iter(lambda: files.next().getName() if files.hasNext() else None, None) if re.match(r"shuffle_.*\.data$", name)}
+
+    before, setting = there(), spark.conf.get(FILE_CLEANUP, "false")
+    table = jaccard.cut(spark.range(5000).withColumn("k", F.xxhash64("id") % 100).repartition(7, "k"), "t")
+    until = time.monotonic() + 20
+    while there() - before and time.monotonic() < until:  # it is done in the background
+        time.sleep(0.2)
+    assert not there() - before and table.count() == 5000
+    assert spark.conf.get(FILE_CLEANUP, "false") == setting
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(50)] + [(100, 102), (102, 101), (7, 7), (None, 3)]
     got = {r.id: r.component for r in components.components(spark.createDataFrame(chain, "a long, b long")).collect()}
