@@ -262,12 +262,12 @@ def _spelled(run: str, at: int) -> list[tuple[int, int, str]]:
     return edits
 
 
-def _parted(run: str, at: int) -> list[tuple[int, int, str]]:
-    """The same where full stops before blanks part the digits (three names at least, they go) or end a sentence (fewer, the run ends there)."""
-    stops, names = list(_STOP.finditer(run)), _names(run)
-    if names >= 3:
-        gone = [(at + m.start(), at + m.start() + 1, "") for m in stops]
-        return sorted(_spelled(run, at) + gone)
+def _parted(run: str, at: int, whole: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """The same where full stops before blanks part the digits (three names at least, they go) or end a sentence (fewer, the run ends there).
+    whole: the run's _spelled() edits if it has three names at least, else none."""
+    stops = list(_STOP.finditer(run))
+    if whole:
+        return sorted(whole + [(at + m.start(), at + m.start() + 1, "") for m in stops]) if stops else whole
     out, done = [], 0
     for start, end in [*(m.span() for m in stops), (len(run), len(run))]:
         if _names(run[done:start]) and _SPELLED.fullmatch(run, done, start):
@@ -299,8 +299,12 @@ def disguises(text: str) -> list[list[tuple[int, int, str]]]:
     if _LOOKALIKE_HINT.search(text):
         edits += _free(edits, lookalikes(text))
     if _NAME_HINT.search(lower := text.lower()) and _SPELLED_HINT.search(lower):
-        runs = [(m[0], m.start(), n) for m in _SPELLED.finditer(text) if (n := _names(m[0]))]
-        many, every = [e for run, at, n in runs if n >= 3 for e in _spelled(run, at)], [e for run, at, _ in runs for e in _parted(run, at)]
+        many, every = [], []
+        for m in _SPELLED.finditer(text):
+            if n := _names(m[0]):
+                whole = _spelled(m[0], m.start()) if n >= 3 else []
+                many += whole
+                every += _parted(m[0], m.start(), whole)
         if every != many:
             return [sorted(edits + _free(edits, many)), sorted(edits + _free(edits, every))]
         edits += _free(edits, many)

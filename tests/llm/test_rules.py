@@ -104,6 +104,16 @@ def test_time_is_linear(unit):
         assert time.process_time() - t < 1
 
 
+def test_a_run_of_digit_names_is_rewritten_once(monkeypatch):
+    """The edits of a run with three names or more are made once, though two readings of the text have them."""
+    for text in ("one " * 300, "one, two, three. four five six now", "plus four nine, double one seven"):
+        made, spelled = [], pii._spelled
+        with monkeypatch.context() as m:
+            m.setattr(pii, "_spelled", lambda run, at: made.append((run, at)) or spelled(run, at))
+            assert any(pii.disguises(text))
+        assert made and len(set(made)) == len(made)
+
+
 #: Texts with the personal data that a reader would see in them, and texts without any.
 PLANTED = [
     ("write to user at example.com please", "email:9:28"), ("dan AT mail.org", "email:0:15"), ("bob&#64;example.com!", "email:0:19"), ("bob%40example.com", "email:0:17"), ("eve&commat;mail&period;org", "email:0:26"),
