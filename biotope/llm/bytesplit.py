@@ -50,16 +50,35 @@ def bounds(data: np.ndarray, texts: np.ndarray) -> np.ndarray:
     return np.flatnonzero(start[:n])
 
 
-def words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+def words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, pa.Array]:
     """(a code for each pre-token, the distinct pre-tokens)."""
     offsets = np.append(at, len(data)).astype(np.int32)
     coded = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
-    return coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_pylist()
+    return coded.indices.to_numpy(zero_copy_only=False), coded.dictionary
 
 
-def gather(flat: np.ndarray, sizes: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(the items of every code in a row, where each code's end). flat: the items of code 0, 1, ...; sizes: how many each has."""
-    first = np.cumsum(sizes) - sizes
+def parts(items: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, where each item begins in them, sizes) of a binary array."""
+    offsets = np.frombuffer(items.buffers()[1], np.int32)[items.offset : items.offset + len(items) + 1].astype(np.int64)
+    held = items.buffers()[2]
+    return np.frombuffer(held, np.uint8) if held else np.zeros(0, np.uint8), offsets[:-1], np.diff(offsets)
+
+
+def spaced_letters(items: pa.Array) -> np.ndarray:
+    """Which pre-tokens begin with a space and a letter below LIMIT: those are letters throughout."""
+    data, at, sizes = parts(items)
+    data = np.append(data, np.zeros(3, np.uint8))
+    one, two = data[at + 1], data[at + 2]
+    wide = (one >= 0xC2) & (one < 0xC8)
+    kind = _CLASS[np.where(wide, (one & 0x1F).astype(np.int64) << 6 | (two & 0x3F), np.where(one < 0x80, one, 0))]
+    return (sizes > 1) & (data[at] == 0x20) & (kind == _LETTER)
+
+
+def gather(flat: np.ndarray, sizes: np.ndarray, codes: np.ndarray, first: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(the items of every code in a row, where each code's end). flat: the items of code 0, 1, ..., or those of each from first on;
+    sizes: how many each has."""
+    if first is None:
+        first = np.cumsum(sizes) - sizes
     count = sizes[codes]
     end = np.cumsum(count)
     return flat[np.repeat(first[codes] - (end - count), count) + np.arange(end[-1] if len(end) else 0)], end

@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 
 from . import bytesplit
 from .common import cut, shared_dir, ship, sliced, table, texts
-from .pretokens import CACHE, pretokens
+from .known import Known
+from .pretokens import pretokens
 
 MAGIC = b"S8BIDS01"
 BLOCK_IDS = 1 << 16
@@ -46,25 +47,27 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         nxt[: n - span] = np.maximum(nxt[: n - span], powers[span][span:])
         span *= 2
         powers[span] = nxt
-    for s in range(12, -1, -1):
-        c = int(COUNTS[s])
-        if c > n or (width <= _WIDTHS[s]).sum() < c:
+    for s in range(12, -1, -1):  # where c ids of a width fit, so do fewer of a larger one: each that fits lowers the selector by one
+        c, bits = int(COUNTS[s]), int(_WIDTHS[s])  # plain numbers: the comparisons stay in bytes
+        if c > n or np.count_nonzero(width <= bits) < c:
             break  # nor do more ids fit
         p = 1 << (c.bit_length() - 1)
         top = np.maximum(powers[p][: n - c + 1], powers[p][c - p : n - p + 1])
-        pick[: n - c + 1][top <= _WIDTHS[s]] = s
+        pick[: n - c + 1] -= (top <= bits).view(np.uint8)
     if n >= 120:
         top = np.maximum(powers[64][: n - 119], powers[64][56 : n - 63])
         pick[: n - 119][top == 0] = ZEROS
-    one = np.append(np.arange(n) + COUNTS[pick], n)  # where the next word begins; n stays n
-    two = one[one]
-    four = two[two].tolist()
+    hops = [np.append(np.arange(n) + COUNTS[pick], n)]  # where the next word begins, the next but one, but three, ...; n stays n
+    while len(hops) < 5:
+        hops.append(hops[-1][hops[-1]])
+    far = memoryview(hops[-1])
     at, every = 0, []
     while at < n:
         every.append(at)
-        at = four[at]
-    every = np.array(every)
-    start = np.stack([every, one[every], two[every], one[two[every]]], 1).ravel()
+        at = far[at]
+    start = np.array(every)
+    for hop in hops[-2::-1]:
+        start = np.stack([start, hop[start]], 1).ravel()
     start = start[start < n]
     sel = pick[start]
     words = sel.astype(np.uint64) << np.uint64(60)
@@ -73,8 +76,8 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     for s in np.unique(sel):
         if s < 14:
             mine, c = np.flatnonzero(sel == s), int(COUNTS[s])
-            parts = ids[start[mine][:, None] + np.arange(c)] << (np.arange(c, dtype=np.uint64) * np.uint64(_WIDTHS[s]))
-            words[mine] |= np.bitwise_or.reduce(parts, axis=1)
+            parts = ids[np.arange(c)[:, None] + start[mine]] << (np.arange(c, dtype=np.uint64) * np.uint64(_WIDTHS[s]))[:, None]
+            words[mine] |= np.bitwise_or.reduce(parts, axis=0)
     return words.astype("<u8"), escapes.astype("<u8")
 
 
@@ -177,30 +180,33 @@ class Reader:
             have = have[n:]
 
 
-_bytes: dict[str, dict[bytes, bytes]] = {}
+#: Pre-tokens kept by a worker (some 60 to 120 bytes each); a full map is emptied, which costs time only.
+CACHE = 1_500_000
+#: Pre-tokens of texts that are not split by their bytes are looked up when so many are held.
+HELD_WORDS = 1 << 16
+_known: dict[str, Known] = {}
 
 
 def encoder(tokenizer: str):
     """An Arrow array of texts -> the ids of each (uint32 arrays).
 
     Texts of characters below bytesplit.LIMIT without special strings are split together by their bytes, and their distinct pre-tokens
-    looked up among those that the library has encoded; others are encoded one by one.
+    looked up among those that the library has encoded; others are split one by one, or go to the library whole.
     """
     pre = pretokens(tokenizer)
     fast = tokenizer.rsplit("/", 1)[-1] == "byte_bpe_50k.json"
-    known = _bytes.setdefault(tokenizer, {})
+    known = _known.setdefault(tokenizer, Known(CACHE))
     special = [t.encode() for t in pre.special]
 
-    def look_up(words: list[bytes]) -> list[bytes]:
-        got = list(map(known.get, words))
-        if None in got:
-            if len(known) > CACHE:
-                known.clear()
-                got = [None] * len(words)
-            new = [w for w, v in zip(words, got) if v is None]
-            known.update(zip(new, pre.encode_words([w.decode() for w in new])))
-            got = list(map(known.__getitem__, words))
-        return got
+    def look_up(codes: np.ndarray, distinct: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        return bytesplit.gather(*known.ask(distinct, pre.encode_words), codes)
+
+    def by_text(held: list[tuple[int, list[str]]], out: list) -> None:
+        coded = pa.array([w for _, words in held for w in words], pa.string()).dictionary_encode()
+        ids, end = look_up(coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.cast(pa.binary()))
+        last = end[np.cumsum([len(words) for _, words in held]) - 1].tolist()
+        for (k, _), a, b in zip(held, [0, *last], last):
+            out[k] = ids[a:b]
 
     def encode(items: pa.Array) -> list[np.ndarray]:
         items = items.cast(pa.binary())
@@ -215,19 +221,26 @@ def encoder(tokenizer: str):
             slow |= [any(s in raw[a:b] for s in special) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
         quick = ~slow & (sizes > 0)
         out: list = [np.zeros(0, np.uint32)] * len(items)
+        held, n_held = [], 0
         for k in np.flatnonzero(slow & (sizes > 0)).tolist():
             text = raw[offsets[k] : offsets[k + 1]].decode()
-            split = pre.split(text)
-            out[k] = np.array(pre.encode([text])[0], np.uint32) if split is None else np.frombuffer(b"".join(look_up([w.encode() for w in split])), "<u4")
+            if (split := pre.split(text)) is None:
+                out[k] = np.array(pre.encode([text])[0], np.uint32)
+            elif split:
+                held.append((k, split))
+                n_held += len(split)
+            if n_held >= HELD_WORDS:
+                by_text(held, out)
+                held, n_held = [], 0
+        if held:
+            by_text(held, out)
         if quick.any():
             if slow.any():
                 data = data[np.repeat(quick, sizes)]
             own = sizes[quick]
             begin = np.cumsum(own) - own
             at = bytesplit.bounds(data, begin)
-            codes, distinct = bytesplit.words(data, at)
-            values = look_up(distinct)
-            ids, end = bytesplit.gather(np.frombuffer(b"".join(values), "<u4"), np.array([len(v) for v in values]) >> 2, codes)
+            ids, end = look_up(*bytesplit.words(data, at))
             last = end[np.append(np.searchsorted(at, begin[1:]), len(at)) - 1]
             for k, a, b in zip(np.flatnonzero(quick).tolist(), [0, *last[:-1].tolist()], last.tolist()):
                 out[k] = ids[a:b]

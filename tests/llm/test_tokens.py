@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 import zlib
 
 import numpy as np
@@ -8,7 +9,7 @@ import pyarrow as pa
 import pytest
 from llm.helpers import ODD, empty, odd
 
-from biotope.llm import bytesplit, pieces, pretokens, token_counts, token_output
+from biotope.llm import bytesplit, known, pieces, pretokens, token_counts, token_output
 
 
 def texts(n, seed=1):
@@ -36,6 +37,68 @@ def test_encoder_is_the_library():
         assert [x.tolist() for x in encode(pa.array(some))] == [e.ids for e in library.encode_batch(some, add_special_tokens=False)]
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_encoder_with_little_memory(monkeypatch, name):
+    monkeypatch.setattr(token_output, "CACHE", 40)
+    monkeypatch.setattr(token_output, "HELD_WORDS", 7)
+    monkeypatch.setattr(token_output, "_known", {})
+    monkeypatch.setattr(pretokens, "RUN", 3)
+    encode, library = token_output.encoder(P.path(name)), pretokens.pretokens(P.path(name)).tokenizer
+    every = [*texts(600, 6), "", "日本 \u3000日本語 é", " é", " ", " é È ça aé ½ x½ don't I'LL we'll '", "x" * 5000, "", "日" * 300, "a\x00 a a\x00\x00", " Σίσυφος ΑΣ. — « un » été", "о мире " * 9]
+    for k in range(0, len(every), 40):
+        some = every[k : k + 40]
+        for items in (pa.array(some), pa.array(["é", *some, "b"])[1:-1]):
+            assert [x.tolist() for x in encode(items)] == [e.ids for e in library.encode_batch(some, add_special_tokens=False)]
+
+
+def test_known_is_a_dictionary():
+    r, asked, held = random.Random(7), [], known.Known(900)
+
+    def make(new):
+        asked.extend(new.to_pylist())
+        runs = [run(w) for w in new.to_pylist()]
+        return np.array([x for ids in runs for x in ids], np.uint32), np.array([len(ids) for ids in runs], np.int64)
+
+    def run(word):
+        return [zlib.crc32(word) + j & 0xFFFFFFFF for j in range(len(word) % 4)]
+
+    pool = sorted({bytes(r.choice(b"\x00\x00ab\xff") for _ in range(r.choice([1, 2, 3, 14, 15, 16, 17, 40]))) for _ in range(6000)})
+    seen = set()
+    for size in (0, 1, 300, 300, 2000, 400, 400, 400, 400):
+        some = r.sample(pool, size)
+        if held.n > 900:
+            seen = set()
+        asked.clear()
+        ids, sizes = held.ask(pa.array(some, pa.binary()), make)
+        assert ids.tolist() == [x for w in some for x in run(w)] and sizes.tolist() == [len(w) % 4 for w in some]
+        assert sorted(asked) == sorted(set(some) - seen)
+        seen |= set(some)
+
+
+def test_known_words_cost_little():
+    """Words that are known, encoded and packed, take a small share of the library's own time for the texts."""
+    r = random.Random(8)
+    some = [" ".join("".join(r.choices("etaoinshrdlu", k=r.randint(4, 11))) for _ in range(500)) for _ in range(300)]
+    encode, library = token_output.encoder(P.path("byte_bpe_50k.json")), pretokens.pretokens(P.path("byte_bpe_50k.json")).tokenizer
+
+    def seconds(f):
+        took = []
+        for _ in range(4):
+            t = time.process_time()
+            f()
+            took.append(time.process_time() - t)
+        return min(took)
+
+    def ours():
+        ids = np.concatenate(encode(items)).astype(np.uint64)
+        for k in range(0, len(ids), token_output.BLOCK_IDS):
+            token_output.pack(ids[k : k + token_output.BLOCK_IDS])
+
+    items = pa.array(some)
+    encode(items)
+    assert seconds(ours) < seconds(lambda: library.encode_batch_fast(some, add_special_tokens=False)) / 3
+
+
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_pretokens_are_the_library(name):
     pre = pretokens.pretokens(P.path(name))
